@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumenframe.llm import ngram_join, packing, pii, token_files
+from lumenframe.llm import html_text, ngram_join, packing, pii, token_files, toxicity
+from lumenframe.llm.common import crc_mod
 
 #: Folder of the public tokenizer files.
 TOKENIZERS = os.environ.get("LUMENFRAME_TOKENIZERS", "/opt/tokenizers")
@@ -29,9 +31,19 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_token_files, op6_packing, op7_pii, op9_ngram_jaccard)}
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op5_token_files, op6_packing, op7_pii, op8_toxicity, op9_ngram_jaccard, op10_html_text)}
 ORACLE_SQL: dict[str, str] = {}
