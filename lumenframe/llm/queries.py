@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import html_text, ngram_join, packing, pii, token_files, toxicity
+from lumenframe.llm import additive_ann, bloom_lm, html_text, ngram_join, packing, pii, token_files, toxicity
 from lumenframe.llm.common import crc_mod
 
 #: Folder of the public tokenizer files.
@@ -18,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.score_texts(table(spark, sf_dir, "documents"))
+
+
+def op4_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive_ann.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", end_id=2)
     return token_files.read_tokens(manifest)
@@ -45,5 +53,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op5_token_files, op6_packing, op7_pii, op8_toxicity, op9_ngram_jaccard, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op3_bloom_lm, op4_additive_ann, op5_token_files, op6_packing, op7_pii, op8_toxicity, op9_ngram_jaccard, op10_html_text)}
 ORACLE_SQL: dict[str, str] = {}
