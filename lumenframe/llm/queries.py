@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import additive_ann, bloom_lm, decontaminate, html_text, ngram_join, packing, pii, token_files, toxicity
+from lumenframe.llm import additive_ann, bloom_lm, decontaminate, html_text, ngram_join, packing, pii, substring_dedup, token_files, toxicity
 from lumenframe.llm.common import crc_mod
 
 #: Folder of the public tokenizer files.
@@ -18,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(table(spark, sf_dir, "documents"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -57,5 +61,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontaminate, op3_bloom_lm, op4_additive_ann, op5_token_files, op6_packing, op7_pii, op8_toxicity, op9_ngram_jaccard, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_bloom_lm, op4_additive_ann, op5_token_files, op6_packing, op7_pii, op8_toxicity, op9_ngram_jaccard, op10_html_text)}
 ORACLE_SQL: dict[str, str] = {}
