@@ -37,6 +37,17 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+BROADCAST_ROWS = 1_000_000  # ids of 8 bytes; more of them are joined by a shuffle
+
+
+def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``ids(doc_id)``; null ids stay. The ids are broadcast up to BROADCAST_ROWS."""
+    ids = written(ids.select(F.col("doc_id").cast("long").alias("doc_id")), "ids")
+    if ids.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, "doc_id", "left_anti").select(docs.columns)
+
+
 def crc_mod(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo ``modulus``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.llm.common import id_and_text, written
+from lumenframe.llm.common import id_and_text, without_ids, written
 from lumenframe.llm.wordhash import LETTERS, SPACES, U, blocks, column, mix, seeded, words
 
 DISTANCE = 5  # one edit for each so many words of an item
@@ -221,6 +221,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose id has a leak; rows with a null id stay only if their text has none by another id."""
-    leaking = leaks(docs, benchmark).select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(leaking, "doc_id", "left_anti")
+    """``docs`` without the rows whose id has a leak; rows with a null id stay."""
+    return without_ids(docs, leaks(docs, benchmark).where("doc_id is not null").select("doc_id").distinct())
