@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -25,3 +26,18 @@ def ship(spark: SparkSession, *modules: str) -> None:
             z.write(p, p.relative_to(ROOT))
     spark.sparkContext.addPyFile(str(archive))
     _shipped.add(application)
+
+
+CHECKPOINT_KEY = "spark.checkpoint.dir"
+
+
+def written(df, name: str):
+    """``df`` written as Parquet below ``spark.checkpoint.dir`` (a folder of our own where it is unset) and read again."""
+    spark = df.sparkSession
+    root = spark.conf.get(CHECKPOINT_KEY, None)
+    if not root:
+        root = "file://" + tempfile.mkdtemp(prefix="lumenframe-")
+        spark.conf.set(CHECKPOINT_KEY, root)
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
