@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.functions import calibration, geometry
-from lumenframe.operators import compartments, features, metrics, outliers, segmentation
+from lumenframe.operators import compartments, features, metrics, outliers, segmentation, spatial
 from lumenframe.sources import pixels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,13 +121,46 @@ def glcm_texture(spark, d):
     return t.select("sample_id", F.round("contrast", 3).alias("contrast"), F.round("homogeneity", 5).alias("homogeneity"), F.round("energy", 5).alias("energy"))
 
 
-@query(f"""WITH {PX}, m AS (SELECT DISTINCT sample_id, y, x FROM flat WHERE v BETWEEN 130 AND 255), b AS (SELECT * FROM m a WHERE (SELECT count(*) FROM m n WHERE n.sample_id = a.sample_id AND abs(n.y-a.y)+abs(n.x-a.x) = 1) < 4),
- c AS (SELECT a.sample_id, a.y, a.x, 1 + coalesce(sum(CASE WHEN abs(n.y-a.y)+abs(n.x-a.x) = 1 THEN 2 WHEN n.y IS NOT NULL THEN 10 END), 0) AS code FROM b a LEFT JOIN b n ON n.sample_id = a.sample_id AND abs(n.y-a.y) <= 1 AND abs(n.x-a.x) <= 1 AND (n.y <> a.y OR n.x <> a.x) GROUP BY ALL)
- SELECT sample_id, round(sum(CASE WHEN code IN (5,7,15,17,25,27) THEN 1 WHEN code IN (21,33) THEN sqrt(2e0) WHEN code IN (13,23) THEN (1+sqrt(2e0))/2 ELSE 0 END), 6) AS perimeter FROM c GROUP BY sample_id""")
+RIM = f"""{PX}, m AS (SELECT DISTINCT sample_id, y, x FROM flat WHERE v BETWEEN 130 AND 255), b AS (SELECT * FROM m a WHERE (SELECT count(*) FROM m n WHERE n.sample_id = a.sample_id AND abs(n.y-a.y)+abs(n.x-a.x) = 1) < 4),
+ c AS (SELECT a.sample_id, a.y, a.x, 1 + coalesce(sum(CASE WHEN abs(n.y-a.y)+abs(n.x-a.x) = 1 THEN 2 WHEN n.y IS NOT NULL THEN 10 END), 0) AS code FROM b a LEFT JOIN b n ON n.sample_id = a.sample_id AND abs(n.y-a.y) <= 1 AND abs(n.x-a.x) <= 1 AND (n.y <> a.y OR n.x <> a.x) GROUP BY ALL),
+ rim AS (SELECT sample_id, sum(CASE WHEN code IN (5,7,15,17,25,27) THEN 1 WHEN code IN (21,33) THEN sqrt(2e0) WHEN code IN (13,23) THEN (1+sqrt(2e0))/2 ELSE 0 END) AS perimeter FROM c GROUP BY sample_id),
+ mom AS (SELECT sample_id, count(*) AS area, var_pop(y) + 1e0/12 AS a, var_pop(x) + 1e0/12 AS c, covar_pop(y, x) AS b FROM m GROUP BY sample_id),
+ eig AS (SELECT sample_id, area, (a+c)/2 + sqrt(greatest(((a-c)/2)*((a-c)/2) + b*b, 0)) AS big, (a+c)/2 - sqrt(greatest(((a-c)/2)*((a-c)/2) + b*b, 0)) AS small FROM mom),
+ shape AS (SELECT sample_id, area, sqrt(greatest(1 - greatest(small, 0)/nullif(big, 0), 0)) AS ecc, coalesce(4*pi()*area/nullif(perimeter*perimeter, 0), 0) AS circ FROM eig JOIN rim USING (sample_id))"""
+
+
+@query(f"WITH {RIM} SELECT sample_id, round(perimeter, 6) AS perimeter FROM rim")
 def perimeter(spark, d):
     return features.perimeter(flat(spark, d).where(features.in_band(F.col("v"), 130, HIGH)), ["sample_id"]).select("sample_id", *r6("perimeter"))
 
 
+@query(f"WITH {RIM} SELECT sample_id, round(circ, 5) AS circularity, round(least(((1-circ) + 0 + ecc + least(greatest(area/median(area) OVER () - 1, 0), 1))/4, 1), 5) AS doublet_score FROM shape")
+def doublet_scores(spark, d):
+    band = flat(spark, d).where(features.in_band(F.col("v"), 130, HIGH))
+    shape = features.ellipse(band, ["sample_id"]).join(features.perimeter(band, ["sample_id"]), "sample_id").withColumn("batch", F.lit(1))
+    circ = features.circularity(F.col("area"), F.col("perimeter"))
+    score = features.doublet_score(circ, F.lit(1.0), F.col("eccentricity"), F.col("area"), ["batch"])
+    return shape.select("sample_id", F.round(circ, 5).alias("circularity"), F.round(score, 5).alias("doublet_score"))
+
+
+@query(f"""WITH {PX}, o AS (SELECT dy, dx FROM (SELECT unnest(range(-2, 3)) AS dy), (SELECT unnest(range(-2, 3)) AS dx) WHERE dy*dy+dx*dx <= 4) SELECT sample_id, count(*) AS px FROM (SELECT DISTINCT sample_id, y+dy AS y, x+dx AS x FROM flat, o WHERE v >= 150) GROUP BY sample_id""")
+def dilated_area(spark, d):
+    labels = flat(spark, d).where("v >= 150").withColumn("label", F.lit(1))
+    return segmentation.dilated(labels, 2).groupBy("sample_id").agg(F.count("*").alias("px"))
+
+
+@query(None)
+def axis_peaks(spark, d):
+    band = flat(spark, d).where(features.in_band(F.col("v"), LOW, HIGH))
+    return spatial.axis_profile_peaks(band, ["sample_id"], F.col("x"))
+
+
+@query("""SELECT c_nationkey AS sample_id, count(*) AS n, round(avg(CASE WHEN c_acctbal > 0 THEN 1e0 ELSE 0 END), 6) AS complete FROM customer GROUP BY 1""")
+def completeness(spark, d):
+    c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("sample_id"))
+    return c.agg(F.count("*").alias("n"), F.round(F.avg((F.col("c_acctbal") > 0).cast("int")), 6).alias("complete"))
+
+
 @query(f"""WITH {PZ} SELECT sample_id, z, round(avg(v), 6) AS mean, round(avg(CASE WHEN v BETWEEN 140 AND 255 THEN 1e0 ELSE 0 END), 6) AS coverage FROM stack GROUP BY sample_id, z""")
 def depth_profile(spark, d):
     return features.depth_profile(stack(spark, d), LOW, HIGH).select("sample_id", "z", *r6("mean", "coverage"))
