@@ -24,18 +24,26 @@ def cytoplasm_by_flood(nuclei: DataFrame, pixels: DataFrame, low: float, high: f
     return out.join(nuclei.select(*place), place, "left_anti")
 
 
-def analyse(pixels: DataFrame, config: Config, flat: bool = True) -> dict[str, DataFrame]:
+def analyse(pixels: DataFrame, config: Config, flat: bool = True, labels: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """Tables of a run over pixels(sample_id, channel, z, y, x, v) of all samples at once.
 
+    ``labels`` holds label relations made elsewhere, as ``nuclear`` or ``cytoplasm``; a sample they
+    lack is segmented here only if they are not given at all.
+
     Samples without a nucleus give no cells. An active stain whose channel a sample lacks gives
     zeros and false flags.
     """
     of = lambda stem: pixels.where(F.col("channel") == stem)
     area = (config.pixel_size_um or 1.0) ** 2
     nuclear = of(config.stem("nuclear"))
-    nuclei = written(segmentation.segment(nuclear, config.threshold_min, config.threshold_max, config.connectivity, config.min_object_size, config.edge_margin, flat), "nuclei")
+    given = labels or {}
+    nuclei = written(given["nuclear"].select(*segmentation.PLACE, "label") if "nuclear" in given else segmentation.segment(nuclear, config.threshold_min, config.threshold_max, config.connectivity, config.min_object_size, config.edge_margin, flat), "nuclei")
     cyto_stem = config.stem("cytoplasm")
-    cyto = written(cytoplasm_by_flood(nuclei, of(cyto_stem), config.threshold_min, config.threshold_max), "cytoplasm") if cyto_stem else None
+    cyto = None
+    if "cytoplasm" in given:  # nuclei are cut out, labels stay
+        cyto = written(given["cytoplasm"].select(*segmentation.PLACE, "label").join(nuclei, segmentation.PLACE, "left_anti"), "cytoplasm")
+    elif cyto_stem:
+        cyto = written(cytoplasm_by_flood(nuclei, of(cyto_stem), config.threshold_min, config.threshold_max), "cytoplasm")
     mapping = compartments.adjacent_cytoplasm(nuclei, cyto, flat=flat) if cyto is not None else nuclei.select("sample_id", F.col("label").alias("nuc_id"), F.lit(None).cast("long").alias("cyto_id")).distinct()
     mapping = written(mapping, "mapping")
     sized = lambda labels: labels.groupBy("sample_id", F.col("label").alias("id")).agg((F.count("*") * area).alias("size"))
@@ -76,7 +84,7 @@ def analyse(pixels: DataFrame, config: Config, flat: bool = True) -> dict[str, D
     return {
         "cells": cells, "metrics": long, "outliers": outliers.screen_summary(screened, ["sample_id", "channel"], "cell_id"),
         "qc": metrics.channel_qc(pixels, config.threshold_min, config.threshold_max, None), "depth": features.depth_profile(pixels, config.threshold_min, config.threshold_max),
-    } | {f"cells_{k}": v for k, v in tiers.items() if k != "all"}
+    } | {"labels_nuclear": nuclei} | ({"labels_cytoplasm": cyto} if cyto is not None else {}) | {f"cells_{k}": v for k, v in tiers.items() if k != "all"}
 
 
 def summaries(run: dict[str, DataFrame], paths: DataFrame) -> DataFrame:

@@ -104,6 +104,16 @@ def test_whole_run(spark, tmp_path):
     assert batch.summaries(run, paths).where("level = 'root'").count() > 0
 
 
+def test_run_with_given_labels(spark):
+    config = Config(pixel_size_um=1.0, channel_roles={"dapi": "nuclear"}, remove_outliers=False)
+    place = "sample_id string, z int, y int, x int, label long"
+    nuclei = spark.createDataFrame([("s", 0, 5, 5, 4), ("s", 0, 5, 6, 4)], place)
+    cyto = spark.createDataFrame([("s", 0, 5, 6, 9), ("s", 0, 5, 7, 9)], place)
+    run = batch.analyse(images(spark), config, labels={"nuclear": nuclei, "cytoplasm": cyto})
+    assert [(r["nuc_id"], r["cyto_id"], r["cyto_size"], r["nuclei_in_cell"]) for r in run["cells"].collect()] == [(4, 9, 1.0, 1)]
+    assert run["labels_cytoplasm"].count() == 1
+
+
 def test_stream_adds_samples_once(spark, tmp_path):
     landing, results = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "sample_id string, size double, at timestamp"
