@@ -5,7 +5,7 @@ elements, so when the universe of hashes is cut into segments whose weights sum
 ``tau``, one segment differs in fewer elements than its weight: a segment of weight 1 is then
 equal in both sets and is indexed by the hash of its elements, one of weight 2 also by its
 one-deletion neighbourhood. ``Band.allocate`` picks the weights by cost. Equal sets are one
-node, and large posting groups are linked as a star and a chain, never as all their pairs.
+node, and posting groups are linked as a star, never as all their pairs.
 Whatever such a group leaves apart is joined once more at the finest partition (one element
 a segment, the cheapest segments allotted), which again loses no pair. Every candidate is
 verified on whole sets.
@@ -29,10 +29,14 @@ from lumenframe.llm.wordhash import U, blocks, column, mix, seeded, shingles, wo
 
 SHINGLE = 5
 NUM, DEN = 80, 100  # linked when DEN * |intersection| >= NUM * |union|
-SMALL_GROUP = 8  # posting groups up to this size give all their pairs at once
+STAR_GROUP = 2  # in larger posting groups the star leaves pairs out; their members are kept for the second join
 LOCAL_GROUP = 16  # a task forwards the head of a larger group only
 BROADCAST_ROWS = 1_000_000  # 8 bytes a row; beyond this the join shuffles
 FLUSH = 2_000_000
+# Costs are estimated on a bounded sample; they decide what is indexed, never what is found.
+COST_SETS, POPULAR = 8000, 3
+SPARE = 2  # segments a set for which popular elements can be passed over
+KEY_BYTES = 5
 
 
 class Band(NamedTuple):
@@ -60,7 +64,7 @@ class Band(NamedTuple):
                 for _ in range(20):
                     m = tau + 1 + slack
                     p = (1 - 1 / m) ** size
-                    slack = math.ceil(m * p + 3 * math.sqrt(m * p * (1 - p)))
+                    slack = math.ceil(m * p + 3 * math.sqrt(m * p * (1 - p))) + SPARE
                 ones = tau + 1 + slack
             n = ones + twos
             empty = n * (1 - 1 / n) ** size
@@ -91,11 +95,27 @@ def bands_of(size: int) -> list[Band]:
     return out
 
 
-def signatures(elements: np.ndarray, b: Band) -> np.ndarray:
-    """Index keys of one set in a band."""
+class Popular:
+    """Elements that many sets hold: a segment of nothing else tells little and costs much."""
+
+    def __init__(self, elements: np.ndarray):
+        self.elements = np.sort(elements)
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[(self.elements >> U(44)).astype(np.int64)] = True
+
+    def mask(self, elements: np.ndarray) -> np.ndarray:
+        out = self.seen[(elements >> U(44)).astype(np.int64)]
+        if out.any():
+            x = elements[out]
+            out[out] = self.elements[np.minimum(np.searchsorted(self.elements, x), len(self.elements) - 1)] == x
+        return out
+
+
+def signatures(elements: np.ndarray, popular: np.ndarray, b: Band) -> np.ndarray:
+    """Index keys of one set in a band. Up to ``slack`` segments that are empty or popular throughout get weight 0; a set with more keeps them all."""
     m = b.segments
     segment = (elements % U(m)).astype(np.int64)
-    sums, count = np.zeros(m, U), np.bincount(segment, minlength=m)
+    sums, count = np.zeros(m, U), np.bincount(segment[~popular], minlength=m)
     strong = seeded(elements, 7)
     np.add.at(sums, segment, strong)
     place = np.arange(m, dtype=U) + U(b.index << 40)
@@ -115,6 +135,11 @@ def sets_of(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.unique(s[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
+def elements_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in blocks(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets_of(batch), np.zeros(0, U)]).view(np.int64))], names=["element"])
+
+
 def node_of(elements: np.ndarray) -> int:
     """The identity of a set: a 64-bit hash of its elements."""
     x = seeded(elements, 3)
@@ -143,30 +168,23 @@ def groups(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 
 def star(start: np.ndarray, n: int, node: np.ndarray) -> np.ndarray:
-    """Each run's head with the others, and neighbours with each other; all pairs of runs up to SMALL_GROUP."""
+    """Each run's head with the others of the run."""
     head = np.repeat(start, np.diff(np.append(start, n)))
-    at = np.arange(n)
-    rest = at[at > head]
-    pairs = [np.stack([node[head[rest]], node[rest]]), np.stack([node[rest - 1], node[rest]])]
-    end = np.repeat(np.append(start[1:], n), np.diff(np.append(start, n)))
-    small = end - head <= SMALL_GROUP
-    for step in range(2, SMALL_GROUP):
-        x = at[small & (at + step < end)]
-        pairs.append(np.stack([node[x], node[x + step]]))
-    both = np.sort(np.concatenate(pairs, axis=1), axis=0)
+    rest = np.flatnonzero(np.arange(n) > head)
+    both = np.sort(np.stack([node[head[rest]], node[rest]]), axis=0)
     return np.unique(both, axis=1) if both.shape[1] else both
 
 
-KEYS = "bucket int, edge boolean, a long, b long, data binary"
+KEYS = "bucket int, edges binary, members binary, data binary"
 FOUND = "edge boolean, a long, b long"
 
 
-def _rows(edge: bool, a: np.ndarray, b: np.ndarray) -> dict:
-    n = len(a)
-    return {"bucket": pa.nulls(n, pa.int32()), "edge": pa.array(np.full(n, edge)), "a": pa.array(a.astype(np.int64)), "b": pa.array(b.astype(np.int64)), "data": pa.nulls(n, pa.binary())}
+def _split(pairs: np.ndarray, n_buckets: int) -> list[bytes]:
+    """Columns of ``pairs`` dealt evenly to the buckets, as bytes of both rows."""
+    return [pairs[:, i::n_buckets].astype("<i8").tobytes() for i in range(n_buckets)]
 
 
-def index(n_buckets: int):
+def index(n_buckets: int, popular: Popular):
     """Signature entries of a task, packed by bucket; edges and members of groups that are large within the task."""
 
     def flush(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -174,28 +192,28 @@ def index(n_buckets: int):
         length = np.diff(np.append(start, len(key)))
         large = length > LOCAL_GROUP
         flag = np.zeros(len(key), np.uint8)
+        edges = members = np.zeros((2, 0), np.int64)
         if large.any():
             inside = np.repeat(large, length)
             own = node[inside]
             own_start = np.concatenate([[0], np.cumsum(length[large])[:-1]])
-            pairs = star(own_start, len(own), own)
-            yield pa.RecordBatch.from_pydict(_rows(True, *pairs))
-            yield pa.RecordBatch.from_pydict(_rows(False, key[inside].view(np.int64), own))
+            edges = star(own_start, len(own), own)
+            members = np.stack([key[inside].view(np.int64), own])
             flag[start[large]] = 1
             keep = ~inside
             keep[start[large]] = True
             key, node, flag = key[keep], node[keep], flag[keep]
         bucket = (key >> U(40)) % U(n_buckets)
         order = np.argsort(bucket, kind="stable")
-        key, node, flag, bucket = key[order], node[order], flag[order], bucket[order]
-        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(key) else []
-        blobs, ids = [], []
-        for a, b in zip(starts, np.append(starts, len(key))[1:], strict=True) if len(key) else []:
-            low = key[a:b].view(np.uint8).reshape(-1, 8)[:, :6]  # with the bucket's own bits, enough to tell keys apart
+        key, node, flag = key[order], node[order], flag[order]
+        cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1, dtype=U))
+        blobs = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            low = key[a:b].view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]  # with the bucket's own bits, enough to tell keys apart
             blobs.append(np.uint64(b - a).tobytes() + low.tobytes() + node[a:b].tobytes() + np.packbits(flag[a:b]).tobytes())
-            ids.append(int(bucket[a]))
-        n = len(ids)
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(ids, pa.int32()), "edge": pa.nulls(n, pa.bool_()), "a": pa.nulls(n, pa.int64()), "b": pa.nulls(n, pa.int64()), "data": pa.array(blobs, pa.binary())})
+        yield pa.RecordBatch.from_pydict(
+            {"bucket": pa.array(np.arange(n_buckets, dtype=np.int32)), "edges": pa.array(_split(edges, n_buckets), pa.binary()), "members": pa.array(_split(members, n_buckets), pa.binary()), "data": pa.array(blobs, pa.binary())}
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held, seen = [], 0, set()
@@ -204,8 +222,9 @@ def index(n_buckets: int):
                 if len(elements) < 4 or (node := node_of(elements)) in seen:
                     continue
                 seen.add(node)
+                common = popular.mask(elements)
                 for b in bands_of(len(elements)):
-                    keys = signatures(elements, b)
+                    keys = signatures(elements, common, b)
                     parts.append((keys, node))
                     held += len(keys)
             if held > FLUSH:
@@ -218,32 +237,34 @@ def index(n_buckets: int):
     return run
 
 
+def _joined(column: pa.ChunkedArray) -> np.ndarray:
+    parts = [np.frombuffer(x.as_buffer(), "<i8").reshape(2, -1) for x in column]
+    return np.concatenate(parts, axis=1)
+
+
 def match(table: pa.Table) -> pa.Table:
-    """Edges of one bucket, and members of its large groups."""
+    """Edges of one bucket, and members of its large groups; those that tasks found by themselves pass through."""
+    bucket = int(table.column("bucket")[0].as_py())
     keys, ids, flags = [], [], []
     for blob in table.column("data"):
-        data = blob.as_buffer()
-        n = int(np.frombuffer(data, np.uint64, 1)[0])
+        data = np.frombuffer(blob.as_buffer(), np.uint8)
+        n = int(data[:8].view(np.uint64)[0])
+        nodes_at, flags_at = 8 + KEY_BYTES * n, 8 + (KEY_BYTES + 8) * n
         wide = np.zeros((n, 8), np.uint8)
-        wide[:, :6] = np.frombuffer(data, np.uint8, 6 * n, 8).reshape(n, 6)
+        wide[:, :KEY_BYTES] = data[8:nodes_at].reshape(n, KEY_BYTES)
         keys.append(wide.view(U).ravel())
-        ids.append(np.frombuffer(np.frombuffer(data, np.uint8, 8 * n, 8 + 6 * n).tobytes(), np.int64))
-        flags.append(np.unpackbits(np.frombuffer(data, np.uint8, offset=8 + 14 * n), count=n).astype(bool))
+        ids.append(np.frombuffer(data[nodes_at:flags_at].tobytes(), np.int64))
+        flags.append(np.unpackbits(data[flags_at:], count=n).astype(bool))
     raw_key, flag = np.concatenate(keys), np.concatenate(flags)
     key, node, start = groups(raw_key, np.concatenate(ids))
     length = np.diff(np.append(start, len(key)))
-    hot = (length > SMALL_GROUP) | np.isin(key[start], raw_key[flag])
-    pairs = star(start, len(key), node)
+    hot = (length > STAR_GROUP) | np.isin(key[start], raw_key[flag])
     inside = np.repeat(hot & (length > 1), length)
-    bucket = int(table.column("bucket")[0].as_py())
-    n, m = pairs.shape[1], int(inside.sum())
-    return pa.table(
-        {
-            "edge": pa.array(np.concatenate([np.ones(n, bool), np.zeros(m, bool)])),
-            "a": pa.array(np.concatenate([pairs[0], seeded(key[inside], bucket).view(np.int64)]).astype(np.int64)),
-            "b": pa.array(np.concatenate([pairs[1], node[inside]]).astype(np.int64)),
-        }
-    )
+    pairs = np.concatenate([star(start, len(key), node), _joined(table.column("edges"))], axis=1)
+    own = np.stack([seeded(key[inside], bucket).view(np.int64), node[inside]])
+    members = np.concatenate([own, _joined(table.column("members"))], axis=1)
+    both = np.concatenate([pairs, members], axis=1)
+    return pa.table({"edge": pa.array(np.arange(both.shape[1]) < pairs.shape[1]), "a": pa.array(both[0]), "b": pa.array(both[1])})
 
 
 def packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,19 +295,19 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Elements of sets, one row each."""
     for batch in batches:
-        for node, root, e in zip(column(batch, "node"), column(batch, "root"), column(batch, "elements"), strict=True):
+        for node, e in zip(column(batch, "node"), column(batch, "elements"), strict=True):
             x = np.frombuffer(e.as_buffer(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), node.as_py())), pa.array(np.full(len(x), root.as_py())), pa.array(np.full(len(x), len(x))), pa.array(x)], names=["node", "root", "size", "element"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), node.as_py())), pa.array(np.full(len(x), len(x), np.int32)), pa.array(x)], names=["node", "size", "element"])
 
 
 def finest(open_nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of open nodes in different components that share one of their rarest elements: one element a segment, weight 1 for the tau + 1 rarest, 0 for others."""
-    e = written(open_nodes.join(sets, "node").mapInArrow(prefix, "node long, root long, size long, element long"), "elements")
-    e = e.join(e.groupBy("element").agg(F.count("*").alias("df")), "element").where("df > 1")
+    e = open_nodes.select("node").join(sets, "node").mapInArrow(prefix, "node long, size int, element long")
+    e = e.join(e.groupBy("element").agg(F.count("*").alias("df")).where("df > 1"), "element")
     w = Window.partitionBy("node").orderBy("df", "element")
     e = e.withColumn("r", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("node")))
     # elements of no other open node come first; so many of the first size - ceil(0.8 size) + 1 are used up by them
-    e = e.where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * NUM / DEN) + 1 - (F.col("size") - F.col("n")))
+    e = written(e.where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * NUM / DEN) + 1 - (F.col("size") - F.col("n"))).join(open_nodes, "node").select("node", "root", "size", "element"), "rarest")
     x = e.select("element", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa"))
     y = e.select("element", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"))
     near = (F.col("sa") * DEN >= F.col("sb") * NUM) & (F.col("sb") * DEN >= F.col("sa") * NUM)
@@ -307,10 +328,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # ids that are null come last, so that a set has a real id if any
     rep = own.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
     buckets = 4 * partitions(spark)
-    keyed = docs.select("text").mapInArrow(index(buckets), KEYS)
-    keyed = written(keyed, "signatures")
-    found = keyed.where("bucket is not null").select("bucket", "data").groupBy("bucket").applyInArrow(match, FOUND)
-    found = written(found.unionByName(keyed.where("bucket is null").select("edge", "a", "b")), "postings")
+    sample = rep.where("rep is not null").orderBy(F.xxhash64("node"), "node").limit(COST_SETS).select(F.col("rep").alias("doc_id"))
+    held = docs.join(F.broadcast(sample), "doc_id", "left_semi").mapInArrow(elements_of, "element long").groupBy("element").count().where(F.col("count") >= POPULAR)
+    popular = Popular(held.select("element").toArrow().column("element").to_numpy().view(U))
+    keyed = docs.select("text").mapInArrow(index(buckets, popular), KEYS)
+    found = written(keyed.groupBy("bucket").applyInArrow(match, FOUND), "postings")
     pairs = found.where("edge").select("a", "b").where("a != b").distinct()
     pairs = written(pairs, "pairs")
     members = found.where("not edge").select(F.col("a").alias("key"), F.col("b").alias("node"))
