@@ -17,7 +17,7 @@ import pyarrow as pa
 np.seterr(over="ignore")  # hashes wrap on purpose
 
 U = np.uint64
-BLOCK_BYTES = 2 << 20  # text handled at once; bounds memory, not results: longer texts form a block of their own
+BLOCK_BYTES = 1 << 20  # text handled at once; bounds memory, not results: longer texts form a block of their own
 BASE = 0x9E3779B97F4A7C15 | 1
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 9, 10, 11, 12, 13]] = True
