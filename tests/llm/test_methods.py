@@ -55,6 +55,38 @@ def test_ngram_components_match_brute_force(spark, sf_dir, texts):
     assert got == {i: (len(sets[i]), find(i)) for i in ids}
 
 
+def test_families_with_common_passages_match_brute_force(spark):
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(5000)]
+    passage, docs = rng.choices(vocabulary, k=60), []
+    for _ in range(6):  # chains of copies, each with a few more edits, so that ends are not similar to each other
+        text = rng.choices(vocabulary, k=rng.choice([20, 60, 150]))
+        for _ in range(25):
+            text = list(text)
+            for _ in range(max(1, len(text) // 60)):
+                text[rng.randrange(len(text))] = rng.choice(vocabulary)
+            docs.append(text)
+    docs += [rng.choices(vocabulary, k=rng.randint(1, 14)) + passage + rng.choices(vocabulary, k=rng.randint(1, 14)) for _ in range(80)]
+    rng.shuffle(docs)
+    sets = [frozenset(tuple(d[k : k + 5]) for k in range(len(d) - 4)) for d in docs]
+    root = list(range(len(docs)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, s in enumerate(sets):
+        for j in range(i):
+            both = len(s & sets[j])
+            if 100 * both >= 80 * (len(s) + len(sets[j]) - both):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    rows = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(rows).collect()}
+    assert got == {i: find(i) for i in range(len(docs))}
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(3)
     none = ngram_join.Popular(np.zeros(0, np.uint64))
