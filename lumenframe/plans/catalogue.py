@@ -436,6 +436,12 @@ def display_normalised(spark, d):
     return flat(spark, d).select("sample_id", "y", "x", grey.cast("int").alias("grey"))
 
 
+@query("""SELECT o_orderkey AS label, CAST(CASE WHEN o_orderkey = 0 THEN 0 ELSE o_orderkey % 255 + 1 END AS INT) AS colour FROM orders""")
+def label_colours(spark, d):
+    label = F.col("o_orderkey")
+    return table(spark, d, "orders").select(label.alias("label"), F.when(label == 0, 0).otherwise(label % 255 + 1).cast("int").alias("colour"))
+
+
 @query("""WITH c AS (SELECT doc_id, unnest(range(length(text))) AS pos, text FROM documents WHERE length(text) > 0) SELECT doc_id AS sample_id, CAST(pos // 64 AS INT) AS y, count(*) AS n, CAST(sum(unicode(substr(text, CAST(pos + 1 AS INT), 1))) AS BIGINT) AS total FROM c GROUP BY ALL""")
 def document_raster(spark, d):
     px = pixels.from_text(table(spark, d, "documents"), "doc_id", "text", 64)
