@@ -32,7 +32,7 @@ NUM, DEN = 80, 100  # linked when DEN * |intersection| >= NUM * |union|
 STAR_GROUP = 2  # in larger posting groups the star leaves pairs out; their members are kept for the second join
 LOCAL_GROUP = 16  # a task forwards the head of a larger group only
 BROADCAST_ROWS = 1_000_000  # 8 bytes a row; beyond this the join shuffles
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 # Costs are estimated on a bounded sample; they decide what is indexed, never what is found.
 COST_SETS, POPULAR = 8000, 3
 SPARE = 2  # segments a set for which popular elements can be passed over
@@ -98,8 +98,10 @@ def bands_of(size: int) -> list[Band]:
 class Popular:
     """Elements that many sets hold: a segment of nothing else tells little and costs much."""
 
-    def __init__(self, elements: np.ndarray):
-        self.elements = np.sort(elements)
+    def __init__(self, elements: np.ndarray, counts: np.ndarray | None = None):
+        order = np.argsort(elements)
+        self.elements = elements[order]
+        self.counts = np.ones(len(elements), np.int64) if counts is None else counts[order]
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.elements >> U(44)).astype(np.int64)] = True
 
@@ -111,6 +113,14 @@ class Popular:
         return out
 
 
+    def rarest(self, elements: np.ndarray, n: int) -> np.ndarray:
+        """The first ``n`` elements by count in the sample, then by hash: one order for all sets."""
+        count = np.zeros(len(elements), np.int64)
+        common = self.mask(elements)
+        count[common] = self.counts[np.searchsorted(self.elements, elements[common])]
+        return elements[np.lexsort((elements, count))[:n]]
+
+
 def signatures(elements: np.ndarray, popular: np.ndarray, b: Band) -> np.ndarray:
     """Index keys of one set in a band. Up to ``slack`` segments that are empty or popular throughout get weight 0; a set with more keeps them all."""
     m = b.segments
@@ -292,25 +302,36 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, linked boolean")
 
 
-def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Elements of sets, one row each."""
-    for batch in batches:
-        for node, e in zip(column(batch, "node"), column(batch, "elements"), strict=True):
-            x = np.frombuffer(e.as_buffer(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), node.as_py())), pa.array(np.full(len(x), len(x), np.int32)), pa.array(x)], names=["node", "size", "element"])
-
-
-def finest(open_nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of open nodes in different components that share one of their rarest elements: one element a segment, weight 1 for the tau + 1 rarest, 0 for others."""
-    e = open_nodes.select("node").join(sets, "node").mapInArrow(prefix, "node long, size int, element long")
-    e = e.join(e.groupBy("element").agg(F.count("*").alias("df")).where("df > 1"), "element")
-    w = Window.partitionBy("node").orderBy("df", "element")
-    e = e.withColumn("r", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("node")))
-    # elements of no other open node come first; so many of the first size - ceil(0.8 size) + 1 are used up by them
-    e = written(e.where(F.col("r") <= F.col("size") - F.ceil(F.col("size") * NUM / DEN) + 1 - (F.col("size") - F.col("n"))).join(open_nodes, "node").select("node", "root", "size", "element"), "rarest")
-    x = e.select("element", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa"))
-    y = e.select("element", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"))
-    near = (F.col("sa") * DEN >= F.col("sb") * NUM) & (F.col("sb") * DEN >= F.col("sa") * NUM)
+def prefix(popular: Popular):
+    """So many of a set's rarest elements that a similar set shares one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for e in column(batch, "elements"):
+                x = np.frombuffer(e.as_buffer(), U)
+                out.append(popular.rarest(x, len(x) + NUM * len(x) // -DEN + 1))
+            n = [len(x) for x in out]
+            size = np.array([len(e.as_buffer()) // 8 for e in column(batch, "elements")])
+            each = lambda c: np.repeat(column(batch, c).to_numpy(), n)  # noqa: B023, E731
+            flat = np.concatenate([*out, np.zeros(0, U)]).view(np.int64)
+            yield pa.RecordBatch.from_pydict({"node": pa.array(each("node")), "root": pa.array(each("root")), "left": pa.array((np.repeat(size, n) - np.concatenate([*map(np.arange, n), np.zeros(0, int)])).astype(np.int32)), "size": pa.array(np.repeat(size, n).astype(np.int32)), "element": pa.array(flat)})
+
+    return run
+
+
+def finest(open_nodes: DataFrame, sets: DataFrame, popular: Popular) -> DataFrame:
+    """Pairs of open nodes in different components that share one of their rarest elements: one element a segment, weight 1 for the tau + 1 rarest, 0 for others.
+
+    At the first element in order that two sets share, what is left of either bounds their
+    intersection; a similar pair passes there, whatever it does at later ones.
+    """
+    e = open_nodes.join(sets, "node").mapInArrow(prefix(popular), "node long, root long, left int, size int, element long")
+    w = Window.partitionBy("element")
+    e = written(e.withColumn("x", F.min("root").over(w)).withColumn("y", F.max("root").over(w)).where("x != y").drop("x", "y"), "rarest")
+    x = e.select("element", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa"), F.col("left").alias("la"))
+    y = e.select("element", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"), F.col("left").alias("lb"))
+    near = F.least("la", "lb") * (DEN + NUM) >= (F.col("sa") + F.col("sb")) * NUM
     return x.join(y, "element").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near).select("a", "b").distinct()
 
 
@@ -330,7 +351,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     buckets = 4 * partitions(spark)
     sample = rep.where("rep is not null").orderBy(F.xxhash64("node"), "node").limit(COST_SETS).select(F.col("rep").alias("doc_id"))
     held = docs.join(F.broadcast(sample), "doc_id", "left_semi").mapInArrow(elements_of, "element long").groupBy("element").count().where(F.col("count") >= POPULAR)
-    popular = Popular(held.select("element").toArrow().column("element").to_numpy().view(U))
+    held = held.toArrow()
+    popular = Popular(held.column("element").to_numpy().view(U), held.column("count").to_numpy())
     keyed = docs.select("text").mapInArrow(index(buckets, popular), KEYS)
     found = written(keyed.groupBy("bucket").applyInArrow(match, FOUND), "postings")
     pairs = found.where("edge").select("a", "b").where("a != b").distinct()
@@ -348,7 +370,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     parted = member.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
     rest = written(member.join(parted, "key", "left_semi").select("node", "root").distinct(), "open")
     if not rest.isEmpty():
-        more = verified(finest(rest, sets), sets).where("linked").select("a", "b")
+        more = verified(finest(rest, sets, popular), sets).where("linked").select("a", "b")
         roots = components(links.unionByName(more))
     named = own.join(rep, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rep.join(roots, "node").groupBy("root").agg(F.min("rep").alias("least"))
