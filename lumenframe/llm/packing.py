@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import id_and_text, written
-from lumenframe.llm.tokens import encoded
+from lumenframe.llm.tokens import encoded, release
 from lumenframe.llm.wordhash import column
 
 LARGE = (2, 4, 8)  # lengths over capacity / one of these are large; the plan with the fewest sequences counts
@@ -214,6 +214,7 @@ def cut(tokenizer: str, end_id: int, capacity: int, keep_ids: bool):
                 arrays.append(pa.array(ids, pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
+        release()
 
     return run
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.common import id_and_text, partitions, shared_path, written
 from lumenframe.llm.perfect_hash import PerfectHash, fingerprints
-from lumenframe.llm.tokens import encoded
+from lumenframe.llm.tokens import encoded, release
 from lumenframe.llm.wordhash import column
 
 MAGIC = b"LFTOKEN1"
@@ -60,6 +60,7 @@ def shard_writer(folder: str, tokenizer: str, end_id: int, width: int):
                 lengths.append(len(ids) + 1)
                 out.write(ids.astype(f"<u{width}").tobytes() + end)
             keys.append(column(batch, "doc_id"))
+        release()
         if out is None:
             return
         ids = pa.chunked_array(keys)

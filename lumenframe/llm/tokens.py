@@ -1,4 +1,4 @@
-"""Token ids of whole texts by the tokenizers library, each distinct piece encoded once a worker.
+"""Token ids of whole texts by the tokenizers library, each distinct piece encoded once a task.
 
 A text is cut at places where every pre-tokenizer in use cuts anyway, so the ids of the text
 are those of its pieces in order: for byte-level vocabularies at a space or newline between two
@@ -16,7 +16,7 @@ from itertools import chain
 
 import numpy as np
 
-CACHE_PIECES = 1_000_000
+CACHE_PIECES = 600_000
 BATCH_CHARS = 4_000_000
 JOINED = 50  # pieces in one text for the library
 _encoders: dict[tuple[str, bool], "Encoder"] = {}
@@ -136,6 +136,12 @@ def encoder(path: str, by_word: bool = False) -> Encoder:
     return _encoders[key]
 
 
+def release() -> None:
+    """Forget the pieces of a finished task: a worker that is used again for other work keeps no memory for them."""
+    for e in _encoders.values():
+        e.known.clear()
+
+
 def encoded(texts: list[str], path: str, by_word: bool = False):
     """Ids of each text, in runs of bounded size."""
     at = 0
