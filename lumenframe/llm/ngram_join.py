@@ -194,6 +194,11 @@ def _split(pairs: np.ndarray, n_buckets: int) -> list[bytes]:
     return [pairs[:, i::n_buckets].astype("<i8").tobytes() for i in range(n_buckets)]
 
 
+def posting(key: np.ndarray, bucket: np.ndarray | int) -> np.ndarray:
+    """The identity of a posting group, by what tells keys apart after packing: the low KEY_BYTES and the bucket."""
+    return seeded(mix((key & U((1 << 8 * KEY_BYTES) - 1)) + (U(bucket) if isinstance(bucket, int) else bucket) * U(0x9E3779B97F4A7C15)), 5).view(np.int64)
+
+
 def index(n_buckets: int, popular: Popular):
     """Signature entries of a task, packed by bucket; edges and members of groups that are large within the task."""
 
@@ -208,7 +213,7 @@ def index(n_buckets: int, popular: Popular):
             own = node[inside]
             own_start = np.concatenate([[0], np.cumsum(length[large])[:-1]])
             edges = star(own_start, len(own), own)
-            members = np.stack([key[inside].view(np.int64), own])
+            members = np.stack([posting(key[inside], (key[inside] >> U(40)) % U(n_buckets)), own])
             flag[start[large]] = 1
             keep = ~inside
             keep[start[large]] = True
@@ -271,7 +276,7 @@ def match(table: pa.Table) -> pa.Table:
     hot = (length > STAR_GROUP) | np.isin(key[start], raw_key[flag])
     inside = np.repeat(hot & (length > 1), length)
     pairs = np.concatenate([star(start, len(key), node), _joined(table.column("edges"))], axis=1)
-    own = np.stack([seeded(key[inside], bucket).view(np.int64), node[inside]])
+    own = np.stack([posting(key[inside], bucket), node[inside]])
     members = np.concatenate([own, _joined(table.column("members"))], axis=1)
     both = np.concatenate([pairs, members], axis=1)
     return pa.table({"edge": pa.array(np.arange(both.shape[1]) < pairs.shape[1]), "a": pa.array(both[0]), "b": pa.array(both[1])})

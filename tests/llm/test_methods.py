@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 
 from lumenframe.llm import additive_ann, bloom_lm, decontaminate, html_text, ngram_join, packing, pii, queries, substring_dedup, tokens, toxicity, wordhash
@@ -87,6 +88,28 @@ def test_families_with_common_passages_match_brute_force(spark):
     assert got == {i: find(i) for i in range(len(docs))}
 
 
+def test_posting_groups_over_tasks_lose_no_pair():
+    rng = random.Random(4)
+    text = [f"v{i}" for i in range(60)]
+    copies = [" ".join([*text, f"e{i}"]) for i in range(40)]
+    popular, n = ngram_join.Popular(np.zeros(0, np.uint64)), 3
+    batch = lambda x: pa.RecordBatch.from_arrays([pa.array(x)], names=["text"])
+    # the first two tasks have over LOCAL_GROUP copies, the last has some with a part only
+    tasks = [copies[:20], copies[20:], [" ".join(rng.choice(copies).split()[k:]) for k in (3, 7, 11)]]
+    packed = pa.Table.from_batches([x for t in tasks for x in ngram_join.index(n, popular)(iter([batch(t)]))])
+    edges, member = set(), defaultdict(set)
+    for i in range(n):
+        for r in ngram_join.match(packed.filter(pa.compute.equal(packed["bucket"], i))).to_pylist():
+            edges.add((r["a"], r["b"])) if r["edge"] else member[r["b"]].add(r["a"])
+    held = defaultdict(set)
+    for elements in ngram_join.sets_of(batch(sum(tasks, []))):
+        for b in ngram_join.bands_of(len(elements)):
+            for key in ngram_join.signatures(elements, popular.mask(elements), b).tolist():
+                held[key].add(ngram_join.node_of(elements))
+    pairs = {(a, b) for s in held.values() for a in s for b in s if a < b}
+    assert pairs and all(p in edges or member[p[0]] & member[p[1]] for p in pairs)
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(3)
     none = ngram_join.Popular(np.zeros(0, np.uint64))
