@@ -3,13 +3,14 @@
 Tokens are words and one end a text. Unigram counts of the training rows are exact. Counts of
 longer n-grams are quantised on a log scale, and an n-gram of level q is stored in the filter
 once for each level up to q, so repeated membership probes give its level back. The filter holds
-n-grams that occur ``MIN_COUNT`` times or more: one that was seen once tells nothing about a text
-left out of training. Its size follows the corpus; it is made of shards by n-gram hash, which are
-broadcast together while they fit ``BROADCAST_BYTES``, and in several passes beyond that.
+all training n-grams, also those seen once. Its size follows the corpus; it is made of shards by
+n-gram hash, which are broadcast together while they fit ``BROADCAST_BYTES``, and in several passes
+beyond that.
 
 Probabilities interpolate the n-gram estimates with the add-one unigram; the weights depend on
-the context only and are fitted by expectation maximisation, leaving one occurrence out, on at
-most ``FIT_ROWS`` training texts. N-gram identity has 32 bits and a shard's number, words 64.
+the context only and are fitted by expectation maximisation, leaving one occurrence out, on all
+training texts: their tokens are counted by context and by the ratios of the estimates, in
+``CELLS`` steps an octave. N-gram identity has 32 bits and a shard's number, words 64.
 """
 
 from __future__ import annotations
@@ -26,15 +27,13 @@ from lumenframe.llm.common import crc_mod, partitions, written
 from lumenframe.llm.wordhash import U, Words, blocks, column, mix, seeded, words
 
 ORDERS = (2, 3)
-MIN_COUNT = 2
 LEVEL_BASE = 2.0  # a level is a doubling of the count
 PROBES = 6
 BITS_AN_ENTRY = 10
 BROADCAST_BYTES = 256 << 20
-FIT_ROWS = 600
+CELLS = 8
 FIT_STEPS = 25
 CHUNK_TOKENS = 2_000_000
-SAMPLE_CHUNK = -1
 END = U(0x5851F42D4C957F2D)
 
 
@@ -154,13 +153,13 @@ def checksum(h: np.ndarray) -> int:
 
 
 def levels(count: np.ndarray) -> np.ndarray:
-    """Quantised count, from 1 for MIN_COUNT."""
-    return 1 + np.floor(np.log(count / MIN_COUNT) / np.log(LEVEL_BASE)).astype(np.int64)
+    """Quantised count, 1 for a count of one."""
+    return 1 + np.floor(np.log(count) / np.log(LEVEL_BASE) + 1e-9).astype(np.int64)
 
 
 def level_count(level: np.ndarray) -> np.ndarray:
-    """The count that a level stands for: the middle of its range on the log scale; 0 for level 0."""
-    return np.where(level > 0, MIN_COUNT * LEVEL_BASE ** (level - 0.75), 0.0)
+    """The count that a level stands for: the middle of its range on the log scale; 0 and 1 for levels 0 and 1, which are exact."""
+    return np.where(level > 1, LEVEL_BASE ** (level - 0.75), level * 1.0)
 
 
 def bit_places(fingerprint: np.ndarray, level: int, probe: int, bits: np.ndarray | int) -> np.ndarray:
@@ -192,7 +191,7 @@ def merge(table: pa.Table) -> pa.Table:
         number.append(x)
     f, where = np.unique(np.concatenate(fingerprints), return_inverse=True)
     count = np.bincount(where, np.concatenate(number), len(f)).astype(np.int64)
-    f, level = f[count >= MIN_COUNT], levels(count[count >= MIN_COUNT])
+    level = levels(count)
     bits = max(64, -(-int(level.sum()) * BITS_AN_ENTRY // 64) * 64)
     shard = np.zeros(bits, bool)
     for j in range(1, int(level.max(initial=0)) + 1):
@@ -259,18 +258,27 @@ def estimates(t: Tokens, count: np.ndarray, level: np.ndarray, total: int, known
     f2 = np.where(place >= 1, np.minimum(1, number[0] / np.maximum(before, 1)), 0)
     pair = np.concatenate([[0], number[0][:-1]]) * (place >= 2)
     f3 = np.where(pair > 0, np.minimum(1, number[1] / np.maximum(np.maximum(pair, number[1]), 1)), 0)
-    # what is known of the context: levels of the two words before, and of the word before
+    # what is known of the context without what is left out: levels of the two words before, and of the word before
     by_word = np.minimum(np.log2(before + 1).astype(np.int64) // 3, 7)
-    by_pair = np.minimum(np.concatenate([[0], level[0][:-1]]) * (place >= 2), 3)
-    return by_pair.astype(np.int64) * 8 + by_word, np.stack([p1, f2, f3])
+    by_pair = np.where(pair > 0, np.minimum(levels(np.maximum(pair, 1)), 3), 0)
+    return by_pair * 8 + by_word, np.stack([p1, f2, f3])
 
 
-def weights(context: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Interpolation weights by context class; classes that the sample lacks keep to the unigram."""
+def cells_of(context: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Context and both ratios to the unigram on a log scale, in one number; 0 stands for a ratio of zero."""
+    ratio = p[1:] / p[0]
+    step = np.where(ratio > 0, np.round(CELLS * np.log2(np.where(ratio > 0, ratio, 1))) + (1 << 15), 0).astype(np.int64)
+    return context << 32 | step[0] << 16 | step[1]
+
+
+def weights(cell: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Interpolation weights by context class, of counted cells; classes that training lacks keep to the unigram."""
+    context, step = cell >> 32, np.stack([cell >> 16, cell]) & 0xFFFF
+    p = np.concatenate([np.ones((1, len(cell))), np.where(step > 0, 2.0 ** ((step - (1 << 15)) / CELLS), 0.0)])
     w = np.tile(np.array([0.9, 0.06, 0.04]), (CONTEXTS, 1))
     for _ in range(FIT_STEPS):
         share = w[context].T * p
-        share /= share.sum(axis=0)
+        share *= number / share.sum(axis=0)
         for i in range(3):
             w[:, i] = np.bincount(context, share[i], CONTEXTS) + (2.0 if i == 0 else 0.02)
         w /= w.sum(axis=1, keepdims=True)
@@ -305,12 +313,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = 4 * partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (crc_mod(F.col("doc_id"), 7) != 2).alias("train"))
-    ids = docs.select("doc_id").where("train").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
-    fit = docs.where("train").join(F.broadcast(ids), "doc_id").select("text").limit(4 * FIT_ROWS).toArrow().column("text").combine_chunks()
-    own = Tokens.of(words(fit))
-    rows = packed(own.hash, np.zeros(len(own.hash)), n)
-    extra = spark.createDataFrame([(i, SAMPLE_CHUNK, r[0], r[1], b"", b"") for i, r in enumerate(rows)], COUNTED)
-    counted = docs.select("text", "train").mapInArrow(count_chunks(n), COUNTED).unionByName(extra)
+    counted = docs.select("text", "train").mapInArrow(count_chunks(n), COUNTED)
     merged = written(counted.groupBy("bucket").applyInArrow(merge, MERGED), "counts")
     total, known, size = merged.where("chunk is null").agg(F.sum("total"), F.sum("known"), F.sum(F.length("data"))).first()
     total, known = int(total or 0), int(known or 0)
@@ -322,26 +325,20 @@ def score_texts(docs: DataFrame) -> DataFrame:
         return Filter([found.get(i, bytes(8)) for i in range(first, last)], first, n)
 
     per_chunk = merged.where("chunk is not null").select("chunk", "bucket", "check", "data")
-    sample_rows = per_chunk.where(F.col("chunk") == SAMPLE_CHUNK).toArrow()
-    count = chunk_counts(own.hash, sample_rows, n)
-    level = np.zeros((len(ORDERS), len(own.hash)), np.uint8)
     source = docs.mapInArrow(keyed, "doc_id long, text string, train boolean, chunk long")
     if passes == 1:
-        only = shards(0, n)
-        level = probed(own, only)
-        filters = spark.sparkContext.broadcast(only)
+        filters = spark.sparkContext.broadcast(shards(0, n))
     else:  # each pass adds the levels that its shards know, and is written before the next
         filters = None
         source = source.withColumn("levels", F.lit(None).cast("binary"))
         for first, last in parts:
-            part = shards(first, last)
-            level = np.maximum(level, probed(own, part))
-            shared = spark.sparkContext.broadcast(part)
+            shared = spark.sparkContext.broadcast(shards(first, last))
             source = written(source.mapInArrow(add_levels(shared), "doc_id long, text string, train boolean, chunk long, levels binary"), "levels")
             shared.unpersist()
-    weight = weights(*estimates(own, count, level, total, known, left_out=1))
-    scored = score_chunk(filters, weight, total, known, n)
-    return source.groupBy("chunk").cogroup(per_chunk.where(F.col("chunk") != SAMPLE_CHUNK).groupBy("chunk")).applyInArrow(scored, SCORES)
+    both = source.groupBy("chunk").cogroup(per_chunk.groupBy("chunk"))
+    cells = both.applyInArrow(count_cells(filters, total, known, n), "cell long, number long").groupBy("cell").agg(F.sum("number").alias("number")).orderBy("cell").toArrow()
+    weight = weights(cells.column("cell").to_numpy(), cells.column("number").to_numpy())
+    return both.applyInArrow(score_chunk(filters, weight, total, known, n), SCORES)
 
 
 def add_levels(shared):
@@ -361,21 +358,38 @@ def add_levels(shared):
     return run
 
 
+def estimated(docs: pa.Table, counts: pa.Table, shared, total: int, known: int, n: int, left_out: int = 0) -> Iterator[tuple]:
+    """Blocks of a chunk with their tokens, counts, contexts and estimates."""
+    parts = [b for b in blocks(iter(docs.combine_chunks().to_batches()))]
+    tokens = [Tokens.of(words(column(b, "text"))) for b in parts]
+    every = chunk_counts(np.concatenate([t.hash for t in tokens]) if tokens else np.zeros(0, U), counts, n)
+    at = 0
+    for b, t in zip(parts, tokens, strict=True):
+        count = every[at : at + len(t.hash)]
+        at += len(t.hash)
+        if shared is not None:
+            level = probed(t, shared.value)
+        else:
+            level = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8).reshape(len(ORDERS), -1) for x in column(b, "levels")], axis=1)
+        yield b, t, count, *estimates(t, count, level, total, known, left_out)
+
+
+def count_cells(shared, total: int, known: int, n: int):
+    def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
+        cells = [np.zeros(0, np.int64)]
+        for b, t, _, context, p in estimated(docs, counts, shared, total, known, n, left_out=1):
+            train = np.repeat(column(b, "train").to_numpy(zero_copy_only=False), np.diff(t.bounds))
+            cells.append(cells_of(context[train], p[:, train]))
+        cell, number = np.unique(np.concatenate(cells), return_counts=True)
+        return pa.table({"cell": pa.array(cell), "number": pa.array(number)})
+
+    return run
+
+
 def score_chunk(shared, weight: np.ndarray, total: int, known: int, n: int):
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
         out = []
-        parts = [b for b in blocks(iter(docs.combine_chunks().to_batches()))]
-        tokens = [Tokens.of(words(column(b, "text"))) for b in parts]
-        every = chunk_counts(np.concatenate([t.hash for t in tokens]) if tokens else np.zeros(0, U), counts, n)
-        at = 0
-        for b, t in zip(parts, tokens, strict=True):
-            count = every[at : at + len(t.hash)]
-            at += len(t.hash)
-            if shared is not None:
-                level = probed(t, shared.value)
-            else:
-                level = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8).reshape(len(ORDERS), -1) for x in column(b, "levels")], axis=1)
-            context, p = estimates(t, count, level, total, known)
+        for b, t, count, context, p in estimated(docs, counts, shared, total, known, n):
             log_p = np.log10((weight[context].T * p).sum(axis=0))
             add = lambda x: np.add.reduceat(x, t.bounds[:-1])  # noqa: B023, E731  every row has a token
             rows = b.num_rows

@@ -219,6 +219,17 @@ def test_language_model_base_is_exact(spark, sf_dir, texts):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+def test_a_copy_of_one_training_text_scores_above_its_words(spark):
+    rng = random.Random(2)
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 == 2]
+    train = [i for i in range(400) if i not in held]
+    texts = [rng.choices([f"v{i}" for i in range(300)], k=60) for _ in range(40)]
+    rows = [(i, " ".join(t)) for i, t in zip(train, [*texts, *texts[1:]])]  # the first is there once
+    rows += [(held[0], " ".join(texts[0])), (held[1], " ".join(rng.sample(texts[0], 60)))]
+    got = {r["doc_id"]: r["score"] for r in bloom_lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[held[0]] > got[held[1]] + 20
+
+
 def test_filter_levels_and_passes(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     once = {r["doc_id"]: r["score"] for r in bloom_lm.score_texts(docs).collect()}
