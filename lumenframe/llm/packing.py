@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import id_and_text, written
-from lumenframe.llm.tokens import encoded, release
+from lumenframe.llm.tokens import encoded
 from lumenframe.llm.wordhash import column
 
 LARGE = (2, 4, 8)  # lengths over capacity / one of these are large; the plan with the fewest sequences counts
@@ -196,13 +196,11 @@ def cut(tokenizer: str, end_id: int, capacity: int, keep_ids: bool):
         from pyspark import TaskContext
 
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch, ids, bounds in encoded(batches, tokenizer, end_id, by_word=True):
             out: list[list] = [[] for _ in range(7)]
-            for doc, ids in zip(column(batch, "doc_id").to_pylist(), encoded(column(batch, "text").to_pylist(), tokenizer, by_word=True), strict=True):
-                ids += end
-                for i, at in enumerate(range(0, len(ids) // 4, capacity)):
-                    piece = ids[4 * at : 4 * (at + capacity)]
+            for doc, a, b in zip(column(batch, "doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                for i, at in enumerate(range(0, b - a, capacity)):
+                    piece = ids[a + at : min(b, a + at + capacity)].tobytes()
                     n = len(piece) // 4
                     for values, v in zip(out, (doc, i, at, n, zlib.crc32(piece), seen[n], piece), strict=True):
                         values.append(v)
@@ -214,7 +212,6 @@ def cut(tokenizer: str, end_id: int, capacity: int, keep_ids: bool):
                 arrays.append(pa.array(ids, pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names=names)
-        release()
 
     return run
 

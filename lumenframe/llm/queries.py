@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm import additive_ann, bloom_lm, decontaminate, html_text, ngram_join, packing, pii, substring_dedup, token_files, toxicity
 from lumenframe.llm.common import crc_mod
 
-#: Folder of the public tokenizer files.
-TOKENIZERS = os.environ.get("LUMENFRAME_TOKENIZERS", "/opt/tokenizers")
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -35,12 +29,12 @@ def op4_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = token_files.write_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json", end_id=2)
+    manifest = token_files.write_tokens(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", end_id=2)
     return token_files.read_tokens(manifest)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", end_id=0, capacity=2048)
+    return packing.pack(table(spark, sf_dir, "documents"), "word_bpe_49k.json", end_id=0, capacity=2048)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

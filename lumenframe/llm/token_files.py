@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm.common import id_and_text, partitions, shared_path, written
 from lumenframe.llm.perfect_hash import PerfectHash, fingerprints
-from lumenframe.llm.tokens import encoded, release
+from lumenframe.llm.tokens import encoded
 from lumenframe.llm.wordhash import column
 
 MAGIC = b"LFTOKEN1"
@@ -48,25 +48,19 @@ def shard_writer(folder: str, tokenizer: str, end_id: int, width: int):
         name = f"shard-{shard:07d}-{uuid.uuid4().hex[:8]}.tok"
         keys, lengths = [], []
         out = None
-        end = np.array([end_id], f"<u{width}").tobytes()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch, ids, bounds in encoded(batches, tokenizer, end_id):
             if out is None:
                 out = fs.open_output_stream(f"{root}/{name}")
                 out.write(MAGIC)
-            for ids in encoded(column(batch, "text").to_pylist(), tokenizer):
-                ids = np.frombuffer(ids, "<u4")
-                lengths.append(len(ids) + 1)
-                out.write(ids.astype(f"<u{width}").tobytes() + end)
+            out.write(ids.astype(f"<u{width}").tobytes())
+            lengths.append(np.diff(bounds))
             keys.append(column(batch, "doc_id"))
-        release()
         if out is None:
             return
         ids = pa.chunked_array(keys)
         nulls = ids.null_count  # they come first
         doc = ids.fill_null(0).to_numpy().astype("<i8")
-        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("<i8")
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype("<i8")
         own = doc[nulls:]
         first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
         keyed = own[first].view(np.uint64)

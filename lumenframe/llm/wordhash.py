@@ -8,6 +8,7 @@ equal hashes; distinct words share one with a chance of about 2**-58 for a pair.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,8 +17,10 @@ import pyarrow as pa
 
 np.seterr(over="ignore")  # hashes wrap on purpose
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+
 U = np.uint64
-BLOCK_BYTES = 1 << 20  # text handled at once; bounds memory, not results: longer texts form a block of their own
+BLOCK_BYTES = 1 << 19  # text handled at once; bounds memory, not results: longer texts form a block of their own
 BASE = 0x9E3779B97F4A7C15 | 1
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, 9, 10, 11, 12, 13]] = True
@@ -56,6 +59,16 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def prefix_sums(data: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the polynomial before each byte, and the inverse powers that make them independent of the place."""
+    power, inverse = _power_tables(len(data))
+    sums = np.zeros(len(data) + 1, U)
+    terms = letters[data]
+    terms *= power[: len(data)]
+    np.cumsum(terms, out=sums[1:])
+    return sums, inverse
+
+
 @dataclass
 class Words:
     """Words of a block of texts, in text order. ``bounds[d]:bounds[d+1]`` are those of row ``d``."""
@@ -93,7 +106,6 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def words(column: pa.Array, letters: np.ndarray = LETTERS, spaces: np.ndarray = SPACES) -> Words:
     data, offsets = raw(column)
     n = len(data)
-    power, inverse = _power_tables(n)
     solid = ~spaces[data]
     start = np.zeros(n + 1, bool)
     start[offsets] = True
@@ -102,8 +114,7 @@ def words(column: pa.Array, letters: np.ndarray = LETTERS, spaces: np.ndarray =
     end = solid.copy()
     end[:-1] &= ~solid[1:] | start[1:n]
     first, last = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    sums = np.zeros(n + 1, U)
-    np.cumsum(letters[data] * power[:n], out=sums[1:])
+    sums, inverse = prefix_sums(data, letters)
     hashed = mix((sums[last] - sums[first]) * inverse[first] + (last - first).astype(U))
     return Words(data, offsets, first, last, np.searchsorted(first, offsets), sums, hashed)
 
@@ -140,6 +151,16 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = B
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
             yield batch.slice(at, to - at)
             at = to
+    release()
+
+
+def release() -> None:
+    """Give what a finished task held back to the system: the worker serves other work next, and allocators keep what they had."""
+    if _powers and len(_powers[0]) > BLOCK_BYTES + 1:
+        _powers.clear()
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenframe.llm import additive_ann, bloom_lm, decontaminate, html_text, ngram_join, packing, pii, substring_dedup, token_files, toxicity
-from lumenframe.llm.queries import TOKENIZERS
 
 WORDS = " ".join(f"word{i}" for i in range(70))
 LONG = " ".join(f"w{i % 977}x{i}" for i in range(20_000))
@@ -70,23 +69,23 @@ def test_pii(docs, none):
 
 
 def test_token_files(docs, none):
-    manifest = token_files.write_tokens(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
+    manifest = token_files.write_tokens(docs, "byte_bpe_50k.json")
     got = token_files.read_tokens(manifest).orderBy("start").collect()
     assert len(got) == len(ROWS) and got[0]["doc_id"] is None and got[0]["start"] == 0
     assert [r["start"] for r in got[1:]] == [r["start"] + r["n_tokens"] for r in got[:-1]]
     index = token_files.Index(manifest)
     assert len(index.get(2)) == 2 and index.get(4)[0].tolist() == [2] and index.get(12345) == []
-    assert token_files.read_tokens(token_files.write_tokens(none, f"{TOKENIZERS}/byte_bpe_50k.json")).count() == 0
+    assert token_files.read_tokens(token_files.write_tokens(none, "byte_bpe_50k.json")).count() == 0
 
 
 def test_packing(docs, none):
-    got = packing.pack(docs, f"{TOKENIZERS}/word_bpe_49k.json", capacity=64, keep_ids=True).collect()
+    got = packing.pack(docs, "word_bpe_49k.json", capacity=64, keep_ids=True).collect()
     fill = {}
     for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
         assert r["offset"] == fill.get(r["sequence_id"], 0) and len(r["ids"]) == 4 * r["length"]
         fill[r["sequence_id"]] = r["offset"] + r["length"]
     assert max(fill.values()) <= 64 and len({(r["doc_id"]) for r in got}) == 10
-    assert packing.pack(none, f"{TOKENIZERS}/word_bpe_49k.json").count() == 0
+    assert packing.pack(none, "word_bpe_49k.json").count() == 0
 
 
 def test_html(spark):
