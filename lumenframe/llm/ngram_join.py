@@ -7,8 +7,9 @@ equal in both sets and is indexed by the hash of its elements, one of weight 2 a
 one-deletion neighbourhood. ``Band.allocate`` picks the weights by cost. Equal sets are one
 node, and posting groups are linked as a star, never as all their pairs.
 Whatever such a group leaves apart is joined once more at the finest partition (one element
-a segment, the cheapest segments allotted), which again loses no pair. Every candidate is
-verified on whole sets.
+a segment, the cheapest segments allotted by exact counts), which again loses no pair.
+Candidates whose parity sketches differ too much are no links; all others are verified on
+whole sets.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import id_and_text, partitions, written
@@ -35,6 +36,8 @@ BROADCAST_ROWS = 1_000_000  # 8 bytes a row; beyond this the join shuffles
 FLUSH = 1_000_000
 # Costs are estimated on a bounded sample; they decide what is indexed, never what is found.
 COST_SETS, POPULAR = 8000, 3
+COMMON, COMMON_ELEMENTS = 8, 1_000_000  # copies of a frequent element; so many of them are told apart
+SHARE = 8
 SPARE = 2  # segments a set for which popular elements can be passed over
 KEY_BYTES = 5
 
@@ -199,7 +202,7 @@ def posting(key: np.ndarray, bucket: np.ndarray | int) -> np.ndarray:
     return seeded(mix((key & U((1 << 8 * KEY_BYTES) - 1)) + (U(bucket) if isinstance(bucket, int) else bucket) * U(0x9E3779B97F4A7C15)), 5).view(np.int64)
 
 
-def index(n_buckets: int, popular: Popular):
+def index(n_buckets: int, popular):
     """Signature entries of a task, packed by bucket; edges and members of groups that are large within the task."""
 
     def flush(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +240,7 @@ def index(n_buckets: int, popular: Popular):
                 if len(elements) < 4 or (node := node_of(elements)) in seen:
                     continue
                 seen.add(node)
-                common = popular.mask(elements)
+                common = popular.value.mask(elements)
                 for b in bands_of(len(elements)):
                     keys = signatures(elements, common, b)
                     parts.append((keys, node))
@@ -282,14 +285,49 @@ def match(table: pa.Table) -> pa.Table:
     return pa.table({"edge": pa.array(np.arange(both.shape[1]) < pairs.shape[1]), "a": pa.array(both[0]), "b": pa.array(both[1])})
 
 
+SETS = "node long, size int, sketch binary, elements binary"
+
+
+def sketch(elements: np.ndarray) -> bytes:
+    """Parities of hashed elements, four bits or more an element; two sketches differ in no more bits than the sets in elements."""
+    bits = 1 << max(6, (4 * len(elements) - 1).bit_length())
+    odd = np.bincount((seeded(elements, 23) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(x: bytes, y: bytes) -> int:
+    """Least size of the symmetric difference, from sketches; the longer one is folded."""
+    a, b = np.frombuffer(x, U), np.frombuffer(y, U)
+    n = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(v.reshape(-1, n), axis=0) for v in (a, b))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets of the rows that a node is wanted of; rows of its id with other texts fall out."""
     for batch in blocks(batches):
-        sets = sets_of(batch)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([node_of(x) if len(x) else None for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "elements"]
+        sets, wanted = sets_of(batch), column(batch, "node").to_pylist()
+        keep = [(n, x) for n, x in zip(wanted, sets, strict=True) if len(x) and node_of(x) == n]
+        yield pa.RecordBatch.from_pydict(
+            {
+                "node": pa.array([n for n, _ in keep], pa.int64()),
+                "size": pa.array([len(x) for _, x in keep], pa.int32()),
+                "sketch": pa.array([sketch(x) for _, x in keep], pa.binary()),
+                "elements": pa.array([x.tobytes() for _, x in keep], pa.binary()),
+            }
         )
 
 
+def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches do not rule a link out."""
+    for batch in batches:
+        keep = []
+        for x, y, m, n in zip(*(column(batch, c).to_pylist() for c in ("x", "y", "m", "n")), strict=True):
+            both = (m + n - differing(x, y)) // 2
+            keep.append(DEN * both >= NUM * (m + n - both))
+        yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -297,17 +335,42 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             r, s = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
             both = len(np.intersect1d(r, s, assume_unique=True))
             keep.append(DEN * both >= NUM * (len(r) + len(s) - both))
-        yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b"), pa.array(keep, pa.bool_())], names=["a", "b", "linked"])
+        yield pa.RecordBatch.from_arrays([column(batch, "a"), column(batch, "b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, linked) of candidate pairs, by whole sets."""
-    left = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, linked boolean")
+    """The candidate pairs (a, b) that are linked: first by sketches, what they leave by whole sets."""
+    side = lambda node, kept: sets.select(F.col("node").alias(node), *(F.col(c).alias(n) for c, n in kept.items()))
+    near = pairs.join(side("b", {"sketch": "y", "size": "n"}), "b").join(side("a", {"sketch": "x", "size": "m"}), "a")
+    near = near.select("a", "b", "x", "y", "m", "n").mapInArrow(possible, "a long, b long")
+    whole = near.join(side("b", {"elements": "y"}), "b").join(side("a", {"elements": "x"}), "a")
+    return whole.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
+
+
+def element_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        every = [np.frombuffer(e.as_buffer(), U) for e in column(batch, "elements")]
+        element, count = np.unique(np.concatenate([*every, np.zeros(0, U)]), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(element.view(np.int64)), pa.array(count)], names=["element", "n"])
+
 
+def frequent(open_sets: DataFrame) -> Popular:
+    """Elements that many open sets hold, with their exact counts: all over COMMON sets, or the COMMON_ELEMENTS or fewer most frequent ones.
 
-def prefix(popular: Popular):
+    They settle the order of elements, hence the cost, and never what is found.
+    """
+    counts = written(open_sets.select("elements").mapInArrow(element_counts, "element long, n long").groupBy("element").agg(F.sum("n").alias("n")).where(F.col("n") > COMMON), "frequent")
+    least, total = COMMON, 0
+    for octave, n in sorted(counts.groupBy(F.floor(F.log2("n")).alias("octave")).count().collect(), reverse=True):  # at most 64 rows
+        total += n
+        if total > COMMON_ELEMENTS:
+            least = (2 << octave) - 1
+            break
+    found = counts.where(F.col("n") > least).toArrow()
+    return Popular(found.column("element").to_numpy().view(U), found.column("n").to_numpy())
+
+
+def prefix(popular):
     """So many of a set's rarest elements that a similar set shares one of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,29 +378,56 @@ def prefix(popular: Popular):
             out = []
             for e in column(batch, "elements"):
                 x = np.frombuffer(e.as_buffer(), U)
-                out.append(popular.rarest(x, len(x) + NUM * len(x) // -DEN + 1))
-            n = [len(x) for x in out]
-            size = np.array([len(e.as_buffer()) // 8 for e in column(batch, "elements")])
-            each = lambda c: np.repeat(column(batch, c).to_numpy(), n)  # noqa: B023, E731
-            flat = np.concatenate([*out, np.zeros(0, U)]).view(np.int64)
-            yield pa.RecordBatch.from_pydict({"node": pa.array(each("node")), "root": pa.array(each("root")), "left": pa.array((np.repeat(size, n) - np.concatenate([*map(np.arange, n), np.zeros(0, int)])).astype(np.int32)), "size": pa.array(np.repeat(size, n).astype(np.int32)), "element": pa.array(flat)})
+                out.append(popular.value.rarest(x, len(x) + NUM * len(x) // -DEN + 1))
+            n, size = [len(x) for x in out], column(batch, "size").to_numpy()
+            place = np.concatenate([*map(np.arange, n), np.zeros(0, int)])
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "node": pa.array(np.repeat(column(batch, "node").to_numpy(), n)),
+                    "left": pa.array((np.repeat(size, n) - place).astype(np.int32)),
+                    "size": pa.array(np.repeat(size, n)),
+                    "element": pa.array(np.concatenate([*out, np.zeros(0, U)]).view(np.int64)),
+                }
+            )
 
     return run
 
 
-def finest(open_nodes: DataFrame, sets: DataFrame, popular: Popular) -> DataFrame:
-    """Pairs of open nodes in different components that share one of their rarest elements: one element a segment, weight 1 for the tau + 1 rarest, 0 for others.
+def split_elements(e: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of ``e`` with their present root, of elements whose nodes are in more than one component."""
+    e = e.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    parted = e.groupBy("element").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("element")
+    return e.join(parted, "element", "left_semi")
+
+
+def apart(e: DataFrame) -> DataFrame:
+    """(a, b) of nodes in different components that share an element and have enough elements left for a link.
 
     At the first element in order that two sets share, what is left of either bounds their
     intersection; a similar pair passes there, whatever it does at later ones.
     """
-    e = open_nodes.join(sets, "node").mapInArrow(prefix(popular), "node long, root long, left int, size int, element long")
-    w = Window.partitionBy("element")
-    e = written(e.withColumn("x", F.min("root").over(w)).withColumn("y", F.max("root").over(w)).where("x != y").drop("x", "y"), "rarest")
     x = e.select("element", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa"), F.col("left").alias("la"))
     y = e.select("element", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"), F.col("left").alias("lb"))
     near = F.least("la", "lb") * (DEN + NUM) >= (F.col("sa") + F.col("sb")) * NUM
-    return x.join(y, "element").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near).select("a", "b").distinct()
+    return x.join(y, "element").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near)
+
+
+def finest(open_nodes: DataFrame, sets: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
+    """Roots by ``links`` and those between open nodes of different components: one element a segment, weight 1 for the tau + 1 rarest, 0 for others.
+
+    One in SHARE of the pairs, by hash, is verified first: a node that has many links to a family of near
+    copies joins it by one of them, and needn't be held against all others. The rest of the pairs
+    that are still apart follows.
+    """
+    open_sets = open_nodes.join(sets, "node")
+    shared = open_nodes.sparkSession.sparkContext.broadcast(frequent(open_sets))
+    e = written(open_sets.select("node", "size", "elements").mapInArrow(prefix(shared), "node long, left int, size int, element long"), "rarest")
+    early = F.pmod(F.xxhash64("a", "b"), F.lit(SHARE)) == 0
+    for turn in (early, ~early):
+        pairs = apart(written(split_elements(e, roots), "split")).where(turn).select("a", "b").distinct()
+        links = links.unionByName(written(verified(pairs, sets), "more-links"))
+        roots = written(components(links), "roots")
+    return roots
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -357,26 +447,26 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sample = rep.where("rep is not null").orderBy(F.xxhash64("node"), "node").limit(COST_SETS).select(F.col("rep").alias("doc_id"))
     held = docs.join(F.broadcast(sample), "doc_id", "left_semi").mapInArrow(elements_of, "element long").groupBy("element").count().where(F.col("count") >= POPULAR)
     held = held.toArrow()
-    popular = Popular(held.column("element").to_numpy().view(U), held.column("count").to_numpy())
+    popular = spark.sparkContext.broadcast(Popular(held.column("element").to_numpy().view(U)))
     keyed = docs.select("text").mapInArrow(index(buckets, popular), KEYS)
     found = written(keyed.groupBy("bucket").applyInArrow(match, FOUND), "postings")
-    pairs = found.where("edge").select("a", "b").where("a != b").distinct()
-    pairs = written(pairs, "pairs")
+    pairs = written(found.where("edge").select("a", "b").where("a != b").distinct(), "pairs")
     members = found.where("not edge").select(F.col("a").alias("key"), F.col("b").alias("node"))
-    wanted = written(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(rep, "node").select(F.col("rep").alias("doc_id")), "wanted")
-    few = wanted.count() <= BROADCAST_ROWS
-    source = docs.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = written(source.mapInArrow(packed_sets, "node long, elements binary").where("node is not null"), "sets").dropDuplicates(["node"])
-    checked = written(verified(pairs, sets), "checked")
-    links = checked.where("linked").select("a", "b")
+    met = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = written(met.join(rep, "node").select(F.col("rep").alias("doc_id"), "node"), "wanted")
+    number = wanted.count()
+    source = docs.join(F.broadcast(wanted) if number <= BROADCAST_ROWS else wanted.hint("shuffle_hash"), "doc_id")
+    sets = written(source.select("node", "text").mapInArrow(packed_sets, SETS), "sets")
+    if sets.count() > number:  # rows that repeat id and text
+        sets = written(sets.dropDuplicates(["node"]), "sets")
+    links = written(verified(pairs, sets), "checked")
     roots = written(components(links), "roots")
     # groups that the star left in more than one component
     member = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     parted = member.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
-    rest = written(member.join(parted, "key", "left_semi").select("node", "root").distinct(), "open")
+    rest = written(member.join(parted, "key", "left_semi").select("node").distinct(), "open")
     if not rest.isEmpty():
-        more = verified(finest(rest, sets, popular), sets).where("linked").select("a", "b")
-        roots = components(links.unionByName(more))
+        roots = finest(rest, sets, links, roots)
     named = own.join(rep, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rep.join(roots, "node").groupBy("root").agg(F.min("rep").alias("least"))
     return named.join(least, "root", "left").select(

@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -96,7 +97,7 @@ def test_posting_groups_over_tasks_lose_no_pair():
     batch = lambda x: pa.RecordBatch.from_arrays([pa.array(x)], names=["text"])
     # the first two tasks have over LOCAL_GROUP copies, the last has some with a part only
     tasks = [copies[:20], copies[20:], [" ".join(rng.choice(copies).split()[k:]) for k in (3, 7, 11)]]
-    packed = pa.Table.from_batches([x for t in tasks for x in ngram_join.index(n, popular)(iter([batch(t)]))])
+    packed = pa.Table.from_batches([x for t in tasks for x in ngram_join.index(n, SimpleNamespace(value=popular))(iter([batch(t)]))])
     edges, member = set(), defaultdict(set)
     for i in range(n):
         for r in ngram_join.match(packed.filter(pa.compute.equal(packed["bucket"], i))).to_pylist():
@@ -110,6 +111,16 @@ def test_posting_groups_over_tasks_lose_no_pair():
     assert pairs and all(p in edges or member[p[0]] & member[p[1]] for p in pairs)
 
 
+def test_sketches_never_overstate_a_difference():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        x, y = (rng.integers(0, 300, int(rng.integers(4, 400))).astype(np.uint64) for _ in range(2))
+        x, y = np.unique(x), np.unique(y)
+        assert ngram_join.differing(ngram_join.sketch(x), ngram_join.sketch(y)) <= len(np.setxor1d(x, y))
+    far = [np.unique(rng.integers(0, 1 << 62, 300).astype(np.uint64)) for _ in range(2)]
+    assert ngram_join.differing(*map(ngram_join.sketch, far)) > 200 and ngram_join.differing(ngram_join.sketch(x), ngram_join.sketch(x)) == 0
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(3)
     none = ngram_join.Popular(np.zeros(0, np.uint64))
@@ -251,15 +262,21 @@ def test_perfect_hash():
 
 @pytest.mark.parametrize("name,by_word", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
 def test_pieces_give_the_library_s_ids(texts, name, by_word):
+    import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(f"{queries.TOKENIZERS}/{name}")
+    t = Tokenizer.from_file(public_tokenizers.path(name))
     t.encode_special_tokens = True
     rng = random.Random(3)
     odd = ["".join(rng.choice(" \n\t\x1c\x85\xa0　́aé'sIĞ1,.|<|endoftext|>\0ΣÅ가") for _ in range(rng.randint(0, 40))) for _ in range(3000)]
     rows = odd + list(texts.values())[:80] + ["", " ", "\n", "it's we're don't", "a|b | c"]
     want = t.encode_batch(rows, add_special_tokens=False)
-    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.encoded(rows, f"{queries.TOKENIZERS}/{name}", by_word)] == [e.ids for e in want]
+    rows += ["x" * 200 + "y, " + "z" * 300, "b, c. d) e f" + "!" * 70]
+    want = t.encode_batch(rows, add_special_tokens=False)
+    batch = pa.RecordBatch.from_arrays([pa.array(rows)], names=["text"])
+    got = [ids[a:b].tolist() for _, ids, bounds in tokens.encoded(iter([batch, batch.slice(7, 900)]), name, 1, by_word) for a, b in zip(bounds[:-1], bounds[1:])]
+    want = [[*e.ids, 1] for e in want]
+    assert got == want + want[7:907]
 
 
 @pytest.mark.parametrize("low,high", [(1, 2048), (300, 1000), (600, 700), (2048, 2048)])
