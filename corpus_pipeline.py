@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenframe.llm import decontaminate, ngram_join, packing, pii, toxicity
 from lumenframe.llm.common import without_ids, written
-from lumenframe.llm.queries import TOKENIZERS, table
+from lumenframe.llm.queries import table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in sequences of 2048 ids."""
-    return packing.pack(docs, f"{TOKENIZERS}/word_bpe_49k.json", end_id=0, capacity=2048)
+    return packing.pack(docs, "word_bpe_49k.json", end_id=0, capacity=2048)
 
 
 STAGES = [
