@@ -6,7 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Micrometres in a unit; fixed values.
-MICROMETRES = {"nm": 1e-3, "nanometer": 1e-3, "um": 1.0, "micron": 1.0, "microns": 1.0, "micrometer": 1.0, "µm": 1.0, "mm": 1e3, "millimeter": 1e3, "cm": 1e4, "centimeter": 1e4, "m": 1e6, "inch": 25400.0}
+MICROMETRES = {
+    "um": 1.0, "µm": 1.0, "μm": 1.0, "micron": 1.0, "microns": 1.0, "micrometer": 1.0, "micrometre": 1.0,
+    "nm": 1e-3, "nanometer": 1e-3, "nanometre": 1e-3, "mm": 1e3, "millimeter": 1e3, "millimetre": 1e3,
+    "cm": 1e4, "centimeter": 1e4, "centimetre": 1e4, "m": 1e6, "meter": 1e6, "metre": 1e6, "in": 25400.0, "inch": 25400.0,
+}
 
 
 def unit_to_um(unit: Column) -> Column:

@@ -57,11 +57,12 @@ def mean_particle_area(labels: DataFrame, samples: DataFrame) -> DataFrame:
     return samples.select("sample_id").distinct().join(found, "sample_id", "left").fillna(0.0, ["mean_area"])
 
 
-def cells(nuclei: DataFrame, cytoplasm: DataFrame | None, mapping: DataFrame, stains: dict[str, tuple[DataFrame, DataFrame]], positive_px: dict[str, float], word: str = "area", unit: str = "um2") -> DataFrame:
+def cells(nuclei: DataFrame, cytoplasm: DataFrame | None, mapping: DataFrame, stains: dict[str, tuple[DataFrame, DataFrame]], positive_px: dict[str, DataFrame], word: str = "area", unit: str = "um2") -> DataFrame:
     """One row a nucleus with its compartments' stains.
 
     nuclei and cytoplasm hold (sample_id, id, size); stains map a stem to its measures by nucleus
-    and by cytoplasm: (sample_id, id, size, count, px). A nucleus without cytoplasm is incomplete
+    and by cytoplasm: (sample_id, id, size, count, px), and positive_px to the stain's mean particle area
+    in each sample, from which on a cell has it. A nucleus without cytoplasm is incomplete
     where the run has cytoplasm at all: its cell measures are null, its has-stain flag is not.
     """
     key = ["sample_id", "nuc_id"]
@@ -81,7 +82,10 @@ def cells(nuclei: DataFrame, cytoplasm: DataFrame | None, mapping: DataFrame, st
         whole = lambda x: F.when(~incomplete, x)
         size, count, px = (F.col(f"n_{c}") + F.col(f"c_{c}") for c in ("size", "count", "px"))
         has = F.col("cyto_size").isNotNull()
-        threshold = positive_px.get(s, 0.0)
+        threshold = F.lit(0.0)
+        if s in positive_px:
+            out = out.join(positive_px[s].select("sample_id", F.col("mean_area").alias("n_least")), "sample_id", "left")
+            threshold = F.coalesce("n_least", F.lit(0.0))
         p = f"stain_{s}"
         out = out.select(
             *[c for c in out.columns if c[:2] not in ("n_", "c_")],
@@ -90,7 +94,7 @@ def cells(nuclei: DataFrame, cytoplasm: DataFrame | None, mapping: DataFrame, st
             whole(F.coalesce(ratio(size, count), F.lit(0.0))).alias(f"{p}_particle_avg_{word}_cell_{unit}"),
             ratio(F.col("n_size"), F.col("nuc_size")).alias(f"{p}_coverage_fraction_nuc"), ratio(F.when(has, F.col("c_size")), F.col("cyto_size")).alias(f"{p}_coverage_fraction_cyto"),
             whole(ratio(size, F.col("nuc_size") + F.coalesce("cyto_size", F.lit(0.0)))).alias(f"{p}_coverage_fraction_cell"), whole(px).alias(f"{p}_cell_stain_area_px"),
-            (F.col("n_size") > 0).alias(f"{p}_nuc_has_stain"), (px >= threshold if threshold > 0 else px > 0).alias(f"{p}_cell_has_stain"),
+            (F.col("n_size") > 0).alias(f"{p}_nuc_has_stain"), ((px > 0) & (px >= threshold)).alias(f"{p}_cell_has_stain"),
         )
     return out
 

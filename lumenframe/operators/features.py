@@ -35,8 +35,7 @@ def ellipse(pixels: DataFrame, by: list[str]) -> DataFrame:
     """Centroid, area and the axes, eccentricity and orientation of the ellipse of equal second moments."""
     y, x = F.col("y").cast("double"), F.col("x").cast("double")
     m = pixels.groupBy(*by).agg(F.count("*").alias("area"), F.avg(y).alias("cy"), F.avg(x).alias("cx"), F.var_pop(y).alias("myy"), F.var_pop(x).alias("mxx"), F.covar_pop(y, x).alias("mxy"))
-    # a pixel has an extent of its own
-    a, c, b = F.col("myy") + 1 / 12, F.col("mxx") + 1 / 12, F.col("mxy")
+    a, c, b = F.col("myy"), F.col("mxx"), F.col("mxy")
     big, small = eigen2(a, b, c)
     return m.select(
         *by, "area", "cy", "cx", (4 * F.sqrt(big)).alias("major"), (4 * F.sqrt(small)).alias("minor"),
@@ -45,14 +44,14 @@ def ellipse(pixels: DataFrame, by: list[str]) -> DataFrame:
 
 
 def ellipsoid(pixels: DataFrame, by: list[str], aniso: float = 1.0) -> DataFrame:
-    """Semi-axes of the ellipsoid of equal second moments, elongation and flatness; z is scaled by ``aniso``."""
+    """Full axes, in pixels, of the solid ellipsoid of equal second moments, elongation and flatness; z is scaled by ``aniso``."""
     z, y, x = F.col("z") * float(aniso), F.col("y").cast("double"), F.col("x").cast("double")
     m = pixels.groupBy(*by).agg(
         F.count("*").alias("voxels"), F.var_pop(z).alias("zz"), F.var_pop(y).alias("yy"), F.var_pop(x).alias("xx"),
         F.covar_pop(z, y).alias("zy"), F.covar_pop(z, x).alias("zx"), F.covar_pop(y, x).alias("yx"),
     )
     values = eigen3(F.col("xx"), F.col("yy"), F.col("zz"), F.col("yx"), F.col("zx"), F.col("zy"))
-    axes = m.select(*by, "voxels", *[F.sqrt(5 * clamp(v)).alias(n) for n, v in zip(("major", "mid", "minor"), values, strict=True)])
+    axes = m.select(*by, "voxels", *[(2 * F.sqrt(5 * clamp(v))).alias(n) for n, v in zip(("major", "mid", "minor"), values, strict=True)])
     return axes.withColumn("elongation", 1 - ratio(F.col("mid"), F.col("major"))).withColumn("flatness", 1 - ratio(F.col("minor"), F.col("mid")))
 
 
@@ -122,7 +121,7 @@ def depth_profile(pixels: DataFrame, low: float, high: float) -> DataFrame:
 
 def truncated(objects: DataFrame, planes: DataFrame) -> DataFrame:
     """Objects of each sample that touch its first or last plane; planes(sample_id, z_max)."""
-    ends = objects.groupBy("sample_id", "label").agg(F.min("z").alias("z0"), F.max("z").alias("z1")).join(F.broadcast(planes), "sample_id")
+    ends = objects.groupBy("sample_id", "label").agg(F.min("z").alias("z0"), F.max("z").alias("z1")).join(planes, "sample_id")
     cut = (F.col("z0") == 0) | (F.col("z1") == F.col("z_max"))
     return ends.groupBy("sample_id").agg(F.count("*").alias("n"), F.sum(cut.cast("long")).alias("truncated"))
 

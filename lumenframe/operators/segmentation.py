@@ -52,7 +52,7 @@ def components(mask: DataFrame, connectivity: int, flat: bool = True) -> DataFra
         least = labels.join(near, ["sample_id", "id"], "left").select("sample_id", "id", F.least("label", "near").alias("label"))
         jump = least.select("sample_id", F.col("id").alias("label"), F.col("label").alias("own"))
         labels = written(least.join(jump, ["sample_id", "label"]).select("sample_id", "id", F.col("own").alias("label")), "labels")
-        total = labels.agg(F.sum("label")).first()[0]  # labels only fall
+        total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]  # labels only fall
         if total == before:
             break
         before = total
@@ -64,7 +64,7 @@ def holes_filled(mask: DataFrame, frame: DataFrame, flat: bool = True) -> DataFr
     back = frame.select(*PLACE).join(mask.select(*PLACE), PLACE, "left_anti")
     labelled = components(back, 1, flat)
     ends = frame.groupBy("sample_id").agg(*[f(c).alias(f"{c}{n}") for c in ("z", "y", "x") for n, f in ((0, F.min), (1, F.max))])
-    at = labelled.join(F.broadcast(ends), "sample_id")
+    at = labelled.join(ends, "sample_id")
     edge = F.lit(False)
     for c in ("y", "x") if flat else ("z", "y", "x"):
         edge = edge | (F.col(c) == F.col(f"{c}0")) | (F.col(c) == F.col(f"{c}1"))
@@ -78,7 +78,7 @@ def kept_objects(labels: DataFrame, frame: DataFrame, min_size: int = 0, margin:
     if margin > 0:
         extent = frame.groupBy("sample_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
         inside = (F.col("y0") >= margin) & (F.col("x0") >= margin) & (F.col("y1") < F.col("h") - margin) & (F.col("x1") < F.col("w") - margin)
-        objects = objects.join(F.broadcast(extent), "sample_id").where(inside)
+        objects = objects.join(extent, "sample_id").where(inside)
     return objects.select(*OBJECT, "size")
 
 
@@ -109,9 +109,11 @@ def distance(mask: DataFrame, frame: DataFrame) -> DataFrame:
     """Squared Euclidean distance of mask pixels of flat images to the nearest background, in two separable passes.
 
     The first pass has the distance down each column by windows; the second takes, for each pixel,
-    the least over its row, held as one array. Images without background have null.
+    the least over its row, held as one array. Images without background have null. Stacks are refused:
+    a plane other than the first raises an error.
     """
-    cells = frame.select("sample_id", "y", "x").join(mask.select("sample_id", "y", "x", F.lit(True).alias("on")), ["sample_id", "y", "x"], "left")
+    flat = F.when(F.col("z") == 0, True).otherwise(F.raise_error(F.lit("distances are of flat images")).cast("boolean"))
+    cells = frame.where(flat).select("sample_id", "y", "x").join(mask.select("sample_id", "y", "x", F.lit(True).alias("on")), ["sample_id", "y", "x"], "left")
     own = F.when(F.col("on").isNull(), F.col("y"))
     w = Window.partitionBy("sample_id", "x").orderBy("y")
     above = F.last(own, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
@@ -129,7 +131,7 @@ def peaks(values: DataFrame, min_distance: int, value: str) -> DataFrame:
     near = shifted(values, [(0, y, x) for y in r for x in r], [value]).groupBy(*PLACE).agg(F.max(value).alias("most"))
     ends = values.groupBy("sample_id").agg(F.max("y").alias("h"), F.max("x").alias("w"))
     inside = (F.col("y") >= min_distance) & (F.col("x") >= min_distance) & (F.col("y") <= F.col("h") - min_distance) & (F.col("x") <= F.col("w") - min_distance)
-    return values.join(near, PLACE).where(F.col(value) == F.col("most")).join(F.broadcast(ends), "sample_id").where(inside).select(*PLACE, value)
+    return values.join(near, PLACE).where(F.col(value) == F.col("most")).join(ends, "sample_id").where(inside).select(*PLACE, value)
 
 
 def flooded(markers: DataFrame, mask: DataFrame, elevation: str) -> DataFrame:

@@ -34,7 +34,9 @@ def analyse(pixels: DataFrame, config: Config, flat: bool = True, labels: dict[s
     zeros and false flags.
     """
     of = lambda stem: pixels.where(F.col("channel") == stem)
-    area = (config.pixel_size_um or 1.0) ** 2
+    pixel = config.pixel_size_um or 1.0
+    area = pixel**2 * (1.0 if flat else config.z_size_um or pixel)  # of a stack, the volume of a voxel
+    word, unit = ("area", "um2") if flat else ("volume", "um3")
     nuclear = of(config.stem("nuclear"))
     given = labels or {}
     nuclei = written(given["nuclear"].select(*segmentation.PLACE, "label") if "nuclear" in given else segmentation.segment(nuclear, config.threshold_min, config.threshold_max, config.connectivity, config.min_object_size, config.edge_margin, flat), "nuclei")
@@ -60,10 +62,9 @@ def analyse(pixels: DataFrame, config: Config, flat: bool = True, labels: dict[s
         by = lambda labels: compartments.stain_by_region(mask, labels, area, flat=flat).select("sample_id", F.col("region").alias("id"), F.col("stain_area").alias("size"), F.col("pieces").alias("count"), F.col("stain_px").alias("px"))  # noqa: B023, E731
         none = nuclei.limit(0)
         stains[stem] = (by(nuclei), by(cyto if cyto is not None else none))
-        found = mask.agg(F.count("*"), F.countDistinct("sample_id", "label")).first()
-        thresholds[stem] = found[0] / found[1] if found[1] else 0.0
+        thresholds[stem] = compartments.mean_particle_area(mask, nuclei)
         objects.append(compartments.particles(mask, territory, flat=flat).select("sample_id", F.lit(f"stain:{stem}").alias("channel"), F.col("owner").alias("cell_id"), (F.col("size") * area).alias("size")))
-    cells = compartments.cells(sized(nuclei), sized(cyto) if cyto is not None else None, mapping, stains, thresholds)
+    cells = compartments.cells(sized(nuclei), sized(cyto) if cyto is not None else None, mapping, stains, thresholds, word, unit)
     axes = features.ellipse(nuclei, ["sample_id", "label"]).withColumnRenamed("label", "nuc_id")
     cells = written(cells.join(axes.drop("area"), ["sample_id", "nuc_id"], "left"), "cells")
     every = objects[0]
@@ -89,7 +90,7 @@ def analyse(pixels: DataFrame, config: Config, flat: bool = True, labels: dict[s
 
 def summaries(run: dict[str, DataFrame], paths: DataFrame) -> DataFrame:
     """Folder summaries of each tier; paths(sample_id, path)."""
-    m = run["metrics"].join(F.broadcast(paths), "sample_id").withColumn("metric", F.concat_ws(":", "tier", "metric"))
+    m = run["metrics"].join(paths, "sample_id").withColumn("metric", F.concat_ws(":", "tier", "metric"))
     return metrics.folder_rollup(m).where(~F.isnan(F.coalesce("mean", F.lit(math.pi))))
 
 

@@ -64,7 +64,7 @@ def threshold_intensity_stats(spark, d):
     return features.intensity(band, ["sample_id"]).select("sample_id", "n", *r6("mean", "sd", "median", "p10", "p90"), "total")
 
 
-@query(f"""WITH {PX}, m AS (SELECT sample_id, count(*) AS area, avg(y) AS cy, avg(x) AS cx, var_pop(y) + 1e0/12 AS a, var_pop(x) + 1e0/12 AS c, covar_pop(y, x) AS b FROM flat WHERE v BETWEEN 140 AND 255 GROUP BY sample_id),
+@query(f"""WITH {PX}, m AS (SELECT sample_id, count(*) AS area, avg(y) AS cy, avg(x) AS cx, var_pop(y) AS a, var_pop(x) AS c, covar_pop(y, x) AS b FROM flat WHERE v BETWEEN 140 AND 255 GROUP BY sample_id),
  e AS (SELECT *, greatest((a+c)/2 + sqrt(greatest(((a-c)/2)*((a-c)/2) + b*b, 0)), 0) AS big, greatest((a+c)/2 - sqrt(greatest(((a-c)/2)*((a-c)/2) + b*b, 0)), 0) AS small FROM m)
  SELECT sample_id, area, round(cy, 5) AS cy, round(cx, 5) AS cx, round(4*sqrt(big), 5) AS major, round(4*sqrt(small), 5) AS minor, round(sqrt(greatest(1 - small/nullif(big, 0), 0)), 5) AS eccentricity FROM e""")
 def moment_axes(spark, d):
@@ -73,7 +73,7 @@ def moment_axes(spark, d):
     return features.ellipse(band, ["sample_id"]).select("sample_id", "area", *[F.round(n, 5).alias(n) for n in names])
 
 
-@query(f"""WITH {PX}, m AS (SELECT sample_id, label, var_pop(y) + 1e0/12 AS a, var_pop(x) + 1e0/12 AS c, covar_pop(y, x) AS b FROM (SELECT *, CASE WHEN y < 4 THEN 1 ELSE 2 END AS label FROM flat WHERE v BETWEEN 140 AND 255) GROUP BY sample_id, label),
+@query(f"""WITH {PX}, m AS (SELECT sample_id, label, var_pop(y) AS a, var_pop(x) AS c, covar_pop(y, x) AS b FROM (SELECT *, CASE WHEN y < 4 THEN 1 ELSE 2 END AS label FROM flat WHERE v BETWEEN 140 AND 255) GROUP BY sample_id, label),
  t AS (SELECT sample_id, 0.5*atan2(2*b, a-c) AS theta FROM m)
  SELECT sample_id, round(CASE WHEN count(*) > 1 THEN sqrt(pow(avg(cos(2*theta)), 2) + pow(avg(sin(2*theta)), 2)) END, 4) AS alignment FROM t GROUP BY sample_id""")
 def alignment_axial(spark, d):
@@ -88,7 +88,7 @@ def alignment_axial(spark, d):
  r AS (SELECT *, (((xx-q)/s)*(((yy-q)/s)*((zz-q)/s)-(zy/s)*(zy/s)) - (yx/s)*((yx/s)*((zz-q)/s)-(zy/s)*(zx/s)) + (zx/s)*((yx/s)*(zy/s)-((yy-q)/s)*(zx/s)))/2 AS r FROM s),
  l AS (SELECT sample_id, voxels, q, p, acos(least(greatest(r, -1e0), 1e0))/3 AS f FROM r),
  e AS (SELECT sample_id, voxels, CASE WHEN p < 1e-12 THEN q ELSE q+2*p*cos(f) END AS a, CASE WHEN p < 1e-12 THEN q ELSE q+2*p*cos(f+2*pi()/3) END AS c, q FROM l)
- SELECT sample_id, voxels, round(sqrt(5*greatest(a, 0)), 4) AS major, round(sqrt(5*greatest(3*q-a-c, 0)), 4) AS mid, round(sqrt(5*greatest(c, 0)), 4) AS minor FROM e""")
+ SELECT sample_id, voxels, round(2*sqrt(5*greatest(a, 0)), 4) AS major, round(2*sqrt(5*greatest(3*q-a-c, 0)), 4) AS mid, round(2*sqrt(5*greatest(c, 0)), 4) AS minor FROM e""")
 def ellipsoid_axes(spark, d):
     band = stack(spark, d).where(features.in_band(F.col("v"), 120, HIGH))
     return features.ellipsoid(band, ["sample_id"], aniso=2.0).select("sample_id", "voxels", *[F.round(n, 4).alias(n) for n in ("major", "mid", "minor")])
@@ -124,7 +124,7 @@ def glcm_texture(spark, d):
 RIM = f"""{PX}, m AS (SELECT DISTINCT sample_id, y, x FROM flat WHERE v BETWEEN 130 AND 255), b AS (SELECT * FROM m a WHERE (SELECT count(*) FROM m n WHERE n.sample_id = a.sample_id AND abs(n.y-a.y)+abs(n.x-a.x) = 1) < 4),
  c AS (SELECT a.sample_id, a.y, a.x, 1 + coalesce(sum(CASE WHEN abs(n.y-a.y)+abs(n.x-a.x) = 1 THEN 2 WHEN n.y IS NOT NULL THEN 10 END), 0) AS code FROM b a LEFT JOIN b n ON n.sample_id = a.sample_id AND abs(n.y-a.y) <= 1 AND abs(n.x-a.x) <= 1 AND (n.y <> a.y OR n.x <> a.x) GROUP BY ALL),
  rim AS (SELECT sample_id, sum(CASE WHEN code IN (5,7,15,17,25,27) THEN 1 WHEN code IN (21,33) THEN sqrt(2e0) WHEN code IN (13,23) THEN (1+sqrt(2e0))/2 ELSE 0 END) AS perimeter FROM c GROUP BY sample_id),
- mom AS (SELECT sample_id, count(*) AS area, var_pop(y) + 1e0/12 AS a, var_pop(x) + 1e0/12 AS c, covar_pop(y, x) AS b FROM m GROUP BY sample_id),
+ mom AS (SELECT sample_id, count(*) AS area, var_pop(y) AS a, var_pop(x) AS c, covar_pop(y, x) AS b FROM m GROUP BY sample_id),
  eig AS (SELECT sample_id, area, (a+c)/2 + sqrt(greatest(((a-c)/2)*((a-c)/2) + b*b, 0)) AS big, (a+c)/2 - sqrt(greatest(((a-c)/2)*((a-c)/2) + b*b, 0)) AS small FROM mom),
  shape AS (SELECT sample_id, area, sqrt(greatest(1 - greatest(small, 0)/nullif(big, 0), 0)) AS ecc, coalesce(4*pi()*area/nullif(perimeter*perimeter, 0), 0) AS circ FROM eig JOIN rim USING (sample_id))"""
 
