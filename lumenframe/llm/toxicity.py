@@ -1,9 +1,12 @@
 """Toxicity by a factorization machine over hashed terms (op 8).
 
-Terms are words (letters of any script) and two of their prefixes, hashed; a document is the set
-of its terms. The machine adds pairwise interactions of latent term vectors to linear weights, so
-a pair of terms can count for more than its parts. It is fitted on at most ``SAMPLE_ROWS``
-labelled rows; every document is scored on its whole text.
+Terms are words (letters of any script) and two prefixes of longer ones, all hashed to a fixed
+number of slots; a document is the set of its slots. The machine adds pairwise interactions of
+latent slot vectors to linear weights, so a pair of terms can count for more than its parts. No
+term is left out: a slot enters with a scale between FLOOR and 1 by how far its documents' labels
+are from the common rate, so that the many indifferent words move little by themselves and still
+take part in interactions. It is fitted on at most ``SAMPLE_ROWS`` labelled rows; every document
+is scored on its whole text.
 """
 
 from __future__ import annotations
@@ -20,8 +23,9 @@ from lumenframe.llm.common import crc_mod, id_and_text, written
 from lumenframe.llm.wordhash import LETTERS, SPACES, U, blocks, column, words
 
 SAMPLE_ROWS = 20_000  # labelled rows that a fit uses at most, by hash order of their ids
-MAX_TERMS = 4096
-FACTORS, EPOCHS, BATCH, RATE, DECAY, SEED = 8, 40, 128, 0.1, 1e-4, 11
+SLOT_BITS = 18
+FACTORS, EPOCHS, BATCH, RATE, DECAY, SEED = 4, 15, 128, 0.1, 1e-4, 11
+FLOOR, FAR = 0.08, 5.0  # least scale of a slot, and the deviation from which on it is 1
 PREFIXES = (5, 7)
 THRESHOLD = 0.7
 
@@ -31,104 +35,84 @@ _spaces = SPACES.copy()
 _spaces[:128] = [not chr(c).isalpha() for c in range(128)]
 
 
-def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(row, term) of all words and prefixes, with repeats."""
+def slots(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, slot) of all words and prefixes, in order of rows."""
     w = words(texts, _letters, _spaces)
-    doc = w.doc()
-    return np.concatenate([doc] * (1 + len(PREFIXES))), np.concatenate([w.hash, *(w.prefix(n) for n in PREFIXES)])
+    doc, length = w.doc(), w.last - w.first
+    rows = np.concatenate([doc, *(doc[length > n] for n in PREFIXES)])
+    term = np.concatenate([w.hash, *(w.prefix(n)[length > n] for n in PREFIXES)])
+    pair = np.unique(rows << SLOT_BITS | (term >> U(64 - SLOT_BITS)).astype(np.int64))
+    return pair >> SLOT_BITS, pair & (1 << SLOT_BITS) - 1
 
 
 @dataclass
 class Model:
-    term: np.ndarray  # sorted
     bias: float
     weight: np.ndarray
     factor: np.ndarray
 
-    def __post_init__(self):
-        self.seen = np.zeros(1 << 18, bool)
-        self.seen[(self.term >> U(46)).astype(np.int64)] = True
-
-    def active(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (row, place of term in the model) in order of rows."""
-        doc, term = terms(texts)
-        maybe = self.seen[(term >> U(46)).astype(np.int64)]
-        doc, term = doc[maybe], term[maybe]
-        if not len(self.term):
-            return doc[:0], doc[:0]
-        at = np.minimum(np.searchsorted(self.term, term), len(self.term) - 1)
-        hit = self.term[at] == term
-        pair = np.unique(doc[hit] * len(self.term) + at[hit])
-        return pair // len(self.term), pair % len(self.term)
-
-    def logits(self, doc: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        doc, at = slots(texts)
+        n = len(texts)
         out = self.bias + np.bincount(doc, self.weight[at], n)
-        for f in range(self.factor.shape[1]):
+        for f in range(FACTORS):
             v = self.factor[at, f]
             out += 0.5 * (np.bincount(doc, v, n) ** 2 - np.bincount(doc, v * v, n))
-        return out
+        return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
-    def scores(self, texts: pa.Array) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(*self.active(texts), len(texts)), -50, 50)))
+
+def scales(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Of each slot, by the deviation of the log odds of its documents."""
+    at = np.concatenate([*docs, np.zeros(0, np.int64)]).astype(np.int64)
+    pos = np.bincount(at, np.repeat(y, [len(d) for d in docs]), 1 << SLOT_BITS)
+    neg = np.bincount(at, minlength=1 << SLOT_BITS) - pos
+    a, b = pos + 0.5, neg + 0.5
+    odds = np.log(a / (y.sum() - pos + 0.5)) - np.log(b / (len(y) - y.sum() - neg + 0.5))
+    return np.clip((odds / np.sqrt(1 / a + 1 / b) / FAR) ** 2, FLOOR, 1).astype(np.float32)
 
 
-def fit(term: np.ndarray, docs: list[np.ndarray], y: np.ndarray) -> Model:
-    """Adagrad on the logistic loss; ``docs`` hold places in ``term``."""
+def fit(docs: list[np.ndarray], y: np.ndarray) -> Model:
+    """Adagrad on the logistic loss; ``docs`` hold slots. Without both labels the model is the bare rate."""
     rate = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
-    rng = np.random.default_rng(SEED)
-    model = Model(term, float(np.log(rate / (1 - rate))), np.zeros(len(term)), rng.normal(0, 0.05, (len(term), FACTORS)))
-    if not len(term) or y.min() == y.max():
-        model.weight, model.factor = model.weight * 0, model.factor * 0
-        return model
-    square_b, square_w, square_v = 1e-6, np.full(len(term), 1e-6), np.full(model.factor.shape, 1e-6)
+    bias, weight = float(np.log(rate / (1 - rate))), np.zeros(1 << SLOT_BITS, np.float32)
+    factor = np.zeros((1 << SLOT_BITS, FACTORS), np.float32)
+    if not len(y) or y.min() == y.max():
+        return Model(bias, weight, factor)
+    rng, scale = np.random.default_rng(SEED), scales(docs, y)
+    factor = rng.normal(0, 0.05, factor.shape).astype(np.float32)
+    square_b, square_w, square_v = 1e-6, np.full(weight.shape, 1e-6, np.float32), np.full(factor.shape, 1e-6, np.float32)
     for epoch in range(EPOCHS):
-        order = rng.permutation(len(y))
-        rate = RATE / (1 + epoch / 10)
+        order, rate = rng.permutation(len(y)), RATE / (1 + epoch / 10)
         for start in range(0, len(order), BATCH):
             rows = order[start : start + BATCH]
             doc = np.repeat(np.arange(len(rows)), [len(docs[r]) for r in rows])
-            at = np.concatenate([docs[r] for r in rows]).astype(np.int64)
-            p = 1 / (1 + np.exp(-np.clip(model.logits(doc, at, len(rows)), -50, 50)))
-            g = (p - y[rows]) / len(rows)
-            total = np.zeros((len(rows), FACTORS))
-            np.add.at(total, doc, model.factor[at])
-            used, where = np.unique(at, return_inverse=True)
-            gw = np.bincount(where, g[doc], len(used)) + DECAY * model.weight[used]
-            gv = np.zeros((len(used), FACTORS))
-            np.add.at(gv, where, g[doc][:, None] * (total[doc] - model.factor[at]))
-            gv += DECAY * model.factor[used]
+            used, where = np.unique(np.concatenate([docs[r] for r in rows]), return_inverse=True)
+            by_doc = lambda x: np.bincount(doc, x, len(rows))  # noqa: B023, E731
+            by_slot = lambda x: np.bincount(where, x, len(used))  # noqa: B023, E731
+            x = scale[used][where]
+            v = factor[used][where] * x[:, None]
+            total = np.stack([by_doc(v[:, f]) for f in range(FACTORS)], axis=1)
+            logit = bias + by_doc(weight[used][where] * x) + 0.5 * ((total**2).sum(1) - by_doc((v * v).sum(1)))
+            g = (1 / (1 + np.exp(-np.clip(logit, -50, 50))) - y[rows]) / len(rows)
+            gx = g[doc] * x
+            gw = by_slot(gx) + DECAY * weight[used]
+            step = (total[doc] - v) * gx[:, None]
+            gv = np.stack([by_slot(step[:, f]) for f in range(FACTORS)], axis=1) + DECAY * factor[used]
             square_b += g.sum() ** 2
-            model.bias -= rate * g.sum() / np.sqrt(square_b)
+            bias -= rate * g.sum() / np.sqrt(square_b)
             square_w[used] += gw**2
-            model.weight[used] -= rate * gw / np.sqrt(square_w[used])
+            weight[used] -= rate * gw / np.sqrt(square_w[used])
             square_v[used] += gv**2
-            model.factor[used] -= rate * gv / np.sqrt(square_v[used])
-    return model
+            factor[used] -= rate * gv / np.sqrt(square_v[used])
+    return Model(bias, weight * scale, factor * scale[:, None])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in blocks(batches):
-        doc, term = terms(column(batch, "text"))
-        order = np.lexsort((term, doc))
-        doc, term = doc[order], term[order]
-        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (term[1:] != term[:-1])]) if len(doc) else np.zeros(0, bool)
-        doc, term = doc[new], term[new]
-        y = column(batch, "y").to_numpy(zero_copy_only=False)[doc].astype(np.int64)
-        found, where = np.unique(term, return_inverse=True)
-        pos = np.bincount(where, y, len(found)).astype(np.int64)
-        every = np.bincount(where, minlength=len(found)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(pos), pa.array(every - pos)], names=["term", "pos", "neg"])
-
-
-def _encode(model: Model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in blocks(batches):
-            doc, at = model.active(column(batch, "text"))
-            cuts = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-            parts = [at[a:b].astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "y"), pa.array(parts, pa.binary())], names=["doc_id", "y", "at"])
-
-    return run
+        doc, at = slots(column(batch, "text"))
+        cuts = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+        parts = [at[a:b].astype("<i4").tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "y"), pa.array(parts, pa.binary())], names=["doc_id", "y", "at"])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -136,7 +120,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     ``labels(doc_id, toxic)``: null ids and labels are passed over, of repeated ids the largest
     label counts, and ids that ``docs`` lacks add nothing. Without both labels the model is the
-    bare rate. At most ``SAMPLE_ROWS`` ids, the first by hash, are used.
+    bare rate. At most ``SAMPLE_ROWS`` ids, the first by hash, are used, each by the smallest of its texts.
     """
     ids = (
         labels.where("doc_id is not null and toxic is not null")
@@ -146,18 +130,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(SAMPLE_ROWS)
     )
-    sample = written(id_and_text(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "y"), "labelled")
-    total = sample.agg(F.sum("y"), F.count("*")).first()
-    pos, n = int(total[0] or 0), int(total[1])
-    counts = sample.mapInArrow(_count, "term long, pos long, neg long").groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    a, b = F.col("pos") + 0.5, F.col("neg") + 0.5
-    odds = F.log(a / (pos - F.col("pos") + 0.5)) - F.log(b / (n - pos - F.col("neg") + 0.5))
-    z = F.abs(odds) / F.sqrt(1 / a + 1 / b)
-    chosen = counts.where("pos + neg >= 5").withColumn("z", z).where("z > 4").orderBy(F.desc("z"), "term").limit(MAX_TERMS)
-    term = np.sort(np.array([r["term"] for r in chosen.select("term").collect()], np.int64).view(U))
-    empty = Model(term, 0.0, np.zeros(len(term)), np.zeros((len(term), FACTORS)))
-    rows = sample.mapInArrow(_encode(empty), "doc_id long, y int, at binary").orderBy("doc_id", "y").collect()  # at most SAMPLE_ROWS, or repeats of their ids
-    return fit(term, [np.frombuffer(r["at"], "<i4") for r in rows], np.array([r["y"] for r in rows], float))
+    texts = id_and_text(docs).join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = written(texts.mapInArrow(_encode, "doc_id long, y int, at binary"), "labelled").orderBy("doc_id").toArrow()  # at most SAMPLE_ROWS
+    return fit([np.frombuffer(x.as_buffer(), "<i4") for x in rows.column("at")], rows.column("y").to_numpy().astype(float))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -177,3 +152,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema.fields)
     return keep.mapInArrow(run, f"{schema}, score double, predicted int")
+
+
+def clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that the model does not reject, with all columns as they are, whatever their names; null text counts as empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            filled = pa.RecordBatch.from_arrays([column(batch, "text").fill_null("")], names=["text"])
+            parts = [model.scores(column(b, "text")) for b in blocks(iter([filled]))]
+            yield batch.filter(pa.array(np.concatenate([*parts, np.zeros(0)]) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
