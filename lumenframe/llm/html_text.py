@@ -1,10 +1,12 @@
 """Main text of web pages (op 10): parser events, text-to-tag ratio per line, Gaussian smoothing, threshold clustering.
 
 A line is a block of the page: the text between two block-level tags. The ratio of a line's
-characters to its tags is smoothed over its neighbours; lines above the threshold form clusters,
-and the container that holds most of their text is the content region. Its lines are the result,
-short ones included, without those in menus, headers, footers, sidebars, notices, adverts, forms
-and reader comments.
+characters to its tags is smoothed over its neighbours; lines above the threshold form clusters.
+An article or main element with most of their text is the content region; on a page without one,
+the search goes down from the page to the container that holds nearly all of it, and boxes in
+there with few clustered lines (menus, link lists) go. The region's lines are the result, short
+ones included, without those in menus, headers, footers, sidebars, notices, adverts, forms and
+reader comments, which are told by tag, role, class and id.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ WORD = re.compile("[A-Z]?[a-z]+|[A-Z]+")
 SPACE = re.compile(r"\s+")
 RADIUS, SIGMA = 2, 1.0
 KERNEL = [math.exp(-(i * i) / (2 * SIGMA * SIGMA)) for i in range(-RADIUS, RADIUS + 1)]
+MOST, FEW = 0.8, 1 / 3  # share of the clusters' text that leads into a container; share of clustered lines under which a box goes
+EDGE = 2  # a step into a container that would leave out no more lines than these is not taken: they are its title and by-line
 HEAVY = 0.5  # a container is the content region when it has this share of the clusters' text
 
 
@@ -157,14 +161,33 @@ def main_text(html: str | None) -> str:
     for (_, _, path), w in zip(lines, heavy, strict=True):
         for container in path:
             weight[container] = weight.get(container, 0) + w
-    # semantic containers first; else all of the page that is left: lines of one article can lie in several boxes
     named = [c for c in weight if parser.kinds[c] in CONTAINERS and weight[c] >= HEAVY * total]
     if named:
         region = max(named, key=lambda c: (parser.kinds[c] == "article", weight[c]))
         lines = [x for x in lines if region in x[2]]
+    else:
+        lines = clustered(lines, heavy)
     return "\n".join(text for text, _, _ in lines)
 
 
+def clustered(lines: list[tuple[str, int, tuple[int, ...]]], heavy: list[int]) -> list[tuple[str, int, tuple[int, ...]]]:
+    """Lines of the container that the clusters lead to, without its boxes of few clustered lines."""
+    rows, level = list(zip(lines, heavy, strict=True)), 0
+    while True:
+        boxes: dict[int, list] = {}
+        for row in rows:
+            if len(row[0][2]) > level:
+                boxes.setdefault(row[0][2][level], []).append(row)
+        weigh = lambda b: sum(w for _, w in b)
+        best = max(boxes.values(), key=weigh, default=[])
+        whole = len(best) == len(rows)
+        if len(best) < 2 or not whole and (weigh(best) < MOST * weigh(rows) or len(rows) - len(best) <= EDGE):
+            break
+        rows, level = best, level + 1
+    poor = {k for k, b in boxes.items() if len(b) > 1 and sum(w > 0 for _, w in b) < FEW * len(b)}
+    return [x for x, _ in rows if len(x[2]) <= level or x[2][level] not in poor]
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """Per row of ``pages(page_id, url, html, ...)``: page_id, url, text, n_chars.
 
