@@ -133,8 +133,7 @@ def scored(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, codes: np.ndarray,
         row = approx[i]
         if len(row) > want:
             limit = np.partition(row, len(row) - want)[len(row) - want]
-            above, ties = np.flatnonzero(row > limit), np.flatnonzero(row == limit)
-            near = np.concatenate([above, ties[: want - len(above)]])  # ids ascend, so the smallest tied ids stay
+            near = np.flatnonzero(row >= limit)
         else:
             near = np.arange(len(row))
         near = near[ids[near] != query]

@@ -170,6 +170,23 @@ def test_repeated_passages_are_found(spark, sf_dir, texts):
         assert math.isclose(len(x & y) / len(x | y), r["similarity"]) and r["similarity"] >= 0.8
 
 
+@pytest.mark.parametrize("copies,length,edits,least", [(2, 60, 1, 0.9), (2, 80, 1, 0.95), (5, 80, 1, 0.95), (2, 160, 3, 0.95)])
+def test_edited_passages_are_found(spark, copies, length, edits, least):
+    rng, vocabulary, docs = random.Random(length + copies), [f"v{i}" for i in range(20_000)], []
+    for family in range(60):
+        passage = rng.choices(vocabulary, k=length)
+        for i in range(copies):
+            p = list(passage)
+            for at in rng.sample(range(5, length - 5), edits) if i else []:
+                p[at] = rng.choice(vocabulary)
+            docs.append((family * copies + i, rng.choices(vocabulary, k=rng.randint(20, 90)) + p + rng.choices(vocabulary, k=rng.randint(20, 90))))
+    rows = spark.createDataFrame([(i, " ".join(d)) for i, d in docs], "doc_id long, text string").repartition(3)
+    got = substring_dedup.passages(rows).collect()
+    found = {x for r in got if r["doc_id"] // copies == r["other_id"] // copies for x in (r["doc_id"], r["other_id"])}
+    assert all(r["doc_id"] // copies == r["other_id"] // copies for r in got)
+    assert len(found) >= least * len(docs)
+
+
 def edit(p, t):
     row = [0] * (len(t) + 1)
     for i, a in enumerate(p, 1):
@@ -325,13 +342,18 @@ def test_checksums_and_context():
     assert pii.redacted("mail a@b.co now", pii.spans("mail a@b.co now")) == "mail <EMAIL> now"
 
 
-def test_factorization_machine_learns_an_interaction():
-    rng = np.random.default_rng(0)
-    x = [np.flatnonzero(rng.random(6) < 0.5) for _ in range(3000)]
-    y = np.array([float((0 in d) and (1 in d)) for d in x])
-    model = toxicity.fit(np.arange(6, dtype=np.uint64), x, y)
-    one = lambda d: float(model.logits(np.zeros(len(d), int), np.array(d, int), 1)[0])
-    assert one([0, 1]) > 1 and one([0]) < -1 and one([1]) < -1
+def test_training_learns_a_pure_interaction(spark):
+    rng, rows, labels = random.Random(3), [], []
+    filler = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
+    for i in range(6000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append((i, " ".join(rng.choices(filler, k=12) + ["insulting"] * a + ["groupname"] * b)))
+        labels.append((i, int(a != b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    held = [i for i in range(6000) if zlib.crc32(str(i).encode()) % 3 == 1]
+    got = model.scores(pa.array([rows[i][1] for i in held])) >= 0.5
+    assert (got == np.array([labels[i][1] for i in held])).mean() >= 0.9
 
 
 def test_held_out_toxicity(spark):
@@ -351,6 +373,18 @@ def test_pages():
     assert html_text.main_text(bare).endswith("\nShort.") and "a\nb" not in html_text.main_text(bare)
 
 
+def test_clusters_choose_the_content_without_an_article(monkeypatch):
+    links = "".join(f"<li><a href=x>Link {i}</a></li>" for i in range(6))
+    text = "<h2>Title</h2>" + "".join(f"<p>{i} " + "Plain text of some length. " * 6 + "</p>" for i in range(4)) + "<p>Short.</p>"
+    page = f"<body><div><div><ul>{links}</ul></div><div>{text}</div><div><ul>{links}</ul><p>Legal</p></div></div></body>"
+    got = html_text.main_text(page).split("\n")
+    assert got[0] == "Title" and got[-1] == "Short." and len(got) == 6
+    mixed = f"<body><div>{links}</div><div>{text}</div><div>{text}</div></body>"
+    assert "Link" not in html_text.main_text(mixed) and len(html_text.main_text(mixed).split("\n")) == 12
+    monkeypatch.setattr(html_text, "threshold", lambda values: -1.0)
+    assert "Link" in html_text.main_text(mixed)
+
+
 def test_recall_against_brute_force(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
     ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], float)
@@ -365,8 +399,9 @@ def test_recall_against_brute_force(spark, sf_dir):
 
 
 def test_beam_search_encodes_no_worse_than_greedy():
-    x = np.random.default_rng(0).normal(size=(400, 16)).astype(np.float32)
-    books = additive_ann.fit(x)
+    rng = np.random.default_rng(0)
+    books = additive_ann.fit(rng.normal(size=(3000, 16)).astype(np.float32))
+    x = rng.normal(size=(400, 16)).astype(np.float32)  # rows that the books were not fitted on
     codes, norms = books.encode(x)
     whole = sum(books.words[b][codes[:, b]] for b in range(codes.shape[1]))
     greedy = x.copy()
