@@ -33,6 +33,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session hold at most BATCH_ROWS rows: buffers of whole texts stay small on both sides, and allocators keep what was once taken."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -384,6 +384,7 @@ def prefix(popular):
             yield pa.RecordBatch.from_pydict(
                 {
                     "node": pa.array(np.repeat(column(batch, "node").to_numpy(), n)),
+                    "root": pa.array(np.repeat(column(batch, "root").to_numpy(), n)),
                     "left": pa.array((np.repeat(size, n) - place).astype(np.int32)),
                     "size": pa.array(np.repeat(size, n)),
                     "element": pa.array(np.concatenate([*out, np.zeros(0, U)]).view(np.int64)),
@@ -393,9 +394,8 @@ def prefix(popular):
     return run
 
 
-def split_elements(e: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of ``e`` with their present root, of elements whose nodes are in more than one component."""
-    e = e.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+def split_elements(e: DataFrame) -> DataFrame:
+    """Rows of elements whose nodes are in more than one component."""
     parted = e.groupBy("element").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("element")
     return e.join(parted, "element", "left_semi")
 
@@ -412,21 +412,24 @@ def apart(e: DataFrame) -> DataFrame:
     return x.join(y, "element").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near)
 
 
-def finest(open_nodes: DataFrame, sets: DataFrame, links: DataFrame, roots: DataFrame) -> DataFrame:
+def finest(open_nodes: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
     """Roots by ``links`` and those between open nodes of different components: one element a segment, weight 1 for the tau + 1 rarest, 0 for others.
 
     One in SHARE of the pairs, by hash, is verified first: a node that has many links to a family of near
     copies joins it by one of them, and needn't be held against all others. The rest of the pairs
     that are still apart follows.
     """
-    open_sets = open_nodes.join(sets, "node")
+    few = open_nodes.count() <= BROADCAST_ROWS
+    open_sets = sets.join(F.broadcast(open_nodes) if few else open_nodes, "node")
     shared = open_nodes.sparkSession.sparkContext.broadcast(frequent(open_sets))
-    e = written(open_sets.select("node", "size", "elements").mapInArrow(prefix(shared), "node long, left int, size int, element long"), "rarest")
+    e = open_sets.select("node", "root", "size", "elements").mapInArrow(prefix(shared), "node long, root long, left int, size int, element long")
+    e = written(split_elements(written(e, "rarest")), "split")
     early = F.pmod(F.xxhash64("a", "b"), F.lit(SHARE)) == 0
     for turn in (early, ~early):
-        pairs = apart(written(split_elements(e, roots), "split")).where(turn).select("a", "b").distinct()
+        pairs = apart(e).where(turn).select("a", "b").distinct()
         links = links.unionByName(written(verified(pairs, sets), "more-links"))
         roots = written(components(links), "roots")
+        e = split_elements(e.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     return roots
 
 
@@ -464,9 +467,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # groups that the star left in more than one component
     member = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     parted = member.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
-    rest = written(member.join(parted, "key", "left_semi").select("node").distinct(), "open")
+    rest = written(member.join(parted, "key", "left_semi").select("node", "root").distinct(), "open")
     if not rest.isEmpty():
-        roots = finest(rest, sets, links, roots)
+        roots = finest(rest, sets, links)
     named = own.join(rep, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rep.join(roots, "node").groupBy("root").agg(F.min("rep").alias("least"))
     return named.join(least, "root", "left").select(

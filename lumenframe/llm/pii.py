@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.llm.wordhash import release
 from lumenframe.llm.common import id_and_text
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -148,6 +149,7 @@ def with_spans(docs: DataFrame, redact: bool = False) -> DataFrame:
                 names = ("kind", "start", "end", "score", "base")
                 extra = pa.array([[dict(zip(names, x, strict=True)) for x in f] for f in found], SPAN_TYPE)
                 yield batch.append_column("pii", extra)
+        release()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema.fields)
     return keep.mapInArrow(run, schema if redact else f"{schema}, pii {SPAN_DDL}")

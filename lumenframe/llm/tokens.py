@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from lumenframe.llm.wordhash import LETTERS, U, blocks, column, mix, prefix_sums, raw
+from lumenframe.llm.wordhash import LETTERS, U, blocks, column, mix, prefix_sums, raw, release
 
 TABLE_BITS = 21
 KNOWN_PIECES = 1_200_000
@@ -110,6 +110,7 @@ class Encoder:
 
             path = public_tokenizers.path(path)
         self.tokenizer = Tokenizer.from_file(path)
+        release()  # what reading the file took
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.by_word = by_word
         self.table = Table()
