@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.llm import decontaminate, ngram_join, packing, pii, toxicity
-from lumenframe.llm.common import without_ids, written
+from lumenframe.llm.common import small_batches, without_ids, written
 from lumenframe.llm.queries import table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, fitted on the labels of these documents, does not reject."""
+    small_batches(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.clean(docs, model)
 
@@ -22,6 +23,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Rows with a null id stay. Of rows that repeat both id and text one stays; rows of one id with
     different texts go together, if one of them belongs to another group.
     """
+    small_batches(spark)
     groups = written(ngram_join.jaccard_components(docs), "groups")
     gone = groups.where("doc_id is not null and component_id != doc_id").select("doc_id").distinct()
     kept = without_ids(docs, gone)
@@ -34,16 +36,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents into which no benchmark item leaks."""
+    small_batches(spark)
     return decontaminate.without_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with each span of personal data replaced by its kind, and ``n_chars`` of the new text."""
+    small_batches(spark)
     return pii.with_spans(docs, redact=True).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in sequences of 2048 ids."""
+    small_batches(spark)
     return packing.pack(docs, "word_bpe_49k.json", end_id=0, capacity=2048)
 
 
