@@ -20,6 +20,16 @@ class StainConfig:
     output: str = "binary"
 
 
+@dataclass(frozen=True)
+class CytoplasmConfig:
+    """Flooding of the cytoplasm from nuclei: over the channel's intensity for a ``membrane``, else over the distance to nuclei."""
+
+    threshold_min: float = 18
+    threshold_max: float = 255
+    min_object_size: int = 0
+    source: str = "channel"
+
+
 @dataclass(frozen=True)
 class Config:
     """Defaults of a run; ``channel_roles`` maps channel stems to roles in order."""
@@ -39,6 +49,7 @@ class Config:
     outlier_mad_threshold: float = 4.0
     channel_roles: Mapping[str, str] = field(default_factory=dict)
     stains: Mapping[str, StainConfig] = field(default_factory=dict)
+    cytoplasm: CytoplasmConfig = CytoplasmConfig()
 
     def __post_init__(self):
         if unknown := set(self.channel_roles.values()) - set(ROLES):
@@ -53,5 +64,11 @@ class Config:
         """Stain channels in order, without those whose method is none."""
         return [s for s, r in self.channel_roles.items() if r == "stain" and self.stains.get(s, StainConfig()).method != "none"]
 
+    def bands(self) -> dict[str, tuple[float, float]]:
+        """Threshold bands of the channels that thresholds segment: the nuclear one and stains."""
+        out = {s: (self.threshold_min, self.threshold_max) for s in [self.stem("nuclear")] if s}
+        of = {s: self.stains.get(s, StainConfig()) for s in self.stain_stems()}
+        return out | {s: (c.threshold_min, c.threshold_max) for s, c in of.items() if c.method == "threshold"}
+
     def primary_stem(self) -> str | None:
         return self.stem("nuclear") or next(iter(self.stain_stems()), None)

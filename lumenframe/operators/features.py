@@ -113,6 +113,38 @@ def texture(pixels: DataFrame, by: list[str], levels: int = 256) -> DataFrame:
     return box.select(*by).join(one.groupBy(*by).agg(*[F.avg(c).alias(c) for c in names]), by, "left")
 
 
+def object_features(labels: DataFrame, pixels: DataFrame, stem: str, channels: list[str], px: float = 1.0, pz: float | None = None, flat: bool = True, textured: bool = True) -> DataFrame:
+    """Features of labelled objects, a row each: n_px, calibrated morphology, intensity and texture in channel ``stem``, means of the other ``channels``.
+
+    Stacks have volume, the ellipsoid's axes, elongation and flatness in place of area, perimeter,
+    circularity, eccentricity and orientation, and no texture. An object of which the channel has no pixel has null intensities.
+    """
+    place = ["sample_id", "z", "y", "x"]
+    on = labels.select(*place, "label").join(pixels.select(*place, "channel", "v"), place)
+    own = on.where(F.col("channel") == stem)
+    if flat:
+        shape = ellipse(labels, OBJECT).join(perimeter(labels, OBJECT), OBJECT, "left").select(
+            *OBJECT, F.col("area").alias("n_px"), (F.col("area") * px**2).alias("area_um2"), (F.col("perimeter") * px).alias("perimeter_um"), circularity(F.col("area"), F.col("perimeter")).alias("circularity"), "eccentricity",
+            (F.col("major") * px).alias("major_axis_length_um"), (F.col("minor") * px).alias("minor_axis_length_um"), F.col("cx").alias("centroid_x"), F.col("cy").alias("centroid_y"), "orientation",
+        )
+    else:
+        deep = pz or px
+        centre = labels.groupBy(*OBJECT).agg(*[F.avg(c).alias(f"centroid_{c}") for c in "zyx"])
+        shape = ellipsoid(labels, OBJECT, deep / px).join(centre, OBJECT).select(
+            *OBJECT, F.col("voxels").alias("n_px"), (F.col("voxels") * (px**2 * deep)).alias("volume_um3"), "elongation", "flatness",
+            (F.col("major") * px).alias("major_axis_length_um"), (F.col("minor") * px).alias("minor_axis_length_um"), "centroid_z", "centroid_y", "centroid_x",
+        )
+    names = {"mean": "intensity_mean", "sd": "intensity_sd", "median": "intensity_median", "p10": "intensity_p10", "p90": "intensity_p90", "total": "integrated_intensity"}
+    out = shape.join(intensity(own, OBJECT).select(*OBJECT, *[F.col(c).alias(n) for c, n in names.items()]), OBJECT, "left")
+    if flat and textured:
+        grey = texture(own, OBJECT)
+        out = out.join(grey.select(*OBJECT, *[F.col(c).alias(f"texture_{c}") for c in grey.columns if c not in OBJECT]), OBJECT, "left")
+    if others := sorted(set(channels) - {stem}):
+        means = on.groupBy(*OBJECT).pivot("channel", others).agg(F.avg("v"))
+        out = out.join(means.select(*OBJECT, *[F.col(f"`{c}`").alias(f"{c}_mean") for c in others]), OBJECT, "left")
+    return out
+
+
 def depth_profile(pixels: DataFrame, low: float, high: float) -> DataFrame:
     """Mean intensity and share of pixels in the band for each plane of each sample and channel."""
     v = F.col("v")

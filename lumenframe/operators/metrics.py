@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
@@ -71,6 +73,44 @@ def channel_qc(pixels: DataFrame, low: float, high: float, dtype_max: float | No
     return pixels.groupBy("sample_id", "channel").agg(F.avg("v").alias("mean"), full.alias("saturated_pct"), share(F.col("v").between(low, high)).alias("in_band_pct"))
 
 
+def channel_qc_bands(pixels: DataFrame, bands: Mapping[str, tuple[float, float]], type_max: Mapping[str, float] | None = None) -> DataFrame:
+    """Quality of each sample's channels, each by its own band: mean, percentage at the type's maximum, the band and the percentage in it.
+
+    Channels without a type maximum (floats) have no percentage at it, those without a band none in it.
+    """
+
+    def of(values: Mapping[str, float]) -> Column:
+        out = F.lit(None).cast("double")
+        for stem, v in values.items():
+            out = F.when(F.col("channel") == stem, F.lit(float(v))).otherwise(out)
+        return out
+
+    low, high, most = of({s: b[0] for s, b in bands.items()}), of({s: b[1] for s, b in bands.items()}), of(type_max or {})
+    share = lambda c: 100.0 * F.avg(c.cast("int"))
+    return pixels.groupBy("sample_id", "channel").agg(
+        F.avg("v").alias("mean"), share(F.col("v") >= most).alias("saturated_pct"), F.max(low).alias("threshold_min_used"), F.max(high).alias("threshold_max_used"),
+        share((F.col("v") >= low) & (F.col("v") <= high)).alias("in_band_pct"),
+    )
+
+
+def qc_rows(qc: DataFrame) -> DataFrame:
+    """(sample_id, metric, value) of channel quality, ``qc_<channel>_<measure>``; bands that were not used have no row."""
+    names = {"mean": "intensity_mean", "saturated_pct": "pct_saturated", "threshold_min_used": "threshold_min_used", "threshold_max_used": "threshold_max_used", "in_band_pct": "pct_in_threshold_band"}
+    long = qc.select("sample_id", "channel", *[F.col(c).cast("double").alias(n) for c, n in names.items()]).unpivot(["sample_id", "channel"], list(names.values()), "metric", "value")
+    used = F.col("value").isNotNull() | F.col("metric").isin("intensity_mean", "pct_saturated")
+    return long.where(used).select("sample_id", F.concat(F.lit("qc_"), "channel", F.lit("_"), "metric").alias("metric"), "value")
+
+
+def particle_measures(particles: DataFrame, images: DataFrame, size: str) -> DataFrame:
+    """Per sample and stain of images(sample_id, stain, image_px): number, total, mean and standard error of the sizes of its particles, covered share of the image.
+
+    particles(sample_id, stain, n_px, <size>); a stain without particles has 0, 0, null, null and 0.
+    """
+    n = particles.groupBy("sample_id", "stain").agg(F.count("*").alias("particle_count"), F.sum(size).alias("total"), F.avg(size).alias("mean"), sem(F.col(size)).alias("sem"), F.sum("n_px").alias("_px"))
+    out = images.join(n, ["sample_id", "stain"], "left").fillna(0, ["particle_count", "total", "_px"])
+    return out.withColumn("coverage", F.col("_px") / F.col("image_px")).drop("_px", "image_px")
+
+
 def histogram(values: DataFrame, value: str, by: list[str], high: float, bins: int = 128) -> DataFrame:
     """Counts by bin (from 0) over [0, high]; the last bin holds its upper end."""
     v = F.col(value)

@@ -95,6 +95,12 @@ def segment(pixels: DataFrame, low: float, high: float, connectivity: int, min_s
     return relabelled(labels, kept_objects(labels, pixels, min_size, margin))
 
 
+def stain(pixels: DataFrame, low: float, high: float, min_size: int = 0, margin: int = 0, flat: bool = True) -> DataFrame:
+    """Objects of a stain: threshold, fill, label by corners too, filter by size and border; labels stay raster places."""
+    labels = components(holes_filled(pixels.where(F.col("v").between(low, high)), pixels, flat), 2, flat)
+    return labels.join(kept_objects(labels, pixels, min_size, margin), OBJECT, "left_semi")
+
+
 def ball(radius: int, flat: bool = True) -> list[tuple[int, int, int]]:
     r = range(-radius, radius + 1)
     return [(z, y, x) for z, y, x in product((0,) if flat else r, r, r) if z * z + y * y + x * x <= radius * radius]
@@ -105,24 +111,28 @@ def dilated(labels: DataFrame, radius: int, flat: bool = True) -> DataFrame:
     return shifted(labels, ball(radius, flat), ["label"]).distinct()
 
 
-def distance(mask: DataFrame, frame: DataFrame) -> DataFrame:
-    """Squared Euclidean distance of mask pixels of flat images to the nearest background, in two separable passes.
+def distance(mask: DataFrame, frame: DataFrame, flat: bool = True, aniso: float = 1.0) -> DataFrame:
+    """Squared Euclidean distance of mask pixels to the nearest background, in separable passes.
 
     The first pass has the distance down each column by windows; the second takes, for each pixel,
-    the least over its row, held as one array. Images without background have null. Stacks are refused:
-    a plane other than the first raises an error.
+    the least over its row, held as one array; of stacks a third takes the least over the planes,
+    ``aniso`` pixels apart. In flat images each plane is one of its own. Images without background have null.
     """
-    flat = F.when(F.col("z") == 0, True).otherwise(F.raise_error(F.lit("distances are of flat images")).cast("boolean"))
-    cells = frame.where(flat).select("sample_id", "y", "x").join(mask.select("sample_id", "y", "x", F.lit(True).alias("on")), ["sample_id", "y", "x"], "left")
+    cells = frame.select(*PLACE).join(mask.select(*PLACE, F.lit(True).alias("on")), PLACE, "left")
     own = F.when(F.col("on").isNull(), F.col("y"))
-    w = Window.partitionBy("sample_id", "x").orderBy("y")
+    w = Window.partitionBy("sample_id", "z", "x").orderBy("y")
     above = F.last(own, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     below = F.first(own, True).over(w.rowsBetween(0, Window.unboundedFollowing))
     column = cells.withColumn("g", F.least(F.col("y") - above, below - F.col("y")).cast("long"))
-    row = column.groupBy("sample_id", "y").agg(F.collect_list(F.when(F.col("g").isNotNull(), F.struct("x", "g"))).alias("row"))
-    on = column.where("on").join(row, ["sample_id", "y"])
-    least = F.array_min(F.transform("row", lambda p: (F.col("x") - p["x"]) * (F.col("x") - p["x"]) + p["g"] * p["g"]))
-    return on.select("sample_id", F.lit(0).alias("z"), "y", "x", least.cast("long").alias("d2"))
+    row = column.groupBy("sample_id", "z", "y").agg(F.collect_list(F.when(F.col("g").isNotNull(), F.struct("x", "g"))).alias("row"))
+    on = (column.where("on") if flat else column).join(row, ["sample_id", "z", "y"])
+    least = F.array_min(F.transform("row", lambda p: (F.col("x") - p["x"]) * (F.col("x") - p["x"]) + p["g"] * p["g"])).cast("long")
+    if flat:
+        return on.select(*PLACE, least.alias("d2"))
+    plane = on.select(*PLACE, "on", least.alias("g"))
+    line = plane.groupBy("sample_id", "y", "x").agg(F.collect_list(F.when(F.col("g").isNotNull(), F.struct("z", "g"))).alias("line"))
+    deep = F.array_min(F.transform("line", lambda p: (F.col("z") - p["z"]) * (F.col("z") - p["z"]) * float(aniso) ** 2 + p["g"]))
+    return plane.where("on").join(line, ["sample_id", "y", "x"]).select(*PLACE, deep.alias("d2"))
 
 
 def peaks(values: DataFrame, min_distance: int, value: str) -> DataFrame:
@@ -134,7 +144,7 @@ def peaks(values: DataFrame, min_distance: int, value: str) -> DataFrame:
     return values.join(near, PLACE).where(F.col(value) == F.col("most")).join(ends, "sample_id").where(inside).select(*PLACE, value)
 
 
-def flooded(markers: DataFrame, mask: DataFrame, elevation: str) -> DataFrame:
+def flooded(markers: DataFrame, mask: DataFrame, elevation: str, flat: bool = True) -> DataFrame:
     """Mask pixels labelled by the marker that reaches each over the lowest pass, then in the fewest steps, then of the least label.
 
     A round offers each pixel its side neighbours' best paths; rounds end when none improves.
@@ -143,7 +153,7 @@ def flooded(markers: DataFrame, mask: DataFrame, elevation: str) -> DataFrame:
     state = written(cost.join(markers.select(*PLACE, "label"), PLACE, "left").select(*PLACE, "e", F.when(F.col("label").isNotNull(), F.struct(F.col("e").alias("pass"), F.lit(0).alias("steps"), F.col("label").cast("long").alias("label"))).alias("best")), "flood")
     before = None
     while True:
-        offers = shifted(state.where("best is not null"), neighbours(1, True, half=False), ["best"]).groupBy(*PLACE).agg(F.min("best").alias("offer"))
+        offers = shifted(state.where("best is not null"), neighbours(1, flat, half=False), ["best"]).groupBy(*PLACE).agg(F.min("best").alias("offer"))
         joined = state.join(offers, PLACE, "left")
         through = F.when(F.col("offer").isNotNull(), F.struct(F.greatest("offer.pass", "e").alias("pass"), (F.col("offer.steps") + 1).alias("steps"), F.col("offer.label").alias("label")))
         state = written(joined.select(*PLACE, "e", F.when(F.col("best.steps") == 0, F.col("best")).otherwise(F.least("best", through)).alias("best")), "flood")

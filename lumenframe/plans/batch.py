@@ -8,25 +8,42 @@ from dataclasses import asdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenframe.config import Config, StainConfig
+from lumenframe.config import Config, CytoplasmConfig, StainConfig
+from lumenframe.functions.geometry import axial_order
 from lumenframe.operators import compartments, features, metrics, outliers, segmentation
+from lumenframe.plans import particles
 from lumenframe.runtime import written
 from lumenframe.sources.pixels import from_arrays
 
 __all__ = ["analyse", "from_arrays", "save", "summaries"]
 
 
-def cytoplasm_by_flood(nuclei: DataFrame, pixels: DataFrame, low: float, high: float) -> DataFrame:
-    """Cytoplasm of each nucleus: the band and the nuclei, flooded from the nuclei over intensity, without them. Its label is the nucleus."""
+def cytoplasm_by_flood(nuclei: DataFrame, pixels: DataFrame, c: CytoplasmConfig, flat: bool = True, aniso: float = 1.0) -> DataFrame:
+    """Cytoplasm of each nucleus, whose label it has: the filled band and the nuclei, flooded from the nuclei, without them.
+
+    A membrane floods over the intensity, any other channel over the distance to the nearest nucleus.
+    """
     place = segmentation.PLACE
-    foreground = pixels.where(F.col("v").between(low, high)).select(*place).unionByName(nuclei.select(*place)).distinct()
-    out = segmentation.flooded(nuclei, foreground.join(pixels.select(*place, "v"), place), "v")
-    return out.join(nuclei.select(*place), place, "left_anti")
+    band = segmentation.holes_filled(pixels.where(F.col("v").between(c.threshold_min, c.threshold_max)), pixels, flat)
+    foreground = band.select(*place).unionByName(nuclei.select(*place)).distinct()
+    if c.source == "membrane":
+        height = pixels.select(*place, F.col("v").alias("height"))
+    else:
+        off = pixels.select(*place).join(nuclei.select(*place), place, "left_anti")
+        far = segmentation.distance(off, pixels, flat, aniso)
+        height = pixels.select(*place).join(far, place, "left").select(*place, F.coalesce("d2", F.lit(0)).alias("height"))
+    labels = segmentation.flooded(nuclei, foreground.join(height, place), "height", flat).join(nuclei.select(*place), place, "left_anti")
+    if c.min_object_size > 0:
+        labels = labels.join(segmentation.kept_objects(labels, pixels, c.min_object_size), segmentation.OBJECT, "left_semi")
+    return labels
 
 
-def analyse(pixels: DataFrame, config: Config, flat: bool = True, labels: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+def analyse(pixels: DataFrame, config: Config, flat: bool = True, labels: dict[str, DataFrame] | None = None, type_max: dict[str, float] | None = None) -> dict[str, DataFrame]:
     """Tables of a run over pixels(sample_id, channel, z, y, x, v) of all samples at once.
 
+    Without a nuclear channel or labels, those of ``particles.analyse_particles``. ``type_max`` holds
+    the largest value of each integer channel's type, for the share of saturated pixels.
+
     ``labels`` holds label relations made elsewhere, as ``nuclear`` or ``cytoplasm``; a sample they
     lack is segmented here only if they are not given at all.
 
@@ -37,15 +54,17 @@ def analyse(pixels: DataFrame, config: Config, flat: bool = True, labels: dict[s
     pixel = config.pixel_size_um or 1.0
     area = pixel**2 * (1.0 if flat else config.z_size_um or pixel)  # of a stack, the volume of a voxel
     word, unit = ("area", "um2") if flat else ("volume", "um3")
-    nuclear = of(config.stem("nuclear"))
     given = labels or {}
+    if config.stem("nuclear") is None and "nuclear" not in given:
+        return particles.analyse_particles(pixels, config, flat, type_max)
+    nuclear = of(config.stem("nuclear"))
     nuclei = written(given["nuclear"].select(*segmentation.PLACE, "label") if "nuclear" in given else segmentation.segment(nuclear, config.threshold_min, config.threshold_max, config.connectivity, config.min_object_size, config.edge_margin, flat), "nuclei")
     cyto_stem = config.stem("cytoplasm")
     cyto = None
     if "cytoplasm" in given:  # nuclei are cut out, labels stay
         cyto = written(given["cytoplasm"].select(*segmentation.PLACE, "label").join(nuclei, segmentation.PLACE, "left_anti"), "cytoplasm")
     elif cyto_stem:
-        cyto = written(cytoplasm_by_flood(nuclei, of(cyto_stem), config.threshold_min, config.threshold_max), "cytoplasm")
+        cyto = written(cytoplasm_by_flood(nuclei, of(cyto_stem), config.cytoplasm, flat, (config.z_size_um or pixel) / pixel), "cytoplasm")
     mapping = compartments.adjacent_cytoplasm(nuclei, cyto, flat=flat) if cyto is not None else nuclei.select("sample_id", F.col("label").alias("nuc_id"), F.lit(None).cast("long").alias("cyto_id")).distinct()
     mapping = written(mapping, "mapping")
     sized = lambda labels: labels.groupBy("sample_id", F.col("label").alias("id")).agg((F.count("*") * area).alias("size"))
@@ -57,16 +76,20 @@ def analyse(pixels: DataFrame, config: Config, flat: bool = True, labels: dict[s
     stains, thresholds = {}, {}
     for stem in config.stain_stems():
         s = config.stains.get(stem, StainConfig())
-        mask = segmentation.components(segmentation.holes_filled(of(stem).where(F.col("v").between(s.threshold_min, s.threshold_max)), of(stem), flat), 2, flat)
-        mask = written(mask.join(segmentation.kept_objects(mask, of(stem), s.min_object_size), ["sample_id", "label"], "left_semi"), "stain")
+        mask = written(segmentation.stain(of(stem), s.threshold_min, s.threshold_max, s.min_object_size, config.edge_margin, flat), "stain")
         by = lambda labels: compartments.stain_by_region(mask, labels, area, flat=flat).select("sample_id", F.col("region").alias("id"), F.col("stain_area").alias("size"), F.col("pieces").alias("count"), F.col("stain_px").alias("px"))  # noqa: B023, E731
         none = nuclei.limit(0)
         stains[stem] = (by(nuclei), by(cyto if cyto is not None else none))
         thresholds[stem] = compartments.mean_particle_area(mask, nuclei)
         objects.append(compartments.particles(mask, territory, flat=flat).select("sample_id", F.lit(f"stain:{stem}").alias("channel"), F.col("owner").alias("cell_id"), (F.col("size") * area).alias("size")))
     cells = compartments.cells(sized(nuclei), sized(cyto) if cyto is not None else None, mapping, stains, thresholds, word, unit)
-    axes = features.ellipse(nuclei, ["sample_id", "label"]).withColumnRenamed("label", "nuc_id")
-    cells = written(cells.join(axes.drop("area"), ["sample_id", "nuc_id"], "left"), "cells")
+    for mark, key, objects_, stem in [("N", "nuc_id", nuclei, config.stem("nuclear")), ("C", "cyto_id", cyto, cyto_stem)]:
+        if objects_ is not None:
+            textured = mark == "N" or config.cytoplasm.source != "membrane"
+            f = features.object_features(objects_, pixels, stem or "", list(config.channel_roles), pixel, config.z_size_um, flat, textured)
+            named = f.select("sample_id", F.col("label").alias(key), *[F.col(f"`{c}`").alias(f"{mark}_{c}") for c in f.columns if c not in segmentation.OBJECT])
+            cells = cells.join(written(named, "features"), ["sample_id", key], "left")
+    cells = written(cells, "cells")
     every = objects[0]
     for o in objects[1:]:
         every = every.unionByName(o)
@@ -78,13 +101,19 @@ def analyse(pixels: DataFrame, config: Config, flat: bool = True, labels: dict[s
         tiers["outlier_removed"] = outliers.outlier_tier(kept, flagged, ["sample_id", "nuc_id"])
     values = ["nuc_size"] + [c for c in cells.columns if c.startswith("stain_") and not c.endswith("has_stain")]
     flags = [c for c in cells.columns if c.endswith("cell_has_stain")]
+    qc = metrics.channel_qc_bands(pixels, {s: b for s, b in config.bands().items() if "nuclear" not in given or s != config.stem("nuclear")}, type_max)
     long = None
     for tier, t in tiers.items():
-        m = metrics.cell_metrics(t, ["sample_id"], values, flags).withColumn("tier", F.lit(tier))
+        m = metrics.cell_metrics(t, ["sample_id"], values, flags).unionByName(metrics.qc_rows(qc))
+        if flat:
+            m = m.unionByName(metrics.long_metrics(t.groupBy("sample_id").agg(axial_order(F.col("N_orientation")).alias("nuclear_alignment")), ["sample_id"], ["nuclear_alignment"]))
+        if cyto is not None:
+            m = m.unionByName(metrics.long_metrics(metrics.nucleation(t), ["sample_id"], ["mono", "poly", "poly_fraction"]))
+        m = m.withColumn("tier", F.lit(tier))
         long = m if long is None else long.unionByName(m)
     return {
         "cells": cells, "metrics": long, "outliers": outliers.screen_summary(screened, ["sample_id", "channel"], "cell_id"),
-        "qc": metrics.channel_qc(pixels, config.threshold_min, config.threshold_max, None), "depth": features.depth_profile(pixels, config.threshold_min, config.threshold_max),
+        "qc": qc, "depth": features.depth_profile(pixels, config.threshold_min, config.threshold_max),
     } | {"labels_nuclear": nuclei} | ({"labels_cytoplasm": cyto} if cyto is not None else {}) | {f"cells_{k}": v for k, v in tiers.items() if k != "all"}
 
 

@@ -473,3 +473,22 @@ def particle_ids(spark, d):
     return rows.select("sample_id", n(Window.partitionBy("sample_id").orderBy("stain", *TIES)).alias("cell_id"), "stain", n(Window.partitionBy("sample_id", "stain").orderBy(*TIES)).alias("label_id"))
 
 
+@query(f"""WITH RECURSIVE {PX}, {components_sql('lab', BAND, EIGHT)}, o AS (SELECT sample_id, label, count(*) AS n FROM lab GROUP BY ALL), i AS (SELECT sample_id, count(*) AS image_px FROM flat GROUP BY ALL),
+ k AS (SELECT sample_id, count(*) AS particle_count, sum(n)*0.25e0 AS total, avg(n)*0.25e0 AS mean, stddev_samp(n*0.25e0)/sqrt(count(*)) AS sem, sum(n) AS px FROM o GROUP BY ALL)
+ SELECT i.sample_id, 'c0' AS stain, coalesce(particle_count, 0) AS particle_count, coalesce(total, 0) AS total, round(mean, 6) AS mean, round(sem, 6) AS sem, round(coalesce(CAST(px AS BIGINT), 0)/CAST(image_px AS DOUBLE), 6) AS coverage FROM i LEFT JOIN k USING (sample_id)""")
+def particle_measures(spark, d):
+    px = flat(spark, d)
+    objects = segmentation.components(px.where("v >= 140"), 2).groupBy("sample_id", "label").agg(F.count("*").alias("n_px"))
+    images = px.groupBy("sample_id", F.col("channel").alias("stain")).agg(F.count("*").alias("image_px"))
+    out = metrics.particle_measures(objects.withColumns({"stain": F.lit("c0"), "size": F.col("n_px") * 0.25}), images, "size")
+    return out.select("sample_id", "stain", "particle_count", "total", *r6("mean", "sem", "coverage"))
+
+
+@query(f"""WITH {PX}, c AS (SELECT sample_id, 'c0' AS channel, v FROM flat UNION ALL SELECT sample_id, 'c1', 255 - v FROM flat)
+ SELECT sample_id, channel, round(avg(v), 6) AS mean, CASE WHEN channel = 'c1' THEN round(100e0*avg(CASE WHEN v >= 150 THEN 1e0 ELSE 0 END), 6) END AS saturated_pct, CASE WHEN channel = 'c0' THEN 140e0 END AS threshold_min_used,
+ CASE WHEN channel = 'c0' THEN 160e0 END AS threshold_max_used, CASE WHEN channel = 'c0' THEN round(100e0*avg(CASE WHEN v BETWEEN 140 AND 160 THEN 1e0 ELSE 0 END), 6) END AS in_band_pct FROM c GROUP BY ALL""")
+def channel_qc_bands(spark, d):
+    px = flat(spark, d)
+    both = px.unionByName(px.withColumns({"channel": F.lit("c1"), "v": 255 - F.col("v")}))
+    out = metrics.channel_qc_bands(both, {"c0": (140, 160)}, {"c1": 150})
+    return out.select("sample_id", "channel", "threshold_min_used", "threshold_max_used", *r6("mean", "saturated_pct", "in_band_pct"))

@@ -81,10 +81,13 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["path", "shape", "dtype", "px", "pz", "data", "error"])
 
 
-def read_tiff(spark: SparkSession, root: str) -> DataFrame:
-    """One row a file below ``root``: path, shape, dtype, px, pz, data (raster order, little-endian) and error."""
+def read_tiff(spark: SparkSession, root: str, chosen: DataFrame | None = None) -> DataFrame:
+    """One row a file below ``root``, of those in chosen(path) if given: path, shape, dtype, px, pz, data (raster order, little-endian) and error."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.where(F.lower("path").rlike(r"\.tiff?$")).select("path", "content").mapInArrow(_read, SCHEMA)
+    files = files.where(F.lower("path").rlike(r"\.tiff?$")).select("path", "content")
+    if chosen is not None:
+        files = files.join(chosen, "path", "left_semi")
+    return files.mapInArrow(_read, SCHEMA)
 
 
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
