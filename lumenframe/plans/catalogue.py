@@ -486,7 +486,7 @@ def particle_measures(spark, d):
 
 @query(f"""WITH {PX}, c AS (SELECT sample_id, 'c0' AS channel, v FROM flat UNION ALL SELECT sample_id, 'c1', 255 - v FROM flat)
  SELECT sample_id, channel, round(avg(v), 6) AS mean, CASE WHEN channel = 'c1' THEN round(100e0*avg(CASE WHEN v >= 150 THEN 1e0 ELSE 0 END), 6) END AS saturated_pct, CASE WHEN channel = 'c0' THEN 140e0 END AS threshold_min_used,
- CASE WHEN channel = 'c0' THEN 160e0 END AS threshold_max_used, CASE WHEN channel = 'c0' THEN round(100e0*avg(CASE WHEN v BETWEEN 140 AND 160 THEN 1e0 ELSE 0 END), 6) END AS in_band_pct FROM c GROUP BY ALL""")
+ CASE WHEN channel = 'c0' THEN 160e0 END AS threshold_max_used, CASE WHEN channel = 'c0' THEN round(100e0*avg(CASE WHEN v BETWEEN 140 AND 160 THEN 1e0 ELSE 0 END), 6) END AS in_band_pct FROM c GROUP BY sample_id, channel""")
 def channel_qc_bands(spark, d):
     px = flat(spark, d)
     both = px.unionByName(px.withColumns({"channel": F.lit("c1"), "v": 255 - F.col("v")}))
