@@ -340,10 +340,13 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The candidate pairs (a, b) that are linked: first by sketches, what they leave by whole sets."""
-    side = lambda node, kept: sets.select(F.col("node").alias(node), *(F.col(c).alias(n) for c, n in kept.items()))
-    near = pairs.join(side("b", {"sketch": "y", "size": "n"}), "b").join(side("a", {"sketch": "x", "size": "m"}), "a")
-    near = near.select("a", "b", "x", "y", "m", "n").mapInArrow(possible, "a long, b long")
-    whole = near.join(side("b", {"elements": "y"}), "b").join(side("a", {"elements": "x"}), "a")
+    side = lambda of, node, kept: of.select(F.col("node").alias(node), *(F.col(c).alias(n) for c, n in kept.items()))
+    near = pairs.join(side(sets, "b", {"sketch": "y", "size": "n"}), "b").join(side(sets, "a", {"sketch": "x", "size": "m"}), "a")
+    near = written(near.select("a", "b", "x", "y", "m", "n").mapInArrow(possible, "a long, b long"), "near")
+    ends = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    # sets of no pair that is left are not shuffled
+    held = sets.join(F.broadcast(ends) if near.count() <= BROADCAST_ROWS else ends, "node", "left_semi")
+    whole = near.join(side(held, "b", {"elements": "y"}), "b").join(side(held, "a", {"elements": "x"}), "a")
     return whole.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
