@@ -12,9 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.config import Config
 from lumenframe.functions import calibration, geometry
 from lumenframe.operators import compartments, features, metrics, outliers, segmentation, spatial
-from lumenframe.sources import pixels
+from lumenframe.sources import discovery, pixels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -149,10 +150,16 @@ def dilated_area(spark, d):
     return segmentation.dilated(labels, 2).groupBy("sample_id").agg(F.count("*").alias("px"))
 
 
-@query(None)
+@query(f"""WITH {PX}, b AS (SELECT sample_id, x FROM flat WHERE v BETWEEN 140 AND 255), z AS (SELECT sample_id, count(*) AS n, min(x) AS lo, max(x)-min(x) AS span FROM b GROUP BY 1),
+ g AS (SELECT sample_id, lo, span, unnest(range(span+1)) AS bin FROM z WHERE n >= 3 AND span >= 2),
+ c AS (SELECT g.sample_id, span, bin, count(x) AS c FROM g LEFT JOIN b ON b.sample_id = g.sample_id AND x = lo+bin GROUP BY ALL),
+ s AS (SELECT sample_id, span, bin, (coalesce(lag(c) OVER w, c) + c + coalesce(lead(c) OVER w, c))/3e0 AS s FROM c WINDOW w AS (PARTITION BY sample_id ORDER BY bin)),
+ p AS (SELECT sample_id, span, coalesce(s >= 0.5 AND lag(s) OVER w < s AND lead(s) OVER w < s, false) AS peak FROM s WINDOW w AS (PARTITION BY sample_id ORDER BY bin)),
+ f AS (SELECT sample_id, span, CAST(sum(CASE WHEN peak THEN 1 ELSE 0 END) AS BIGINT) AS n_peaks FROM p GROUP BY ALL)
+ SELECT z.sample_id, coalesce(n_peaks, 0) AS n_peaks, round(n_peaks/CAST(f.span AS DOUBLE), 6) AS frequency FROM z LEFT JOIN f ON f.sample_id = z.sample_id""")
 def axis_peaks(spark, d):
     band = flat(spark, d).where(features.in_band(F.col("v"), LOW, HIGH))
-    return spatial.axis_profile_peaks(band, ["sample_id"], F.col("x"))
+    return spatial.axis_profile_peaks(band, ["sample_id"], F.col("x")).withColumn("frequency", F.round("frequency", 6))
 
 
 @query("""SELECT c_nationkey AS sample_id, count(*) AS n, round(avg(CASE WHEN c_acctbal > 0 THEN 1e0 ELSE 0 END), 6) AS complete FROM customer GROUP BY 1""")
@@ -492,3 +499,75 @@ def channel_qc_bands(spark, d):
     both = px.unionByName(px.withColumns({"channel": F.lit("c1"), "v": 255 - F.col("v")}))
     out = metrics.channel_qc_bands(both, {"c0": (140, 160)}, {"c1": 150})
     return out.select("sample_id", "channel", "threshold_min_used", "threshold_max_used", *r6("mean", "saturated_pct", "in_band_pct"))
+
+
+BOTH = f"""{PX}, both_ AS (SELECT sample_id, y, x, 'c0' AS channel, v FROM flat UNION ALL SELECT sample_id, y, x, 'c1', 255 - v FROM flat)"""
+
+
+def two_channels(spark, d) -> DataFrame:
+    px = flat(spark, d)
+    return px.unionByName(px.withColumns({"channel": F.lit("c1"), "v": 255 - F.col("v")}))
+
+
+@query(f"""WITH {BOTH}, o AS (SELECT *, CASE WHEN y < 4 THEN 1 ELSE 2 END AS label FROM both_ WHERE x > 1)
+ SELECT sample_id, label, round(avg(v) FILTER (channel = 'c0'), 6) AS c0_mean, CAST(sum(v) FILTER (channel = 'c0') AS BIGINT) AS c0_integrated, round(avg(v) FILTER (channel = 'c1'), 6) AS c1_mean,
+ CAST(sum(v) FILTER (channel = 'c1') AS BIGINT) AS c1_integrated FROM o GROUP BY ALL""")
+def channel_means(spark, d):
+    objects = two_channels(spark, d).where("x > 1").withColumn("label", F.when(F.col("y") < 4, 1).otherwise(2))
+    out = features.channel_means(objects, ["c0", "c1"])
+    return out.select("sample_id", "label", "c0_integrated", "c1_integrated", *r6("c0_mean", "c1_mean"))
+
+
+@query(f"""WITH {BOTH}, q AS (SELECT sample_id, channel, avg(v) AS mean, 1e2*avg(CASE WHEN v >= 180 THEN 1e0 ELSE 0 END) AS full_, 1e2*avg(CASE WHEN v BETWEEN 140 AND 160 THEN 1e0 ELSE 0 END) AS band FROM both_ GROUP BY ALL)
+ SELECT sample_id, 'qc_' || channel || '_intensity_mean' AS metric, round(mean, 6) AS value FROM q UNION ALL SELECT sample_id, 'qc_' || channel || '_pct_saturated', round(CASE WHEN channel = 'c1' THEN full_ END, 6) FROM q
+ UNION ALL SELECT sample_id, 'qc_c0_threshold_min_used', 140 FROM q WHERE channel = 'c0' UNION ALL SELECT sample_id, 'qc_c0_threshold_max_used', 160 FROM q WHERE channel = 'c0'
+ UNION ALL SELECT sample_id, 'qc_c0_pct_in_threshold_band', round(band, 6) FROM q WHERE channel = 'c0'""")
+def quality_metrics(spark, d):
+    out = metrics.qc_rows(metrics.channel_qc_bands(two_channels(spark, d), {"c0": (140, 160)}, {"c1": 180}))
+    return out.select("sample_id", "metric", *r6("value"))
+
+
+@query("""SELECT CAST(s_suppkey AS VARCHAR) AS id, s_acctbal AS balance FROM supplier""")
+def summary_rows_stripped(spark, d):
+    t = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance"))
+    return metrics.without_summary_rows(metrics.with_summary_rows(t, "id", True), "id")
+
+
+@query("""WITH v AS (SELECT vec_id % 10 AS sample_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings),
+ u AS (SELECT sample_id, a/n AS x, b/n AS y, c/n AS z FROM (SELECT *, sqrt(a*a+b*b+c*c) AS n FROM v) WHERE n > 0),
+ m AS (SELECT sample_id, count(*) AS k, 1.5e0*avg(x*x)-0.5e0 AS xx, 1.5e0*avg(y*y)-0.5e0 AS yy, 1.5e0*avg(z*z)-0.5e0 AS zz, 1.5e0*avg(x*y) AS xy, 1.5e0*avg(x*z) AS xz, 1.5e0*avg(y*z) AS yz FROM u GROUP BY 1),
+ q AS (SELECT *, (xx+yy+zz)/3 AS q FROM m), p AS (SELECT *, sqrt(((xx-q)*(xx-q)+(yy-q)*(yy-q)+(zz-q)*(zz-q)+2*(xy*xy+xz*xz+yz*yz))/6) AS p FROM q),
+ r AS (SELECT *, ((xx-q)*((yy-q)*(zz-q)-yz*yz) - xy*(xy*(zz-q)-yz*xz) + xz*(xy*yz-(yy-q)*xz))/(2*p*p*p) AS r FROM p)
+ SELECT sample_id, round(CASE WHEN k > 1 THEN q+2*p*cos(acos(least(greatest(r, -1e0), 1e0))/3) END, 5) AS "order" FROM r""")
+def nematic_order(spark, d):
+    part = lambda i: F.col("embedding")[i].cast("double")
+    norm = F.sqrt(part(0) * part(0) + part(1) * part(1) + part(2) * part(2))
+    directors = table(spark, d, "embeddings").select((F.col("vec_id") % 10).alias("sample_id"), *[F.when(norm > 0, part(i) / norm).alias(n) for i, n in enumerate(("nx", "ny", "nz"))])
+    return spatial.nematic_order(directors, ["sample_id"]).select("sample_id", F.round("order", 5).alias("order"))
+
+
+FILES = """files AS (SELECT '/run/n' || c_nationkey || CASE WHEN c_custkey % 5 = 0 THEN '/Analysis' ELSE '' END AS dir, 'c' || (c_custkey % 7) AS stem,
+  CASE c_custkey % 4 WHEN 0 THEN 'tif' WHEN 1 THEN 'tiff' WHEN 2 THEN 'TIF' ELSE 'png' END AS suffix FROM customer),
+ images AS (SELECT DISTINCT dir, stem, stem || '.' || suffix AS name, lower(suffix) AS ext FROM files WHERE suffix <> 'png')"""
+
+
+def files(spark, d) -> DataFrame:
+    c = table(spark, d, "customer")
+    folder = F.concat(F.lit("/run/n"), F.col("c_nationkey"), F.when(F.col("c_custkey") % 5 == 0, "/Analysis").otherwise(""))
+    suffix = F.element_at(F.array(*map(F.lit, (".tif", ".tiff", ".TIF", ".png"))), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return c.select(F.concat(folder, F.lit("/c"), F.col("c_custkey") % 7, suffix).alias("path"))
+
+
+@query(f"""WITH {FILES} SELECT dir, stem, name, ext FROM images QUALIFY row_number() OVER (PARTITION BY dir, stem ORDER BY ext <> 'tif', name) = 1""")
+def image_channels(spark, d):
+    return discovery.channels(files(spark, d)).select("dir", "stem", "name", "ext")
+
+
+@query(f"""WITH {FILES} SELECT DISTINCT split_part(dir, '/', 3) AS sample_id, dir FROM images WHERE stem = 'c0' AND dir NOT LIKE '%/Analysis'""")
+def folder_samples(spark, d):
+    return discovery.samples(files(spark, d), Config(channel_roles={"c0": "nuclear"}))
+
+
+@query(f"""WITH {FILES} SELECT DISTINCT stem AS sample_id, dir || '/' || stem AS dir FROM images WHERE dir NOT LIKE '%/Analysis'""")
+def file_samples(spark, d):
+    return discovery.samples(files(spark, d), Config(input_mode="file_per_sample")).select("sample_id", "dir")
