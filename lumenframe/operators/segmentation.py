@@ -162,3 +162,55 @@ def flooded(markers: DataFrame, mask: DataFrame, elevation: str, flat: bool = Tr
             break
         before = mark
     return state.where("best is not null").select(*PLACE, F.col("best.label").alias("label"))
+
+
+def spaced(points: DataFrame, by: list[str], least: int, value: str) -> DataFrame:
+    """Of points(by, y, x, value) those that a choice by falling value, then by place, keeps ``least`` rows or columns apart.
+
+    Cells of that side hold one chosen point at most, so in a round each cell puts its best one
+    up, which wins if no better point lies near; what is near a winner goes. Each round is linear in the points and written.
+    """
+    cell = lambda c: F.floor(F.col(c) / least).alias(f"c{c}")
+    alive = written(points.select(*by, F.struct((-F.col(value)).alias("o"), "y", "x").alias("rank"), cell("y"), cell("x")), "points")
+    moves = F.explode(F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1)])).alias("d")
+    chosen = None
+    while True:
+        best = alive.groupBy(*by, "cy", "cx").agg(F.min("rank").alias("best"))
+        around = best.select("*", moves).select(*by, (F.col("cy") + F.col("d.y")).alias("cy"), (F.col("cx") + F.col("d.x")).alias("cx"), "best")
+        near = F.greatest(F.abs(F.col("rank.y") - F.col("best.y")), F.abs(F.col("rank.x") - F.col("best.x"))) < least
+        met = alive.join(around, [*by, "cy", "cx"]).where(near).select(*by, "rank", "best")
+        beaten = met.where("rank < best").select(*by, "best").distinct()
+        won = written(best.select(*by, "best").join(beaten, [*by, "best"], "left_anti"), "won")
+        chosen = won if chosen is None else chosen.unionByName(won)
+        gone = met.join(won, [*by, "best"], "left_semi").select(*by, "rank").distinct()
+        alive = written(alive.join(gone, [*by, "rank"], "left_anti"), "points")
+        if alive.isEmpty():
+            return chosen.select(*by, "best.y", "best.x", (-F.col("best.o")).alias(value))
+
+
+def split_doublets(labels: DataFrame, frame: DataFrame, min_distance: int = 80) -> DataFrame:
+    """Flat objects cut where they touch: ``labels`` with ``part``, from 1.
+
+    The peaks of the distance to what is not the object, ``min_distance`` apart and off the frame's
+    edge by as much, grow by a disk of 2 and flood the object over the falling distance. An
+    object with fewer than two peaks is one part; an empty table stays empty.
+    """
+    own = labels.select(F.struct(*OBJECT).alias("sample_id"), "z", "y", "x")
+    ends = frame.groupBy("sample_id").agg(*[f(c).alias(f"{c}{n}") for c in "yx" for n, f in (("a", F.min), ("b", F.max))])
+    box = labels.groupBy(*OBJECT).agg(*[f(c).alias(f"{c}{n}") for c in "yx" for n, f in ((0, F.min), (1, F.max))], F.min("z").alias("z")).join(ends, "sample_id")
+    side = lambda c: F.explode(F.sequence(F.greatest(F.col(f"{c}0") - 1, f"{c}a"), F.least(F.col(f"{c}1") + 1, f"{c}b"))).alias(c)
+    grid = box.select(F.struct(*OBJECT).alias("sample_id"), "z", "x0", "x1", "xa", "xb", side("y")).select("sample_id", "z", "y", side("x"))
+    depth = written(distance(own, grid).where("d2 is not null"), "depth")
+    most = shifted(depth, [(0, y, x) for y in (-1, 0, 1) for x in (-1, 0, 1)], ["d2"]).groupBy(*PLACE).agg(F.max("d2").alias("most"))
+    off = F.lit(True)
+    for c in "yx":
+        off = off & (F.col(c) - F.col(f"{c}a") >= min_distance) & (F.col(f"{c}b") - F.col(c) >= min_distance)
+    tops = depth.join(most, PLACE).where("d2 = most").join(ends.withColumnRenamed("sample_id", "image"), F.col("sample_id.sample_id") == F.col("image")).where(off)
+    seeds = spaced(tops, ["sample_id", "z"], min_distance, "d2")
+    w = Window.partitionBy("sample_id")
+    seeds = seeds.withColumns({"part": F.row_number().over(w.orderBy(F.desc("d2"), "y", "x")), "n": F.count("*").over(w)}).where("n > 1")
+    markers = written(shifted(seeds, ball(2), ["part"]).groupBy(*PLACE).agg(F.max("part").alias("label")), "markers")
+    several = markers.select("sample_id").distinct()
+    parts = flooded(markers, depth.join(several, "sample_id", "left_semi").withColumn("fall", -F.sqrt("d2")), "fall")
+    out = own.join(parts.withColumnRenamed("label", "part"), PLACE, "left")
+    return out.select("sample_id.sample_id", "z", "y", "x", "sample_id.label", F.coalesce("part", F.lit(1)).alias("part"))

@@ -421,6 +421,13 @@ def watershed_regions(spark, d):
     return out.groupBy("sample_id", "label").agg(F.count("*").alias("size"))
 
 
+@query(None)
+def doublet_parts(spark, d):
+    px = flat(spark, d)
+    out = segmentation.split_doublets(segmentation.components(px.where("v >= 120"), 1), px, 2)
+    return out.groupBy("sample_id", "label", "part").agg(F.count("*").alias("size"))
+
+
 @query(f"""WITH {PX}, on_ AS (SELECT * FROM flat WHERE v >= 120), off AS (SELECT * FROM flat WHERE v < 120) SELECT a.sample_id, a.y, a.x, CAST(min((a.y-b.y)*(a.y-b.y)+(a.x-b.x)*(a.x-b.x)) AS BIGINT) AS d2 FROM on_ a JOIN off b ON a.sample_id = b.sample_id GROUP BY ALL""")
 def distance_transform(spark, d):
     px = flat(spark, d)

@@ -175,3 +175,35 @@ def test_medians_of_groups_match_and_keep_null_groups(spark):
     of = lambda g: [v for h, v in rows if h == g and v is not None]
     assert got == {(g, statistics.median(of(g)) if of(g) else None) for g in ("a", "b", "c", "d", "e", None)}
     assert outliers.with_median(d.where("g = 'e'"), [], F.col("v"), "m").first()["m"] == 2.875
+
+
+def test_spaced_points_match_a_greedy_choice(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = list({("a" if i % 2 else "b", rng.randrange(30), rng.randrange(30)): rng.randrange(6) for i in range(160)}.items())
+    d = spark.createDataFrame([(*k, v) for k, v in rows], "g string, y int, x int, v long")
+    want = set()
+    for g in "ab":
+        kept = []
+        for v, y, x in sorted((-v, y, x) for (h, y, x), v in rows if h == g):
+            if all(max(abs(y - q), abs(x - r)) >= 4 for _, q, r in kept):
+                kept.append((v, y, x))
+        want |= {(g, y, x, -v) for v, y, x in kept}
+    assert {tuple(r) for r in segmentation.spaced(d, ["g"], 4, "v").select("g", "y", "x", "v").collect()} == want
+    assert segmentation.spaced(d.limit(0), ["g"], 4, "v").count() == 0
+
+
+def test_touching_disks_are_split_and_a_single_one_is_not(spark):
+    y, x = np.mgrid[:26, :56]
+    disk = lambda cy, cx: (y - cy) ** 2 + (x - cx) ** 2 <= 25
+    label = np.where(disk(12, 12) | disk(12, 21), 1, np.where(disk(12, 40), 2, 0))
+    pixels = frame(spark, {"a": label})
+    labels = pixels.where("v > 0").select("sample_id", "z", "y", "x", F.col("v").cast("long").alias("label"))
+    out = segmentation.split_doublets(labels, pixels, 5)
+    rows = out.collect()
+    assert len(rows) == (label > 0).sum()
+    one = {(r["y"], r["x"]): r["part"] for r in rows if r["label"] == 1}
+    assert {r["part"] for r in rows if r["label"] == 2} == {1} and set(one.values()) == {1, 2}
+    assert all(p == one[12, 12] for (_, c), p in one.items() if c < 16) and all(p == one[12, 21] for (_, c), p in one.items() if c > 17)
+    assert segmentation.split_doublets(labels.limit(0), pixels, 5).count() == 0
