@@ -1,11 +1,11 @@
-"""The queries op1 to op10 and their SQL, where SQL can express them."""
+"""The queries op1 to op13 and their SQL, where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenframe.llm import additive_ann, bloom_lm, decontaminate, html_text, ngram_join, packing, pii, substring_dedup, token_files, toxicity
+from lumenframe.llm import additive_ann, bloom_lm, decontaminate, divergence, html_text, ngram_join, packing, periodic_runs, pieces, pii, substring_dedup, token_files, toxicity
 from lumenframe.llm.common import crc_mod
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,5 +55,18 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_bloom_lm, op4_additive_ann, op5_token_files, op6_packing, op7_pii, op8_toxicity, op9_ngram_jaccard, op10_html_text)}
-ORACLE_SQL: dict[str, str] = {}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_planted_tails(table(spark, sf_dir, "documents"))
+    return periodic_runs.digest(periodic_runs.periodic_runs(docs))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(pieces.round_trip(table(spark, sf_dir, "documents"), "piece_bpe_32k.model"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_decontaminate, op3_bloom_lm, op4_additive_ann, op5_token_files, op6_packing, op7_pii, op8_toxicity, op9_ngram_jaccard, op10_html_text, op11_periodic_runs, op12_sentencepiece, op13_source_divergence)}
+ORACLE_SQL: dict[str, str] = {"op13_source_divergence": divergence.SQL}

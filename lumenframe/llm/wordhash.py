@@ -43,6 +43,7 @@ def _letters() -> np.ndarray:
 
 
 LETTERS = _letters()
+CASED = mix(np.arange(1, 257, dtype=U) * U(0xA0761D6478BD642F))  # letters of both cases stay apart
 _powers: list[np.ndarray] = []
 
 
