@@ -239,7 +239,8 @@ def cell_table(spark, d) -> DataFrame:
     cyto = mapping.join(nuclei.withColumnRenamed("id", "nuc_id"), ["sample_id", "nuc_id"]).groupBy("sample_id", F.col("cyto_id").alias("id")).agg((F.max("size") * 2).alias("size"))
     st = table(spark, d, "lineitem").where("l_returnflag = 'R'").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     measured = lambda layer, i: st.where(F.col("l_linestatus") == layer).groupBy(F.col("o_custkey").alias("sample_id"), i.alias("id")).agg((F.sum("l_quantity") / 10).alias("size"), F.count("*").alias("count"), F.sum("l_quantity").cast("long").alias("px"))
-    return compartments.cells(nuclei, cyto, mapping, {"r": (measured("O", F.col("o_orderkey")), measured("F", half))}, {"r": 40.0})
+    least = nuclei.select("sample_id", F.lit(40.0).alias("mean_area")).distinct()
+    return compartments.cells(nuclei, cyto, mapping, {"r": (measured("O", F.col("o_orderkey")), measured("F", half))}, {"r": least})
 
 
 @query(f"""WITH {CELLS} SELECT sample_id, nuc_id, cyto_id, nuclei_in_cell, round(n_size, 6) AS nuc_stain, round(CASE WHEN cyto_size IS NOT NULL THEN c_size END, 6) AS cyto_stain, round(CASE WHEN cyto_size IS NOT NULL THEN n_size+c_size END, 6) AS cell_stain,
