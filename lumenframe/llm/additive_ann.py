@@ -87,46 +87,59 @@ def matrix(array: pa.ListArray) -> np.ndarray:
     return array.flatten().to_numpy(zero_copy_only=False).reshape(len(array), -1)
 
 
+def regrouped(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of ``rows``, the last of a task shorter, however they came."""
+    held, n = [], 0
+    for batch in batches:
+        while batch.num_rows:
+            held.append(batch.slice(0, rows - n))
+            n += held[-1].num_rows
+            batch = batch.slice(held[-1].num_rows)
+            if n == rows:
+                yield pa.concat_batches(held)
+                held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def _blobs(books: Codebooks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK_ROWS):
-                part = batch.slice(at, BLOCK_ROWS)
-                ids, x = column(part, "vec_id").to_numpy(), matrix(column(part, "embedding"))
-                order = np.argsort(ids, kind="stable")
-                ids, x = ids[order], x[order]
-                codes, norms = [], []
-                for a in range(0, len(ids), 1024):
-                    c, n = books.encode(x[a : a + 1024].astype(np.float32))
-                    codes.append(c)
-                    norms.append(n)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "ids": pa.array([ids.tobytes()], pa.binary()),
-                        "codes": pa.array([np.concatenate(codes).tobytes()], pa.binary()),
-                        "norms": pa.array([np.concatenate(norms).astype("<f4").tobytes()], pa.binary()),
-                        "vectors": pa.array([x.astype("<f8").tobytes()], pa.binary()),
-                    }
-                )
+        for part in regrouped(batches, BLOCK_ROWS):
+            ids, x = column(part, "vec_id").to_numpy(), matrix(column(part, "embedding"))
+            order = np.argsort(ids, kind="stable")
+            ids, x = ids[order], x[order]
+            codes, norms = [], []
+            for a in range(0, len(ids), 1024):
+                c, n = books.encode(x[a : a + 1024].astype(np.float32))
+                codes.append(c)
+                norms.append(n)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "ids": pa.array([ids.tobytes()], pa.binary()),
+                    "codes": pa.array([np.concatenate(codes).tobytes()], pa.binary()),
+                    "norms": pa.array([np.concatenate(norms).astype("<f4").tobytes()], pa.binary()),
+                    "vectors": pa.array([x.astype("<f8").tobytes()], pa.binary()),
+                }
+            )
 
     return run
 
 
 def _queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, QUERY_ROWS):
-            part = batch.slice(at, QUERY_ROWS)
-            yield pa.RecordBatch.from_pydict(
-                {"q_ids": pa.array([column(part, "vec_id").to_numpy().tobytes()], pa.binary()), "q_vectors": pa.array([matrix(column(part, "embedding")).astype("<f8").tobytes()], pa.binary())}
-            )
+    for part in regrouped(batches, QUERY_ROWS):
+        yield pa.RecordBatch.from_pydict(
+            {"q_ids": pa.array([column(part, "vec_id").to_numpy().tobytes()], pa.binary()), "q_vectors": pa.array([matrix(column(part, "embedding")).astype("<f8").tobytes()], pa.binary())}
+        )
 
 
-def scored(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, codes: np.ndarray, x: np.ndarray, books: Codebooks, k: int) -> tuple[np.ndarray, ...]:
+def scored(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, codes: np.ndarray, norms: np.ndarray, x: np.ndarray, books: Codebooks, k: int, measure: str) -> tuple[np.ndarray, ...]:
     """(query_id, vec_id, score) of the best ``k`` rows of a block for each query."""
     table = books.tables(q.astype(np.float32))
     approx = np.zeros((len(q_ids), len(ids)), np.float32)
     for b in range(codes.shape[1]):
         approx += table[b][:, codes[:, b]]
+    if measure == DISTANCE:  # |q - x|^2 = |q|^2 - 2 qx + |x|^2, and |q| is the same for all rows
+        approx = 2 * approx - norms
     out: list[list[np.ndarray]] = [[], [], []]
     want = SHORTLIST + k
     for i, query in enumerate(q_ids):
@@ -137,7 +150,7 @@ def scored(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, codes: np.ndarray,
         else:
             near = np.arange(len(row))
         near = near[ids[near] != query]
-        exact = x[near] @ q[i]
+        exact = x[near] @ q[i] if measure == PRODUCT else -((x[near] - q[i]) ** 2).sum(1)
         best = np.lexsort((ids[near], -exact))[:k]
         out[0].append(np.full(len(best), query))
         out[1].append(ids[near][best])
@@ -145,29 +158,38 @@ def scored(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, codes: np.ndarray,
     return tuple(np.concatenate(o) if o else np.zeros(0) for o in out)
 
 
-def _search(books: Codebooks, k: int):
+def _search(books: Codebooks, k: int, measure: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 get = lambda c, kind: np.frombuffer(column(batch, c)[i].as_buffer(), kind)  # noqa: B023, E731
                 q_ids, ids = get("q_ids", "<i8"), get("ids", "<i8")
                 q = get("q_vectors", "<f8").reshape(len(q_ids), -1)
-                query, vec, score = scored(q_ids, q, ids, get("codes", np.uint8).reshape(len(ids), -1), get("vectors", "<f8").reshape(len(ids), -1), books, k)
+                query, vec, score = scored(q_ids, q, ids, get("codes", np.uint8).reshape(len(ids), -1), get("norms", "<f4"), get("vectors", "<f8").reshape(len(ids), -1), books, k, measure)
                 yield pa.RecordBatch.from_arrays([pa.array(query.astype(np.int64)), pa.array(vec.astype(np.int64)), pa.array(score.astype(float))], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
-    """The ``k`` rows of largest inner product for each row whose vec_id is divisible by ``every``.
+PRODUCT, DISTANCE = "product", "distance"
+
+
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, measure: str = PRODUCT) -> DataFrame:
+    """The ``k`` nearest rows of each row whose vec_id is divisible by ``every``: by largest inner product, or by least Euclidean distance.
 
-    Returns query_id, rank (from 1), vec_id, score: exact double-precision products, ties to the
-    smaller vec_id. Null ids and vectors that are null, empty, zero or hold null or non-finite
+    Returns query_id, rank (from 1), vec_id, score: exact double-precision products, or squared
+    distances with a minus, ties to the smaller vec_id. Null ids and vectors that are null, empty, zero or hold null or non-finite
     components take no part; other columns are ignored; rows that repeat an id count once, by
-    the smallest vector. An empty table, or one without queries, gives an empty result. All
-    vectors must have one length.
+    the smallest vector; vectors of another length than most have (ties: the longer) take no
+    part. An empty table, or one without queries, gives an empty result.
     """
-    good = written(usable(vectors).groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors")
+    if measure not in (PRODUCT, DISTANCE):
+        raise ValueError(f"measure is {PRODUCT} or {DISTANCE}")
+    fit_in = usable(vectors)
+    length = fit_in.groupBy(F.size("embedding").alias("length")).count().orderBy(F.desc("count"), F.desc("length")).first()
+    if length is not None:
+        fit_in = fit_in.where(F.size("embedding") == length["length"])
+    good = written(fit_in.groupBy("vec_id").agg(F.min("embedding").alias("embedding")), "vectors")
     sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("embedding").toArrow()
     books = fit(matrix(sample.column("embedding").combine_chunks()) if sample.num_rows else np.zeros((0, 1)))
     blocks = written(good.mapInArrow(_blobs(books), "ids binary, codes binary, norms binary, vectors binary"), "blocks")
@@ -175,7 +197,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     blocks = blocks.repartition(partitions(vectors.sparkSession))
     # blocks of a stated query set against blocks of rows: rows of both are few, large and bounded
     pairs = blocks.crossJoin(queries)
-    found = pairs.mapInArrow(_search(books, k), "query_id long, vec_id long, score double")
+    found = pairs.mapInArrow(_search(books, k, measure), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     top = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return top.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenframe.llm.common import crc_mod, partitions, written
-from lumenframe.llm.wordhash import U, Words, blocks, column, mix, seeded, words
+from lumenframe.llm.wordhash import U, Words, blocks, column, mix, raw, seeded, words
 
 ORDERS = (2, 3)
 LEVEL_BASE = 2.0  # a level is a doubling of the count
@@ -33,7 +33,7 @@ BITS_AN_ENTRY = 10
 BROADCAST_BYTES = 256 << 20
 CELLS = 8
 FIT_STEPS = 25
-CHUNK_TOKENS = 2_000_000
+CHUNK_BYTES = 10_000_000  # of text
 END = U(0x5851F42D4C957F2D)
 
 
@@ -125,18 +125,25 @@ def count_chunks(n: int):
 
 
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
-    """Runs of blocks of about CHUNK_TOKENS tokens (5 bytes each), numbered by task and place."""
+    """Runs of rows of about CHUNK_BYTES bytes of text, numbered by task and place; cuts depend on the texts before them only, not on batches or other columns."""
     from pyspark import TaskContext
 
-    chunk, held, size = TaskContext.get().partitionId() << 32, [], 0
-    for b in blocks(batches):
-        held.append(b)
-        size += b.nbytes
-        if size >= 5 * CHUNK_TOKENS:
-            yield chunk, held
-            chunk, held, size = chunk + 1, [], 0
+    task, held, at, seen = TaskContext.get().partitionId() << 32, [], 0, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        _, offsets = raw(column(batch, "text"))
+        number = (seen + offsets[:-1]) // CHUNK_BYTES
+        seen += int(offsets[-1])
+        cut = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            if number[a] != at and held:
+                yield task + at, held
+                held = []
+            at = int(number[a])
+            held += blocks(iter([batch.slice(a, b - a)]))
     if held:
-        yield chunk, held
+        yield task + at, held
 
 
 def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

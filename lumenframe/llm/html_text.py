@@ -6,7 +6,9 @@ An article or main element with most of their text is the content region; on a p
 the search goes down from the page to the container that holds nearly all of it, and boxes in
 there with few clustered lines (menus, link lists) go. The region's lines are the result, short
 ones included, without those in menus, headers, footers, sidebars, notices, adverts, forms and
-reader comments, which are told by tag, role, class and id.
+reader comments. These are told by tag and role, and by a class or id all of whose words
+speak of such boxes; where only some do (``share-prices``), a box goes if most of its lines are
+outside the clusters. A header within an article or main element is the article's own.
 """
 
 from __future__ import annotations
@@ -25,15 +27,19 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HIDDEN = frozenset("script style head template noscript iframe object svg math canvas audio video map select textarea button title".split())
 BOILERPLATE = frozenset("nav header footer aside form menu dialog".split())
 CONTAINERS = frozenset("article main".split())
+PARAGRAPH = frozenset(["p"])
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 SIBLINGS = {"li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"])}
 SCOPES = {"li": frozenset(["ul", "ol", "menu"]), "dt": frozenset(["dl"]), "dd": frozenset(["dl"]), "tr": frozenset(["table"]), "td": frozenset(["table", "tr"]), "th": frozenset(["table", "tr"]), "option": frozenset(["select"])}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+#: Words that go along with marks in class and id values.
+PARTS = frozenset("area bar block body bottom box buttons center col column container content count feed form group head heading header here icon icons image inline inner item items label left line link links list main message more module on outer page panel post row right section site slot text thread title top unit us wrap wrapper".split())
 # Words of class and id values that mark boilerplate.
 MARKS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion banner nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments respond disqus replies widget widgets pagination pager skip toolbar".split()
 )
 WORD = re.compile("[A-Z]?[a-z]+|[A-Z]+")
+COMMENT_END = re.compile("--!?>")
 SPACE = re.compile(r"\s+")
 RADIUS, SIGMA = 2, 1.0
 KERNEL = [math.exp(-(i * i) / (2 * SIGMA * SIGMA)) for i in range(-RADIUS, RADIUS + 1)]
@@ -43,28 +49,72 @@ HEAVY = 0.5  # a container is the content region when it has this share of the c
 
 
 class Lines(HTMLParser):
-    """Collects lines: (text, tags, path of open containers, is boilerplate)."""
+    """Collects lines: (text, tags, innermost container), and each container's parent; 0 is the page.
+
+    A page is fed whole, so what has no end is left out to the page's end, as browsers do, and every
+    construct is looked at once: time is linear in the page.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # tag, drops its text, identity
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
+        self.stack: list[tuple[str, bool]] = []  # open tags and whether they drop their text
+        self.open: dict[str, list[int]] = {}  # places in the stack by tag
+        self.blocks: list[tuple[int, int]] = [(-1, 0)]  # places of open containers, and their ids
+        self.parent: dict[int, int] = {}
         self.kinds: dict[int, str] = {}
+        self.soft: set[int] = set()
+        self.lines: list[tuple[str, int, int]] = []
         self.text: list[str] = []
-        self.tags, self.made, self.dropping = 0, 0, 0
+        self.tags, self.dropping = 0, 0
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        for short in ("<!-->", "<!--->"):
+            if self.rawdata.startswith(short, i):
+                return i + len(short)
+        m = COMMENT_END.search(self.rawdata, i + 4)
+        return m.end() if m else len(self.rawdata)
+
+    def parse_html_declaration(self, i: int) -> int:
+        page, size = self.rawdata, len(self.rawdata)
+        end = page.find(">", i + 2)
+        if page[i + 2 : i + 9].lower() == "doctype":
+            inner = page.find("[", i, end if end >= 0 else size)
+            if inner >= 0:  # declarations of its own
+                close = page.find("]>", inner)
+                return close + 2 if close >= 0 else size
+        return end + 1 if end >= 0 else size
+
+    def parse_pi(self, i: int) -> int:
+        return self.to_end(super().parse_pi(i))
+
+    def parse_starttag(self, i: int) -> int:
+        return self.to_end(super().parse_starttag(i))
+
+    def parse_endtag(self, i: int) -> int:
+        return self.to_end(super().parse_endtag(i))
+
+    def to_end(self, at: int) -> int:
+        return at if at >= 0 else len(self.rawdata)
 
     def flush(self) -> None:
         if self.text:
             text = SPACE.sub(" ", "".join(self.text)).strip()
             if text:
-                self.lines.append((text, max(self.tags, 1), tuple(i for _, _, i in self.stack if i in self.kinds)))
+                self.lines.append((text, max(self.tags, 1), self.blocks[-1][1]))
                 self.tags = 0
             self.text = []
 
     def pop_to(self, at: int) -> None:
-        for _, drops, _ in self.stack[at:]:
+        for tag, drops in self.stack[at:]:
             self.dropping -= drops
+            self.open[tag].pop()
         del self.stack[at:]
+        while self.blocks[-1][0] >= at:
+            self.blocks.pop()
+
+    def last(self, tags: frozenset[str]) -> int:
+        """Place of the innermost open tag of some kinds, -1 if there is none."""
+        return max((at[-1] for t in tags if (at := self.open.get(t))), default=-1)
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -74,52 +124,50 @@ class Lines(HTMLParser):
             self.flush()
         if tag in VOID:
             return
-        if tag in CLOSES_P:
-            for at in range(len(self.stack) - 1, -1, -1):
-                if self.stack[at][0] == "p":
-                    self.pop_to(at)
-                    break
-                if self.stack[at][0] not in INLINE:
-                    break
-        if tag in SIBLINGS:
-            for at in range(len(self.stack) - 1, -1, -1):
-                if self.stack[at][0] in SCOPES[tag]:
-                    break
-                if self.stack[at][0] in SIBLINGS[tag]:
-                    self.pop_to(at)
-                    break
-        drops = tag in HIDDEN or self.boilerplate(tag, attrs)
-        self.made += 1
-        self.stack.append((tag, drops, self.made))
-        self.dropping += drops
+        if tag in CLOSES_P and (p := self.last(PARAGRAPH)) >= 0 and p == self.blocks[-1][0]:
+            self.pop_to(p)
+        if tag in SIBLINGS and (at := self.last(SIBLINGS[tag])) > self.last(SCOPES[tag]):
+            self.pop_to(at)
+        marked = self.marked(tag, attrs)
+        drops = tag in HIDDEN or marked == 2
         if tag not in INLINE:
-            self.kinds[self.made] = tag
+            made = len(self.kinds) + 1
+            self.kinds[made], self.parent[made] = tag, self.blocks[-1][1]
+            self.blocks.append((len(self.stack), made))
+            if marked == 1:
+                self.soft.add(made)
+        self.open.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, drops))
+        self.dropping += drops
 
-    def boilerplate(self, tag: str, attrs: list) -> bool:
+    def marked(self, tag: str, attrs: list) -> int:
+        """2 for boilerplate, 1 for what may be, 0 else."""
+        if tag == "header" and self.last(CONTAINERS) >= 0:
+            return 0
         if tag in BOILERPLATE:
-            return True
+            return 2
         if tag in ("html", "body", *CONTAINERS):
-            return False
+            return 0
+        out = 0
         for name, value in attrs:
             if name in ("class", "id") and value:
-                if any(w.lower() in MARKS for w in WORD.findall(value)):
-                    return True
+                for one in value.split():
+                    found = [w.lower() for w in WORD.findall(one)]
+                    if any(w in MARKS for w in found):
+                        out = max(out, 2 if all(w in MARKS or w in PARTS for w in found) else 1)
             elif name == "role" and value and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
+                out = 2
             elif name == "style" and value and "display:none" in value.replace(" ", "").lower():
-                return True
-        return False
+                out = 2
+        return out
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag not in INLINE:
             self.flush()
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == tag:
-                self.pop_to(at)
-                return
-            if tag in INLINE and self.stack[at][0] not in INLINE:
-                return  # a stray end of an inline tag closes no block
+        at = self.last(frozenset([tag]))
+        if at >= 0 and (tag not in INLINE or at > self.blocks[-1][0]):  # a stray end of an inline tag closes no block
+            self.pop_to(at)
 
     def handle_data(self, data: str) -> None:
         if not self.dropping:
@@ -144,6 +192,32 @@ def threshold(values: list[float]) -> float:
     return min(mean, math.sqrt(sum((v - mean) ** 2 for v in values) / len(values)))
 
 
+def summed(values: dict[int, int], parent: dict[int, int]) -> dict[int, int]:
+    """Values of containers with those of all containers within; a container's id is above its parent's."""
+    out = {0: 0, **dict.fromkeys(parent, 0)}
+    for box, value in values.items():
+        out[box] += value
+    for box in sorted(parent, reverse=True):
+        out[parent[box]] += out[box]
+    return out
+
+
+def by_box(lines: list[tuple[str, int, int]], values: list[int]) -> dict[int, int]:
+    out: dict[int, int] = {}
+    for (_, _, box), value in zip(lines, values, strict=True):
+        out[box] = out.get(box, 0) + value
+    return out
+
+
+def within(boxes: set[int], parent: dict[int, int]) -> set[int]:
+    """``boxes`` and all containers within them."""
+    out = set(boxes)
+    for box in sorted(parent):
+        if parent[box] in out:
+            out.add(box)
+    return out
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
@@ -151,41 +225,47 @@ def main_text(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines = parser.lines
+    lines, parent = parser.lines, parser.parent
     if not lines:
         return ""
     ratio = smoothed([len(text) / tags for text, tags, _ in lines])
     limit = threshold(ratio)
     heavy = [len(text) if r >= limit else 0 for (text, _, _), r in zip(lines, ratio, strict=True)]
-    total, weight = sum(heavy), {}
-    for (_, _, path), w in zip(lines, heavy, strict=True):
-        for container in path:
-            weight[container] = weight.get(container, 0) + w
-    named = [c for c in weight if parser.kinds[c] in CONTAINERS and weight[c] >= HEAVY * total]
+    if parser.soft:  # a box that may be boilerplate goes if most of its lines are outside the clusters
+        n, rich = (summed(by_box(lines, v), parent) for v in ([1] * len(lines), [int(w > 0) for w in heavy]))
+        gone = within({box for box in parser.soft if 2 * rich[box] < n[box]}, parent)
+        keep = [i for i, x in enumerate(lines) if x[2] not in gone]
+        lines, heavy = [lines[i] for i in keep], [heavy[i] for i in keep]
+    total, weight = sum(heavy), summed(by_box(lines, heavy), parent)
+    count = summed(by_box(lines, [1] * len(lines)), parent)
+    named = [c for c, kind in parser.kinds.items() if kind in CONTAINERS and count[c] and weight[c] >= HEAVY * total]
     if named:
         region = max(named, key=lambda c: (parser.kinds[c] == "article", weight[c]))
-        lines = [x for x in lines if region in x[2]]
+        inner = within({region}, parent)
+        lines = [x for x in lines if x[2] in inner]
     else:
-        lines = clustered(lines, heavy)
+        lines = clustered(lines, heavy, parent, weight, count)
     return "\n".join(text for text, _, _ in lines)
 
 
-def clustered(lines: list[tuple[str, int, tuple[int, ...]]], heavy: list[int]) -> list[tuple[str, int, tuple[int, ...]]]:
+def clustered(lines: list[tuple[str, int, int]], heavy: list[int], parent: dict[int, int], weight: dict[int, int], count: dict[int, int]) -> list[tuple[str, int, int]]:
     """Lines of the container that the clusters lead to, without its boxes of few clustered lines."""
-    rows, level = list(zip(lines, heavy, strict=True)), 0
+    children: dict[int, list[int]] = {}
+    for box in parent:  # in page order
+        if count[box]:
+            children.setdefault(parent[box], []).append(box)
+    rich = summed(by_box(lines, [int(w > 0) for w in heavy]), parent)
+    at = 0
     while True:
-        boxes: dict[int, list] = {}
-        for row in rows:
-            if len(row[0][2]) > level:
-                boxes.setdefault(row[0][2][level], []).append(row)
-        weigh = lambda b: sum(w for _, w in b)
-        best = max(boxes.values(), key=weigh, default=[])
-        whole = len(best) == len(rows)
-        if len(best) < 2 or not whole and (weigh(best) < MOST * weigh(rows) or len(rows) - len(best) <= EDGE):
+        best = max(children.get(at, ()), key=weight.__getitem__, default=None)
+        if best is None or count[best] < 2:
+            break
+        if count[best] != count[at] and (weight[best] < MOST * weight[at] or count[at] - count[best] <= EDGE):
             break
-        rows, level = best, level + 1
-    poor = {k for k, b in boxes.items() if len(b) > 1 and sum(w > 0 for _, w in b) < FEW * len(b)}
-    return [x for x, _ in rows if len(x[2]) <= level or x[2][level] not in poor]
+        at = best
+    poor = {c for c in children.get(at, ()) if count[c] > 1 and rich[c] < FEW * count[c]}
+    inner, gone = within({at}, parent), within(poor, parent)
+    return [x for x in lines if x[2] in inner and x[2] not in gone]
 
 
 def extract(pages: DataFrame) -> DataFrame:

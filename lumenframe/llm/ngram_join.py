@@ -169,6 +169,12 @@ def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def with_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in blocks(batches):
+        names = [node_of(x) if len(x) else None for x in sets_of(batch)]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), column(batch, "text")], names=["node", "text"])
+
+
 def groups(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (key, node) in order, and the start of each key's run."""
     order = np.lexsort((node, key))
@@ -440,7 +446,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """Per row of ``docs(doc_id, text, ...)``: doc_id, n_shingles, component_id.
 
     Null and empty texts, or texts of white space, have no shingles and are linked with nothing:
-    their component is their own id. A null doc_id stays null and, alone, its component is null.
+    their component is their own id. A null doc_id stays null, linked as any other; without a
+    linked row that has an id its component is null.
     Repeated rows, also of one id, give a row each; equal sets are linked. Other columns are
     ignored, and an empty table gives an empty result.
     """
@@ -462,8 +469,15 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     wanted = written(met.join(rep, "node").select(F.col("rep").alias("doc_id"), "node"), "wanted")
     number = wanted.count()
     source = docs.join(F.broadcast(wanted) if number <= BROADCAST_ROWS else wanted.hint("shuffle_hash"), "doc_id")
-    sets = written(source.select("node", "text").mapInArrow(packed_sets, SETS), "sets")
-    if sets.count() > number:  # rows that repeat id and text
+    source = source.select("node", "text")
+    unnamed = written(met.join(rep.where("rep is null"), "node").select("node"), "unnamed")
+    extra = unnamed.count()
+    if extra:  # sets that only rows without an id have
+        keys = F.broadcast(unnamed) if extra <= BROADCAST_ROWS else unnamed
+        rows = docs.where("doc_id is null").select("text").mapInArrow(with_nodes, "node long, text string")
+        source = source.unionByName(rows.join(keys, "node", "left_semi"))
+    sets = written(source.mapInArrow(packed_sets, SETS), "sets")
+    if sets.count() > number + extra:  # rows that repeat id and text
         sets = written(sets.dropDuplicates(["node"]), "sets")
     links = written(verified(pairs, sets), "checked")
     roots = written(components(links), "roots")
