@@ -42,7 +42,7 @@ def test_pages_hold_their_articles(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
     for r in pages:
         article = re.search("(?s)<article[^>]*>(.*?)</article>", r["html"])[1]
-        blocks = re.findall(r"(?s)<(?:h\d|p|li)\b[^>]*>(.*?)</(?:h\d|p|li)>", article)
+        blocks = re.split(r"</?(?:h\d|p|li|ul|div)\b[^>]*>", article)  # some paragraphs have no end
         plain = [" ".join(html.unescape(re.sub("<[^>]*>", "", re.sub("<br[^>]*>", " ", b))).split()) for b in blocks]
         assert got[r["page_id"]] == "\n".join(p for p in plain if p), r["page_id"]
     assert len(got) == len(pages)
