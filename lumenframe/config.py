@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-ROLES = ("nuclear", "cytoplasm", "stain", "none")
+ROLES = ("nuclear", "cytoplasm", "membrane", "stain", "none")
 METHODS = ("threshold", "model", "presegmented", "none")
 
 
@@ -17,7 +17,15 @@ class StainConfig:
     threshold_min: float = 18
     threshold_max: float = 255
     min_object_size: int = 100
-    output: str = "binary"
+    output: str = "binary"  # or labeled: objects split where they touch
+    doublet_threshold: float = 0.7
+    watershed_min_distance: int = 80
+
+    def __post_init__(self):
+        if self.method not in METHODS:
+            raise ValueError(f"unknown method: {self.method}")
+        if self.output not in ("binary", "labeled"):
+            raise ValueError(f"unknown output: {self.output}")
 
 
 @dataclass(frozen=True)
@@ -42,6 +50,7 @@ class Config:
     connectivity: int = 2
     edge_margin: int = 5
     doublet_threshold: float = 0.7
+    watershed_min_distance: int = 80
     input_mode: str = "auto"
     filter_stain: str | None = None
     filter_condition: str = "contains"
@@ -70,5 +79,9 @@ class Config:
         of = {s: self.stains.get(s, StainConfig()) for s in self.stain_stems()}
         return out | {s: (c.threshold_min, c.threshold_max) for s, c in of.items() if c.method == "threshold"}
 
+    def cytoplasm_stem(self) -> str | None:
+        """The channel that the cytoplasm is flooded in; a membrane source may also be given the cytoplasm's role."""
+        return (self.stem("membrane") if self.cytoplasm.source == "membrane" else None) or self.stem("cytoplasm")
+
     def primary_stem(self) -> str | None:
         return self.stem("nuclear") or next(iter(self.stain_stems()), None)

@@ -43,9 +43,24 @@ def stain_by_region(stain: DataFrame, regions: DataFrame, px_area: float = 1.0,
     return out.select("sample_id", "region", "region_px", (F.col("region_px") * px_area).alias("area"), "stain_px", (F.col("stain_px") * px_area).alias("stain_area"), "pieces", ratio(F.col("stain_px").cast("double"), F.col("region_px")).alias("coverage"))
 
 
+def stain_by_regions(stain: DataFrame, regions: dict[str, DataFrame], connectivity: int = 2, flat: bool = True) -> DataFrame:
+    """(layer, sample_id, id, stain_px, pieces): stain pixels and separate pieces in each region of several layers of labels, found in one go; regions without stain are absent."""
+    parts = None
+    for layer, labels in regions.items():
+        own = labels.select(F.struct("sample_id", F.lit(layer).alias("layer"), F.col("label").alias("id")).alias("region"), *PLACE)
+        parts = own if parts is None else parts.unionByName(own)
+    inside = parts.join(stain.select(*PLACE), PLACE).select(F.col("region").alias("sample_id"), "z", "y", "x")
+    found = components(inside, connectivity, flat).groupBy("sample_id").agg(F.count("*").alias("stain_px"), F.countDistinct("label").alias("pieces"))
+    return found.select("sample_id.layer", "sample_id.sample_id", "sample_id.id", "stain_px", "pieces")
+
+
 def particles(stain: DataFrame, territory: DataFrame, connectivity: int = 2, flat: bool = True) -> DataFrame:
     """Stain particles of the binary mask with size and the cell that most of each lies on; unowned ones are left out."""
-    labels = components(stain, connectivity, flat)
+    return owners(components(stain, connectivity, flat), territory)
+
+
+def owners(labels: DataFrame, territory: DataFrame) -> DataFrame:
+    """(sample_id, label, size, owner): size of each object and the cell that most of it lies on, ties to the least; unowned ones are left out."""
     size = labels.groupBy("sample_id", "label").agg(F.count("*").alias("size"))
     owner = majority(labels.join(territory, PLACE), ["sample_id", "label"], "cell_id", "owner")
     return size.join(owner, ["sample_id", "label"])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
 from lumenframe.functions.geometry import sem
+from lumenframe.operators.quantiles import matched, quantiles
 
 
 def long_metrics(wide: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -31,6 +32,29 @@ def cell_metrics(cells: DataFrame, keys: list[str], values: list[str], fractions
     return long_metrics(wide, keys, [c for c in wide.columns if c not in keys])
 
 
+def stain_metrics(cells: DataFrame, keys: list[str], stems: list[str], word: str = "area", unit: str = "um2") -> DataFrame:
+    """(keys, metric, value) of cells' stains: share of cells that have each stain, among those where that is known, and mean and standard error of five measures."""
+    rows = None
+    for s in stems:
+        p = f"stain_{s}"
+        names = [f"{p}_{word}_cell_{unit}", f"{p}_particle_count_cell", f"{p}_particle_avg_{word}_nuc_{unit}", f"{p}_particle_avg_{word}_cell_{unit}", f"{p}_coverage_fraction_cell"]
+        aggs = [F.avg(F.col(f"`{p}_cell_has_stain`").cast("int")).alias(f"{p}_positive_fraction_cell")]
+        for n in names:
+            aggs += [F.avg(F.col(f"`{n}`")).alias(f"{n}_mean"), sem(F.col(f"`{n}`")).alias(f"{n}_sem")]
+        wide = cells.groupBy(*keys).agg(*aggs)
+        long = long_metrics(wide, keys, [c for c in wide.columns if c not in keys])
+        rows = long if rows is None else rows.unionByName(long)
+    return rows
+
+
+def spatial_metrics(spatial: DataFrame, keys: list[str], stem: str) -> DataFrame:
+    """(keys, metric, value) of ``spatial.stain_spatial`` rows: mean and standard error of particle alignment and of both frequencies; measures without a value have no row."""
+    names = {"particle_alignment": "alignment", "freq_major_axis": "periodicity_major", "freq_minor_axis": "periodicity_minor"}
+    long = spatial.select(*keys, *[F.col(c).alias(n) for c, n in names.items()]).unpivot(keys, list(names.values()), "measure", "v").where("v is not null")
+    stats = long.groupBy(*keys, "measure").agg(F.avg("v").alias("mean"), sem(F.col("v")).alias("sem")).unpivot([*keys, "measure"], ["mean", "sem"], "stat", "value")
+    return stats.select(*keys, F.concat_ws("_", F.lit(f"stain_{stem}"), "measure", "stat").alias("metric"), "value")
+
+
 def nucleation(mapping: DataFrame) -> DataFrame:
     """Per sample: cells of one nucleus, of several, and the latter's share; cells are cytoplasms, not nuclei."""
     n = mapping.where("cyto_id is not null").groupBy("sample_id", "cyto_id").agg(F.count("*").alias("n"))
@@ -120,7 +144,17 @@ def histogram(values: DataFrame, value: str, by: list[str], high: float, bins: i
 
 def box(table: DataFrame, by: list[str], value: str) -> DataFrame:
     """Quartiles and whiskers within 1.5 interquartile ranges of non-null values."""
-    q = table.where(F.col(value).isNotNull()).groupBy(*by).agg(*[F.percentile(value, p).alias(n) for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))])
+    q = quantiles(table, by, F.col(value), {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = table.join(q, by).where(F.col(value).between(F.col("q1") - reach, F.col("q3") + reach))
-    return q.join(inside.groupBy(*by).agg(F.min(value).alias("low"), F.max(value).alias("high")), by)
+    inside = matched(table, q, by).where(F.col(value).between(F.col("q1") - reach, F.col("q3") + reach))
+    return matched(q, inside.groupBy(*by).agg(F.min(value).alias("low"), F.max(value).alias("high")), by)
+
+
+def completeness(cells: DataFrame, by: list[str], whole: Column) -> DataFrame:
+    """(by, n, complete): rows of each group and the share of them that ``whole`` holds for; a null counts as not."""
+    return cells.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.coalesce(whole, F.lit(False)).cast("int")).alias("complete"))
+
+
+def top_values(table: DataFrame, value: str, k: int = 5) -> DataFrame:
+    """The ``k`` most frequent values with their number, ties to the lesser value."""
+    return table.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n")).orderBy(F.desc("n"), value).limit(k)

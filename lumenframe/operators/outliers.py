@@ -2,43 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenframe.operators.quantiles import with_median
+
 NORMAL = 0.6745  # fixed value: quartile of the standard normal
 MAD_SIGMA = 1.4826  # fixed value: its inverse
 
 
-BINS = 1000  # bins a unit of the value, whose counts lead to the median
-
-
-def with_median(d: DataFrame, by: list[str], value: Column, name: str) -> DataFrame:
-    """``d`` with the exact median of a value over the rows of each group; nulls don't count, groups may be null.
-
-    A group may be any share of the rows: counts by bin are combined before their shuffle and tell the
-    bins of the middle ranks, and only these bins' distinct values are ranked.
-    """
-    v = d.select(*[F.col(b) for b in by], value.cast("double").alias("_v")).where("_v is not null").withColumn("_bin", F.floor(F.col("_v") * BINS))
-    n, group = F.sum("_n"), Window.partitionBy(*by)
-    bins = v.groupBy(*by, "_bin").agg(F.count("*").alias("_n")).withColumn("_all", n.over(group))
-    bins = bins.withColumn("_to", n.over(group.orderBy("_bin"))).withColumn("_from", F.col("_to") - F.col("_n"))
-    middle = bins.where("_from <= _all div 2 and _to > (_all - 1) div 2").select(*by, "_bin", "_from", "_all")
-    values = _matched(v, middle, [*by, "_bin"]).groupBy(*by, "_bin", "_from", "_all", "_v").agg(F.count("*").alias("_n"))
-    rank = F.col("_from") + n.over(Window.partitionBy(*by, "_bin").orderBy("_v"))
-    at = lambda r: F.max(F.when((F.col("_rank") > F.expr(r)) & (F.col("_rank") - F.col("_n") <= F.expr(r)), F.col("_v")))
-    medians = values.withColumn("_rank", rank).groupBy(*by).agg(((at("(_all - 1) div 2") + at("_all div 2")) / 2).alias(name))
-    return _matched(d, medians, by, "left")
-
-
-def _matched(d: DataFrame, other: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """A join in which null groups match."""
-    renamed = other.select(*[F.col(c).alias(f"_{c}_") if c in on else F.col(c) for c in other.columns])
-    condition = F.lit(True)
-    for c in on:
-        condition = condition & F.col(c).eqNullSafe(F.col(f"_{c}_"))
-    return d.join(renamed, condition, how).drop(*[f"_{c}_" for c in on])
-
-
 def robust_z(objects: DataFrame, by: list[str], size: str = "size") -> DataFrame:
     """``objects`` with lg, med, mad and z; null for sizes of 0 or less and where the deviation is 0."""
     s = F.col(size).cast("double")

@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenframe.runtime import written
+from lumenframe.operators import runs as R
+from lumenframe.operators.kernels import LINE, envelopes, flood
+from lumenframe.runtime import forget, written
 
 PLACE = ["sample_id", "z", "y", "x"]
 OBJECT = ["sample_id", "label"]
@@ -31,45 +34,18 @@ def shifted(pixels: DataFrame, offsets: list[tuple[int, int, int]], keep: list[s
 
 
 def components(mask: DataFrame, connectivity: int, flat: bool = True) -> DataFrame:
-    """Connected components: ``mask`` with ``label``, the least raster place of the component.
-
-    Rounds of least-neighbour labels, then of jumps to the label's own label, until none changes;
-    each state is written, so lineage stays short. An empty mask gives an empty result.
-    """
-    size = mask.agg(F.max("y"), F.max("x")).first()
-    if size[0] is None:
-        return mask.select(*PLACE, F.lit(0).cast("long").alias("label"))
-    width, height = int(size[1]) + 1, int(size[0]) + 1
-    place = (F.col("z") * (width * height) + F.col("y") * width + F.col("x")).cast("long")
-    nodes = mask.select(*PLACE, place.alias("id"))
-    right = nodes.select(*PLACE, F.col("id").alias("v"))
-    half = shifted(nodes, neighbours(connectivity, flat), ["id"]).join(right, PLACE).select("sample_id", F.col("id").alias("u"), "v")
-    edges = written(half.unionByName(half.select("sample_id", F.col("v").alias("u"), F.col("u").alias("v"))), "edges")
-    labels = nodes.select("sample_id", "id", F.col("id").alias("label"))
-    before = None
-    while True:
-        near = edges.join(labels.select("sample_id", F.col("id").alias("v"), "label"), ["sample_id", "v"]).groupBy("sample_id", F.col("u").alias("id")).agg(F.min("label").alias("near"))
-        least = labels.join(near, ["sample_id", "id"], "left").select("sample_id", "id", F.least("label", "near").alias("label"))
-        jump = least.select("sample_id", F.col("id").alias("label"), F.col("label").alias("own"))
-        labels = written(least.join(jump, ["sample_id", "label"]).select("sample_id", "id", F.col("own").alias("label")), "labels")
-        total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]  # labels only fall
-        if total == before:
-            break
-        before = total
-    return nodes.join(labels, ["sample_id", "id"]).select(*PLACE, "label")
+    """Connected components: the pixels of ``mask`` with ``label``, the least raster place of the component. An empty mask gives an empty result."""
+    return R.pixels_of(R.labelled(R.runs_of(mask), connectivity, flat), "label").select(*PLACE, "label")
 
 
 def holes_filled(mask: DataFrame, frame: DataFrame, flat: bool = True) -> DataFrame:
     """``mask`` with the background that no side-connected path leads to the frame's edge; frame holds all pixels."""
     back = frame.select(*PLACE).join(mask.select(*PLACE), PLACE, "left_anti")
-    labelled = components(back, 1, flat)
-    ends = frame.groupBy("sample_id").agg(*[f(c).alias(f"{c}{n}") for c in ("z", "y", "x") for n, f in ((0, F.min), (1, F.max))])
-    at = labelled.join(ends, "sample_id")
-    edge = F.lit(False)
-    for c in ("y", "x") if flat else ("z", "y", "x"):
-        edge = edge | (F.col(c) == F.col(f"{c}0")) | (F.col(c) == F.col(f"{c}1"))
-    outside = at.where(edge).select(*OBJECT).distinct()
-    return mask.select(*PLACE).unionByName(labelled.join(outside, OBJECT, "left_anti").select(*PLACE))
+    label = written(R.labelled(R.runs_of(back), 1, flat), "background")
+    ends = frame.groupBy("sample_id").agg(*[f(c).alias(f"{c}{n}") for c in ("z", "y", "x") for n, f in (("a", F.min), ("b", F.max))])
+    edge = F.expr("y = ya or y = yb or x0 = xa or x1 = xb" + ("" if flat else " or z = za or z = zb"))
+    outside = label.join(ends, "sample_id").where(edge).select(*OBJECT).distinct()
+    return mask.select(*PLACE).unionByName(R.pixels_of(label.join(outside, OBJECT, "left_anti")).select(*PLACE))
 
 
 def kept_objects(labels: DataFrame, frame: DataFrame, min_size: int = 0, margin: int = 0) -> DataFrame:
@@ -88,17 +64,21 @@ def relabelled(labels: DataFrame, kept: DataFrame) -> DataFrame:
     return labels.join(dense, OBJECT).select(*PLACE, F.col("new").alias("label"))
 
 
+def candidates(pixels: DataFrame, low: float, high: float, connectivity: int, min_size: int = 0, margin: int = 0, flat: bool = True) -> DataFrame:
+    """Objects of a band: threshold, fill, label, filter by size and border; labels stay raster places."""
+    labels = written(components(holes_filled(pixels.where(F.col("v").between(low, high)), pixels, flat), connectivity, flat), "labels")
+    return labels.join(kept_objects(labels, pixels, min_size, margin), OBJECT, "left_semi")
+
+
 def segment(pixels: DataFrame, low: float, high: float, connectivity: int, min_size: int = 0, margin: int = 0, flat: bool = True) -> DataFrame:
-    """Threshold, fill, label, filter by size and border, relabel."""
-    mask = holes_filled(pixels.where(F.col("v").between(low, high)), pixels, flat)
-    labels = components(mask, connectivity, flat)
-    return relabelled(labels, kept_objects(labels, pixels, min_size, margin))
+    """``candidates`` with dense labels."""
+    labels = candidates(pixels, low, high, connectivity, min_size, margin, flat)
+    return relabelled(labels, labels.select(*OBJECT).distinct())
 
 
 def stain(pixels: DataFrame, low: float, high: float, min_size: int = 0, margin: int = 0, flat: bool = True) -> DataFrame:
-    """Objects of a stain: threshold, fill, label by corners too, filter by size and border; labels stay raster places."""
-    labels = components(holes_filled(pixels.where(F.col("v").between(low, high)), pixels, flat), 2, flat)
-    return labels.join(kept_objects(labels, pixels, min_size, margin), OBJECT, "left_semi")
+    """Objects of a stain, labelled by corners too; labels stay raster places."""
+    return candidates(pixels, low, high, 2, min_size, margin, flat)
 
 
 def ball(radius: int, flat: bool = True) -> list[tuple[int, int, int]]:
@@ -111,57 +91,110 @@ def dilated(labels: DataFrame, radius: int, flat: bool = True) -> DataFrame:
     return shifted(labels, ball(radius, flat), ["label"]).distinct()
 
 
-def distance(mask: DataFrame, frame: DataFrame, flat: bool = True, aniso: float = 1.0) -> DataFrame:
-    """Squared Euclidean distance of mask pixels to the nearest background, in separable passes.
+def nearest_along(values: DataFrame, by: list[str], at: str, weight: Column | float = 1.0) -> DataFrame:
+    """(by, at, g): the least of g' + weight (at - at')² over the places at' of each line of values(by, at, g), null where a line has no g. A line is as long as its image's side, and one array."""
+    w = weight if isinstance(weight, Column) else F.lit(float(weight))
+    lines = values.groupBy(*by).agg(F.first(w).alias("w"), F.collect_list(F.struct(F.col(at).cast("int").alias("at"), F.col("g").cast("double").alias("g"))).alias("line"))
+    schema = ", ".join(f"{c} {lines.schema[c].dataType.simpleString()}" for c in [*by, "w"]) + f", line {LINE}"
+    found = lines.mapInArrow(envelopes, schema)
+    return found.select(*by, F.explode("line").alias("l")).select(*by, F.col("l.at").alias(at), F.col("l.g").alias("g"))
+
 
-    The first pass has the distance down each column by windows; the second takes, for each pixel,
-    the least over its row, held as one array; of stacks a third takes the least over the planes,
-    ``aniso`` pixels apart. In flat images each plane is one of its own. Images without background have null.
+def distance(mask: DataFrame, frame: DataFrame, flat: bool = True, aniso: float | Column = 1.0) -> DataFrame:
+    """Squared Euclidean distance of mask pixels to the nearest background, in separable passes of linear work.
+
+    The first pass has the distance down each column by windows; the second takes the lower envelope
+    of the columns' parabolas along each row, of stacks a third along the planes, ``aniso`` pixels
+    apart (a number or a column of ``frame``). In flat images each plane is one of its own. Images without background have null.
     """
-    cells = frame.select(*PLACE).join(mask.select(*PLACE, F.lit(True).alias("on")), PLACE, "left")
+    deep = aniso if isinstance(aniso, Column) else F.lit(float(aniso))
+    cells = frame.select(*PLACE, deep.alias("aniso")).join(mask.select(*PLACE, F.lit(True).alias("on")), PLACE, "left")
     own = F.when(F.col("on").isNull(), F.col("y"))
     w = Window.partitionBy("sample_id", "z", "x").orderBy("y")
     above = F.last(own, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     below = F.first(own, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    column = cells.withColumn("g", F.least(F.col("y") - above, below - F.col("y")).cast("long"))
-    row = column.groupBy("sample_id", "z", "y").agg(F.collect_list(F.when(F.col("g").isNotNull(), F.struct("x", "g"))).alias("row"))
-    on = (column.where("on") if flat else column).join(row, ["sample_id", "z", "y"])
-    least = F.array_min(F.transform("row", lambda p: (F.col("x") - p["x"]) * (F.col("x") - p["x"]) + p["g"] * p["g"])).cast("long")
+    column = F.least(F.col("y") - above, below - F.col("y")).cast("long")
+    row = nearest_along(cells.select("sample_id", "z", "y", "x", (column * column).alias("g")), ["sample_id", "z", "y"], "x")
     if flat:
-        return on.select(*PLACE, least.alias("d2"))
-    plane = on.select(*PLACE, "on", least.alias("g"))
-    line = plane.groupBy("sample_id", "y", "x").agg(F.collect_list(F.when(F.col("g").isNotNull(), F.struct("z", "g"))).alias("line"))
-    deep = F.array_min(F.transform("line", lambda p: (F.col("z") - p["z"]) * (F.col("z") - p["z"]) * float(aniso) ** 2 + p["g"]))
-    return plane.where("on").join(line, ["sample_id", "y", "x"]).select(*PLACE, deep.alias("d2"))
+        return row.join(mask.select(*PLACE), PLACE, "left_semi").select(*PLACE, F.col("g").cast("long").alias("d2"))
+    planes = row.join(cells.select(*PLACE, "aniso"), PLACE)
+    line = nearest_along(planes, ["sample_id", "y", "x"], "z", F.col("aniso") * F.col("aniso"))
+    return line.join(mask.select(*PLACE), PLACE, "left_semi").select(*PLACE, F.col("g").alias("d2"))
 
 
 def peaks(values: DataFrame, min_distance: int, value: str) -> DataFrame:
-    """Pixels that no pixel within ``min_distance`` in rows and columns exceeds, off the frame's edge by as much; plateaus count at each place."""
-    r = range(-min_distance, min_distance + 1)
-    near = shifted(values, [(0, y, x) for y in r for x in r], [value]).groupBy(*PLACE).agg(F.max(value).alias("most"))
+    """Pixels that no pixel within ``min_distance`` in rows and columns exceeds, off the frame's edge by as much; plateaus count at each place.
+
+    Pixels that are greatest along their own rows put a probe into each row around; a running maximum
+    along rows tells each probe the greatest of its stretch.
+    """
     ends = values.groupBy("sample_id").agg(F.max("y").alias("h"), F.max("x").alias("w"))
+    along = Window.partitionBy("sample_id", "z", "y").orderBy("x").rangeBetween(-min_distance, min_distance)
     inside = (F.col("y") >= min_distance) & (F.col("x") >= min_distance) & (F.col("y") <= F.col("h") - min_distance) & (F.col("x") <= F.col("w") - min_distance)
-    return values.join(near, PLACE).where(F.col(value) == F.col("most")).join(ends, "sample_id").where(inside).select(*PLACE, value)
+    row_tops = values.select(*PLACE, value, F.max(value).over(along).alias("most")).where(F.col(value) == F.col("most"))
+    tops = written(row_tops.join(ends, "sample_id").where(inside).select(*PLACE, value), "row-tops")
+    around = F.explode(F.sequence(F.col("y") - min_distance, F.col("y") + min_distance))
+    probes = tops.select("sample_id", "z", "x", F.col("y").alias("own"), around.alias("y"))
+    both = values.select(*PLACE, F.lit(None).cast("int").alias("own"), value).unionByName(probes.withColumn(value, F.lit(None).cast(values.schema[value].dataType)))
+    seen = both.withColumn("most", F.max(value).over(along)).where("own is not null")
+    most = seen.groupBy("sample_id", "z", F.col("own").alias("y"), "x").agg(F.max("most").alias("most"))
+    return tops.join(most, PLACE).where(F.col(value) == F.col("most")).select(*PLACE, value)
+
+
+TILE, TILE_DEEP = 128, 32  # a tile's side; of stacks, a cube's
 
 
 def flooded(markers: DataFrame, mask: DataFrame, elevation: str, flat: bool = True) -> DataFrame:
-    """Mask pixels labelled by the marker that reaches each over the lowest pass, then in the fewest steps, then of the least label.
+    """Mask pixels labelled by the marker whose path reaches each first: by the lowest pass, then the fewest steps, then the least label.
 
-    A round offers each pixel its side neighbours' best paths; rounds end when none improves.
+    Each tile of an image floods itself in one pass; what leads over its border is offered to the
+    neighbours, and tiles to which other offers come flood again, until none changes. Rounds are
+    of the order of the tiles that a path crosses, and only borders are written. Pixels that no path reaches are left out.
     """
+    spark, moves = mask.sparkSession, neighbours(1, flat, half=False)
+    side = {"z": 1 if flat else TILE_DEEP, "y": TILE if flat else TILE_DEEP, "x": TILE if flat else TILE_DEEP}
+    key = ["sample_id", "tz", "ty", "tx"]
+    tiled = lambda df: df.withColumns({f"t{c}": F.floor(F.col(c) / side[c]).cast("int") for c in side})
     cost = mask.select(*PLACE, F.col(elevation).cast("double").alias("e"))
-    state = written(cost.join(markers.select(*PLACE, "label"), PLACE, "left").select(*PLACE, "e", F.when(F.col("label").isNotNull(), F.struct(F.col("e").alias("pass"), F.lit(0).alias("steps"), F.col("label").cast("long").alias("label"))).alias("best")), "flood")
-    before = None
+    cells = written(tiled(cost.join(markers.select(*PLACE, F.col("label").cast("long").alias("label")), PLACE, "left")), "tiles")
+    name = f"sample_id {cells.schema['sample_id'].dataType.simpleString()}"
+    offer = f"{name}, z int, y int, x int, pass double, steps int, label long, fz int, fy int, fx int"  # and the tile it comes from
+    path = ["pass", "steps", "label"]
+
+    def give(of: pa.Table, came: pa.Table) -> pa.Table:
+        best, out = flood(of, came, moves)
+        at = [i for i, *_ in out]
+        columns = {"sample_id": of.column("sample_id").take(pa.array(at, pa.int64()))}
+        columns |= {c: pa.array([o[k] for o in out], pa.int32()) for k, c in enumerate("zyx", 1)}
+        columns |= {c: pa.array([best[i][k] for i in at], t) for k, (c, t) in enumerate(zip(path, (pa.float64(), pa.int32(), pa.int64()), strict=True))}
+        return pa.table(columns | {f"f{c}": of.column(f"t{c}").take(pa.array(at, pa.int64())) for c in "zyx"})
+
+    def settle(of: pa.Table, came: pa.Table) -> pa.Table:
+        best, _ = flood(of, came, moves)
+        label = pa.array([b and b[2] for b in best], pa.int64())
+        return pa.table({c: of.column(c) for c in PLACE} | {"label": label}).filter(label.is_valid())
+
+    def flooding(active: DataFrame, offers: DataFrame, run, schema: str) -> DataFrame:
+        came = tiled(offers).select(*key, "z", "y", "x", *path)
+        return active.groupBy(*key).cogroup(came.groupBy(*key)).applyInArrow(run, schema)
+
+    offers = written(spark.createDataFrame([], offer), "offers")
+    active = cells
     while True:
-        offers = shifted(state.where("best is not null"), neighbours(1, flat, half=False), ["best"]).groupBy(*PLACE).agg(F.min("best").alias("offer"))
-        joined = state.join(offers, PLACE, "left")
-        through = F.when(F.col("offer").isNotNull(), F.struct(F.greatest("offer.pass", "e").alias("pass"), (F.col("offer.steps") + 1).alias("steps"), F.col("offer.label").alias("label")))
-        state = written(joined.select(*PLACE, "e", F.when(F.col("best.steps") == 0, F.col("best")).otherwise(F.least("best", through)).alias("best")), "flood")
-        mark = state.agg(F.count("best"), F.sum(F.xxhash64("best.pass", "best.steps", "best.label").cast("decimal(38,0)"))).first()
-        if mark == before:
+        new = flooding(active, offers, give, offer)
+        new = written(new.join(cells.select(*PLACE), PLACE, "left_semi"), "offers")  # to pixels of the mask
+        old = offers.join(active.select("sample_id", *[F.col(f"t{c}").alias(f"f{c}") for c in "zyx"]).distinct(), ["sample_id", "fz", "fy", "fx"], "left_anti")
+        every = written(old.select(new.columns).unionByName(new), "offers")
+        mark = lambda df, n: tiled(df).groupBy(*key).agg(F.sum(F.xxhash64(*PLACE, *path).cast("decimal(38,0)")).alias(n))
+        changed = mark(offers, "a").join(mark(every, "b"), key, "full").where("not (a <=> b)").select(*key)
+        changed = written(changed, "changed-tiles")
+        for done in (offers, new):
+            forget(done)
+        offers = every
+        if changed.isEmpty():
             break
-        before = mark
-    return state.where("best is not null").select(*PLACE, F.col("best.label").alias("label"))
+        active = cells.join(changed, key, "left_semi")
+    return flooding(cells, offers, settle, f"{name}, z int, y int, x int, label long")
 
 
 def spaced(points: DataFrame, by: list[str], least: int, value: str) -> DataFrame:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from lumenframe.config import Config
 from lumenframe.functions import calibration, geometry
-from lumenframe.operators import compartments, features, metrics, outliers, segmentation, spatial
+from lumenframe.operators import compartments, doublets, features, hull, metrics, outliers, segmentation, spatial, surface
+from lumenframe.operators.quantiles import with_median
 from lumenframe.sources import discovery, pixels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,7 +113,7 @@ def histogram_128(spark, d):
     return metrics.histogram(flat(spark, d), "v", [], 255.0).select("bin", "n")
 
 
-@query(f"""WITH {PX}, b AS (SELECT sample_id, min(v) AS lo, max(v) AS hi FROM flat GROUP BY sample_id), q AS (SELECT sample_id, y, x, (v-lo)*255//(hi-lo) AS g FROM flat JOIN b USING (sample_id) WHERE hi > lo),
+@query(f"""WITH {PX}, b AS (SELECT sample_id, min(v) AS lo, max(v) AS hi FROM flat GROUP BY sample_id), q AS (SELECT sample_id, y, x, CAST(floor((v-lo)/CAST(hi-lo AS DOUBLE)*255) AS BIGINT) AS g FROM flat JOIN b USING (sample_id) WHERE hi > lo),
  o AS (SELECT * FROM (VALUES (0,0,1),(1,-1,1),(2,-1,0),(3,-1,-1)) AS t(k, dy, dx)), p AS (SELECT l.sample_id, k, l.g AS i, r.g AS j FROM q l, o, q r WHERE r.sample_id = l.sample_id AND r.y = l.y+dy AND r.x = l.x+dx),
  n AS (SELECT sample_id, k, i, j, count(*) AS n FROM (SELECT * FROM p UNION ALL SELECT sample_id, k, j, i FROM p) GROUP BY ALL),
  s AS (SELECT sample_id, k, CAST(sum(n) AS BIGINT) AS t, CAST(sum(n*(i-j)*(i-j)) AS BIGINT) AS c, sum(n/(1e0+(i-j)*(i-j))) AS h, CAST(sum(n*n) AS BIGINT) AS e FROM n GROUP BY ALL)
@@ -122,6 +123,27 @@ def glcm_texture(spark, d):
     return t.select("sample_id", F.round("contrast", 3).alias("contrast"), F.round("homogeneity", 5).alias("homogeneity"), F.round("energy", 5).alias("energy"))
 
 
+def hull_sql(o: str) -> str:
+    """CTEs hp_o (the hull's points by doubled row) and hr_o (first and last column a, b of each row) of the objects o(sample_id, label, y, x): the ends of all chords between points."""
+    at = lambda e: f"CASE WHEN i.t = j.t THEN i.{e}/2e0 ELSE (i.{e}*(j.t-i.t) + (j.{e}-i.{e})*(2*k.y-i.t))/(2e0*(j.t-i.t)) END"
+    return f"""hp_{o} AS (SELECT sample_id, label, t, min(l) AS l, max(r) AS r FROM (SELECT sample_id, label, unnest([2*y-1, 2*y, 2*y+1]) AS t, unnest([2*a, 2*a-1, 2*a]) AS l, unnest([2*b, 2*b+1, 2*b]) AS r FROM (SELECT sample_id, label, y, min(x) AS a, max(x) AS b FROM {o} GROUP BY ALL)) GROUP BY ALL),
+ hr_{o} AS (SELECT k.sample_id, k.label, k.y, CAST(min(ceil({at("l")})) AS INT) AS a, CAST(max(floor({at("r")})) AS INT) AS b FROM (SELECT sample_id, label, unnest(range(y0, y1+1)) AS y FROM (SELECT sample_id, label, min(y) AS y0, max(y) AS y1 FROM {o} GROUP BY ALL)) k JOIN hp_{o} i ON i.sample_id = k.sample_id AND i.label = k.label AND i.t <= 2*k.y JOIN hp_{o} j ON j.sample_id = k.sample_id AND j.label = k.label AND j.t >= 2*k.y GROUP BY ALL)"""
+
+
+def shape_sql(o: str) -> str:
+    """CTE sh_o(sample_id, label, area, circ, ecc, solidity) of the objects o(sample_id, label, y, x)."""
+    same = "n.sample_id = a.sample_id AND n.label = a.label"
+    return f"""{hull_sql(o)}, eb_{o} AS (SELECT * FROM {o} a WHERE (SELECT count(*) FROM {o} n WHERE {same} AND abs(n.y-a.y)+abs(n.x-a.x) = 1) < 4),
+ ec_{o} AS (SELECT a.sample_id, a.label, a.y, a.x, 1 + coalesce(sum(CASE WHEN abs(n.y-a.y)+abs(n.x-a.x) = 1 THEN 2 WHEN n.y IS NOT NULL THEN 10 END), 0) AS code FROM eb_{o} a LEFT JOIN eb_{o} n ON {same} AND abs(n.y-a.y) <= 1 AND abs(n.x-a.x) <= 1 AND (n.y <> a.y OR n.x <> a.x) GROUP BY ALL),
+ pe_{o} AS (SELECT sample_id, label, sum(CASE WHEN code IN (5,7,15,17,25,27) THEN 1 WHEN code IN (21,33) THEN sqrt(2e0) WHEN code IN (13,23) THEN (1+sqrt(2e0))/2 ELSE 0 END) AS perimeter FROM ec_{o} GROUP BY ALL),
+ mo_{o} AS (SELECT sample_id, label, count(*) AS area, var_pop(y) AS a, var_pop(x) AS c, covar_pop(y, x) AS b FROM {o} GROUP BY ALL),
+ ei_{o} AS (SELECT *, (a+c)/2 + sqrt(greatest(((a-c)/2)*((a-c)/2) + b*b, 0)) AS big, (a+c)/2 - sqrt(greatest(((a-c)/2)*((a-c)/2) + b*b, 0)) AS small FROM mo_{o}),
+ sh_{o} AS (SELECT sample_id, label, area, coalesce(4*pi()*area/nullif(perimeter*perimeter, 0), 0) AS circ, sqrt(greatest(1 - greatest(small, 0)/nullif(big, 0), 0)) AS ecc, area/CAST(hull AS DOUBLE) AS solidity
+  FROM ei_{o} JOIN pe_{o} USING (sample_id, label) JOIN (SELECT sample_id, label, sum(b-a+1) AS hull FROM hr_{o} GROUP BY ALL) USING (sample_id, label))"""
+
+
+SCORE = "least(((1-circ) + (1-solidity) + ecc + least(greatest(area/median(area) OVER (PARTITION BY {by}) - 1, 0), 1))/4, 1)"
+
 RIM = f"""{PX}, m AS (SELECT DISTINCT sample_id, y, x FROM flat WHERE v BETWEEN 130 AND 255), b AS (SELECT * FROM m a WHERE (SELECT count(*) FROM m n WHERE n.sample_id = a.sample_id AND abs(n.y-a.y)+abs(n.x-a.x) = 1) < 4),
  c AS (SELECT a.sample_id, a.y, a.x, 1 + coalesce(sum(CASE WHEN abs(n.y-a.y)+abs(n.x-a.x) = 1 THEN 2 WHEN n.y IS NOT NULL THEN 10 END), 0) AS code FROM b a LEFT JOIN b n ON n.sample_id = a.sample_id AND abs(n.y-a.y) <= 1 AND abs(n.x-a.x) <= 1 AND (n.y <> a.y OR n.x <> a.x) GROUP BY ALL),
  rim AS (SELECT sample_id, sum(CASE WHEN code IN (5,7,15,17,25,27) THEN 1 WHEN code IN (21,33) THEN sqrt(2e0) WHEN code IN (13,23) THEN (1+sqrt(2e0))/2 ELSE 0 END) AS perimeter FROM c GROUP BY sample_id),
@@ -135,13 +157,13 @@ def perimeter(spark, d):
     return features.perimeter(flat(spark, d).where(features.in_band(F.col("v"), 130, HIGH)), ["sample_id"]).select("sample_id", *r6("perimeter"))
 
 
-@query(f"WITH {RIM} SELECT sample_id, round(circ, 5) AS circularity, round(least(((1-circ) + 0 + ecc + least(greatest(area/median(area) OVER () - 1, 0), 1))/4, 1), 5) AS doublet_score FROM shape")
+@query(f"WITH {PX}, o AS (SELECT sample_id, 1 AS label, y, x FROM flat WHERE v BETWEEN 130 AND 255), {shape_sql('o')} SELECT sample_id, round(circ, 5) AS circularity, round({SCORE.format(by='1')}, 5) AS doublet_score FROM sh_o")
 def doublet_scores(spark, d):
-    band = flat(spark, d).where(features.in_band(F.col("v"), 130, HIGH))
-    shape = features.ellipse(band, ["sample_id"]).join(features.perimeter(band, ["sample_id"]), "sample_id").withColumn("batch", F.lit(1))
+    band = flat(spark, d).where(features.in_band(F.col("v"), 130, HIGH)).withColumn("label", F.lit(1))
+    shape = features.ellipse(band, ["sample_id", "label"]).join(features.perimeter(band, ["sample_id", "label"]), ["sample_id", "label"]).join(hull.convexity(band), ["sample_id", "label"])
     circ = features.circularity(F.col("area"), F.col("perimeter"))
-    score = features.doublet_score(circ, F.lit(1.0), F.col("eccentricity"), F.col("area"), ["batch"])
-    return shape.select("sample_id", F.round(circ, 5).alias("circularity"), F.round(score, 5).alias("doublet_score"))
+    score = features.doublet_score(circ, F.col("solidity"), F.col("eccentricity"), F.col("area"), F.col("median_area"))
+    return with_median(shape, [], F.col("area"), "median_area").select("sample_id", F.round(circ, 5).alias("circularity"), F.round(score, 5).alias("doublet_score"))
 
 
 @query(f"""WITH {PX}, o AS (SELECT dy, dx FROM (SELECT unnest(range(-2, 3)) AS dy), (SELECT unnest(range(-2, 3)) AS dx) WHERE dy*dy+dx*dx <= 4) SELECT sample_id, count(*) AS px FROM (SELECT DISTINCT sample_id, y+dy AS y, x+dx AS x FROM flat, o WHERE v >= 150) GROUP BY sample_id""")
@@ -150,34 +172,44 @@ def dilated_area(spark, d):
     return segmentation.dilated(labels, 2).groupBy("sample_id").agg(F.count("*").alias("px"))
 
 
-@query(f"""WITH {PX}, b AS (SELECT sample_id, x FROM flat WHERE v BETWEEN 140 AND 255), z AS (SELECT sample_id, count(*) AS n, min(x) AS lo, max(x)-min(x) AS span FROM b GROUP BY 1),
- g AS (SELECT sample_id, lo, span, unnest(range(span+1)) AS bin FROM z WHERE n >= 3 AND span >= 2),
- c AS (SELECT g.sample_id, span, bin, count(x) AS c FROM g LEFT JOIN b ON b.sample_id = g.sample_id AND x = lo+bin GROUP BY ALL),
- s AS (SELECT sample_id, span, bin, (coalesce(lag(c) OVER w, c) + c + coalesce(lead(c) OVER w, c))/3e0 AS s FROM c WINDOW w AS (PARTITION BY sample_id ORDER BY bin)),
- p AS (SELECT sample_id, span, coalesce(s >= 0.5 AND lag(s) OVER w < s AND lead(s) OVER w < s, false) AS peak FROM s WINDOW w AS (PARTITION BY sample_id ORDER BY bin)),
- f AS (SELECT sample_id, span, CAST(sum(CASE WHEN peak THEN 1 ELSE 0 END) AS BIGINT) AS n_peaks FROM p GROUP BY ALL)
- SELECT z.sample_id, coalesce(n_peaks, 0) AS n_peaks, round(n_peaks/CAST(f.span AS DOUBLE), 6) AS frequency FROM z LEFT JOIN f ON f.sample_id = z.sample_id""")
+def peaks_sql(p: str, by: str) -> str:
+    """CTE pk(by, n_peaks, frequency) of the positions p(by, p): bins of one, means of three (profiles are short), plateaus as one."""
+    w = f"PARTITION BY {by} ORDER BY bin"
+    return f"""z AS (SELECT {by}, count(*) AS n, min(p) AS lo, max(p)-min(p) AS span FROM {p} GROUP BY ALL),
+ g AS (SELECT *, unnest(range(CAST(ceil(span) AS BIGINT)+1)) AS bin FROM z WHERE n >= 3 AND span >= 2),
+ c AS (SELECT {', '.join('g.' + c.strip() for c in by.split(','))}, span, bin, count(p) AS c FROM g LEFT JOIN {p} q ON {' AND '.join(f'q.{c.strip()} = g.{c.strip()}' for c in by.split(','))} AND p >= lo-5e-1+bin AND p < lo-5e-1+bin+1 GROUP BY ALL),
+ s AS (SELECT {by}, span, bin, coalesce(lag(c) OVER w, c) + c + coalesce(lead(c) OVER w, c) AS s FROM c WINDOW w AS ({w})),
+ r AS (SELECT *, s IS DISTINCT FROM lag(s) OVER w AS new FROM s WINDOW w AS ({w})), runs AS (SELECT {by}, span, bin, s FROM r WHERE new),
+ t AS (SELECT {by}, span, coalesce(s >= 1.5 AND lag(s) OVER w < s AND lead(s) OVER w < s, false) AS peak FROM runs WINDOW w AS ({w})),
+ f AS (SELECT {by}, span, CAST(sum(CASE WHEN peak THEN 1 ELSE 0 END) AS INT) AS n_peaks FROM t GROUP BY ALL),
+ pk AS (SELECT {by}, coalesce(n_peaks, 0) AS n_peaks, n_peaks/CAST(f.span AS DOUBLE) AS frequency FROM z LEFT JOIN f USING ({by}))"""
+
+
+@query(f"""WITH {PX}, b AS (SELECT sample_id, x*9e-1+y*3.5e-1 AS p FROM flat WHERE v BETWEEN 140 AND 255), {peaks_sql('b', 'sample_id')} SELECT sample_id, n_peaks, round(frequency, 6) AS frequency FROM pk""")
 def axis_peaks(spark, d):
     band = flat(spark, d).where(features.in_band(F.col("v"), LOW, HIGH))
-    return spatial.axis_profile_peaks(band, ["sample_id"], F.col("x")).withColumn("frequency", F.round("frequency", 6))
+    return spatial.axis_profile_peaks(band, ["sample_id"], F.col("x") * 0.9 + F.col("y") * 0.35).withColumn("frequency", F.round("frequency", 6))
 
 
 @query("""SELECT c_nationkey AS sample_id, count(*) AS n, round(avg(CASE WHEN c_acctbal > 0 THEN 1e0 ELSE 0 END), 6) AS complete FROM customer GROUP BY 1""")
 def completeness(spark, d):
-    c = table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("sample_id"))
-    return c.agg(F.count("*").alias("n"), F.round(F.avg((F.col("c_acctbal") > 0).cast("int")), 6).alias("complete"))
+    c = table(spark, d, "customer").withColumnRenamed("c_nationkey", "sample_id")
+    return metrics.completeness(c, ["sample_id"], F.col("c_acctbal") > 0).withColumn("complete", F.round("complete", 6))
 
 
-@query(f"""WITH {PZ} SELECT sample_id, z, round(avg(v), 6) AS mean, round(avg(CASE WHEN v BETWEEN 140 AND 255 THEN 1e0 ELSE 0 END), 6) AS coverage FROM stack GROUP BY sample_id, z""")
+@query(f"""WITH {PZ} SELECT sample_id, z, round(z*2e0, 4) AS z_um, 'intensity:c0' AS series, round(avg(v), 3) AS value FROM stack GROUP BY sample_id, z UNION ALL
+ SELECT sample_id, z, round(z*2e0, 4), 'stain_coverage', round(avg(CASE WHEN v BETWEEN 140 AND 255 THEN 1e0 ELSE 0 END), 6) FROM stack GROUP BY sample_id, z""")
 def depth_profile(spark, d):
-    return features.depth_profile(stack(spark, d), LOW, HIGH).select("sample_id", "z", *r6("mean", "coverage"))
+    px = stack(spark, d)
+    scale = px.select("sample_id").distinct().withColumns({"px": F.lit(1.0), "pz": F.lit(2.0)})
+    return features.depth_profiles(px, {"stain_coverage": px.where(features.in_band(F.col("v"), LOW, HIGH))}, scale)
 
 
 @query(f"""WITH {PZ}, c AS (SELECT sample_id, z, avg(v) AS mean FROM stack GROUP BY ALL) SELECT sample_id, z, round(mean / nullif(max(mean) OVER (PARTITION BY sample_id), 0), 6) AS relative FROM c""")
 def depth_curve_relative(spark, d):
     from pyspark.sql import Window
 
-    c = features.depth_profile(stack(spark, d), LOW, HIGH)
+    c = features.depth_profile(stack(spark, d))
     return c.select("sample_id", "z", F.round(geometry.ratio(F.col("mean"), F.max("mean").over(Window.partitionBy("sample_id", "channel"))), 6).alias("relative"))
 
 
@@ -334,7 +366,7 @@ def box_stats(spark, d):
 
 @query("""SELECT p_type AS dims, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, dims LIMIT 5""")
 def dims_top(spark, d):
-    return table(spark, d, "part").groupBy(F.col("p_type").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").limit(5)
+    return metrics.top_values(table(spark, d, "part").withColumnRenamed("p_type", "dims"), "dims", 5)
 
 
 NUC = "nuc AS (SELECT sample_id, y, x, CAST(y // 4 * 2 + x // 4 AS BIGINT) + 1 AS nuc FROM flat WHERE v >= 150), cyt AS (SELECT sample_id, y, x, CAST(y // 2 AS BIGINT) + 1 AS cyto FROM flat WHERE v BETWEEN 128 AND 149)"
@@ -579,3 +611,86 @@ def folder_samples(spark, d):
 @query(f"""WITH {FILES} SELECT DISTINCT stem AS sample_id, dir || '/' || stem AS dir FROM images WHERE dir NOT LIKE '%/Analysis'""")
 def file_samples(spark, d):
     return discovery.samples(files(spark, d), Config(input_mode="file_per_sample")).select("sample_id", "dir")
+
+
+HOLES = f"""box AS (SELECT sample_id, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM o GROUP BY 1), bgm AS (SELECT f.sample_id, f.y, f.x FROM flat f JOIN box USING (sample_id) WHERE f.y BETWEEN y0 AND y1 AND f.x BETWEEN x0 AND x1 AND NOT EXISTS (SELECT 1 FROM o WHERE o.sample_id = f.sample_id AND o.y = f.y AND o.x = f.x)),
+ {components_sql('bg', "SELECT * FROM bgm", FOUR)}, ou AS (SELECT DISTINCT b.sample_id, b.label FROM bg b JOIN box USING (sample_id) WHERE y IN (y0, y1) OR x IN (x0, x1)), hol AS (SELECT sample_id, y, x FROM bg WHERE (sample_id, label) NOT IN (SELECT (sample_id, label) FROM ou))"""
+
+
+@query(f"""WITH RECURSIVE {PX}, o AS (SELECT sample_id, 1 AS label, y, x FROM flat WHERE v BETWEEN 140 AND 255), {HOLES}, {hull_sql('o')}, hx AS (SELECT sample_id, y, unnest(range(a, b+1)) AS x FROM hr_o),
+ dm AS (SELECT sample_id, y, x FROM hx EXCEPT SELECT sample_id, y, x FROM o EXCEPT SELECT sample_id, y, x FROM hol), {components_sql('dc', "SELECT * FROM dm", EIGHT)},
+ n AS (SELECT sample_id, count(DISTINCT label) AS n FROM dc GROUP BY 1), a AS (SELECT sample_id, count(*) AS area FROM o GROUP BY 1), h AS (SELECT sample_id, count(*) AS hull FROM hx GROUP BY 1)
+ SELECT sample_id, hull AS area_convex, round(area/CAST(hull AS DOUBLE), 6) AS solidity, coalesce(n, 0) AS convexity_defects FROM h JOIN a USING (sample_id) LEFT JOIN n USING (sample_id)""")
+def convexity(spark, d):
+    band = flat(spark, d).where(features.in_band(F.col("v"), LOW, HIGH)).withColumn("label", F.lit(1))
+    return hull.convexity(band).select("sample_id", "area_convex", *r6("solidity"), "convexity_defects")
+
+
+@query(f"""WITH RECURSIVE {PX}, {components_sql('bk', "SELECT sample_id, y, x FROM flat WHERE NOT v BETWEEN 140 AND 255", FOUR)}, outside AS (SELECT DISTINCT sample_id, label FROM bk WHERE y IN (0, 7) OR x IN (0, 7)),
+ filled AS ({BAND} UNION SELECT sample_id, y, x FROM bk WHERE (sample_id, label) NOT IN (SELECT (sample_id, label) FROM outside)), {components_sql('lab', "SELECT * FROM filled", EIGHT)},
+ o AS (SELECT sample_id, label, y, x FROM lab WHERE (sample_id, label) IN (SELECT (sample_id, label) FROM lab GROUP BY sample_id, label HAVING count(*) >= 3)), {shape_sql('o')},
+ d AS (SELECT sample_id, label, area, {SCORE.format(by='sample_id')} > 4.5e-1 AS twin FROM sh_o) SELECT sample_id, row_number() OVER (PARTITION BY sample_id ORDER BY twin, label) AS label, area AS size FROM d""")
+def segment_doublets(spark, d):
+    labels = doublets.segment(flat(spark, d), LOW, HIGH, 2, min_size=3, threshold=0.45)
+    return labels.groupBy("sample_id", "label").agg(F.count("*").alias("size"))
+
+
+ANGLE = "CASE WHEN abs(a-c) <= 1e-12*(a+c) AND abs(b) <= 1e-12*(a+c) THEN -pi()/4 ELSE 0.5*atan2(2*b, a-c) END"
+
+
+@query(f"""WITH RECURSIVE {PX}, {components_sql('pc', "SELECT sample_id, y, x FROM flat WHERE v BETWEEN 150 AND 255", EIGHT + " AND (a.y < 4) = (b.y < 4)")}, nu AS (SELECT sample_id, CASE WHEN y < 4 THEN 1 ELSE 2 END AS label, y, x FROM flat WHERE v BETWEEN 140 AND 255),
+ st AS (SELECT sample_id, CASE WHEN y < 4 THEN 1 ELSE 2 END AS label, label AS piece, y, x FROM pc),
+ pm AS (SELECT sample_id, label, piece, var_pop(y) AS a, var_pop(x) AS c, covar_pop(y, x) AS b FROM st GROUP BY ALL), pt AS (SELECT *, {ANGLE} AS theta FROM pm),
+ pa AS (SELECT sample_id, label, count(*) AS n, CASE WHEN count(*) > 1 THEN sqrt(pow(avg(cos(2*theta)), 2) + pow(avg(sin(2*theta)), 2)) END AS al FROM pt GROUP BY ALL),
+ nm AS (SELECT sample_id, label, avg(y) AS cy, avg(x) AS cx, var_pop(y) AS a, var_pop(x) AS c, covar_pop(y, x) AS b FROM nu GROUP BY ALL), na AS (SELECT sample_id, label, cy, cx, {ANGLE} AS theta FROM nm),
+ pr AS (SELECT sample_id, label, unnest(['major', 'minor']) AS axis, unnest([round((x-cx)*cos(theta)-(y-cy)*sin(theta), 9), round((y-cy)*cos(theta)+(x-cx)*sin(theta), 9)]) AS p FROM st JOIN na USING (sample_id, label)), {peaks_sql('pr', 'sample_id, label, axis')},
+ e AS (SELECT sample_id, label, max(CASE WHEN axis = 'major' THEN n_peaks END) AS j, max(CASE WHEN axis = 'major' THEN frequency END) AS fj, max(CASE WHEN axis = 'minor' THEN n_peaks END) AS i, max(CASE WHEN axis = 'minor' THEN frequency END) AS fi FROM pk GROUP BY ALL)
+ SELECT sample_id, label, coalesce(pa.n, 0) AS n_stain_particles, round(al, 6) AS particle_alignment, coalesce(j, 0) AS peak_count_major, round(fj/5e-1, 6) AS freq_major_axis, coalesce(i, 0) AS peak_count_minor, round(fi/5e-1, 6) AS freq_minor_axis FROM na LEFT JOIN pa USING (sample_id, label) LEFT JOIN e USING (sample_id, label)""")
+def stain_spatial(spark, d):
+    px = flat(spark, d)
+    nuclei = px.where(features.in_band(F.col("v"), LOW, HIGH)).withColumn("label", F.when(F.col("y") < 4, 1).otherwise(2))
+    out = spatial.stain_spatial(px.where(features.in_band(F.col("v"), CELL_LOW, HIGH)), nuclei, 0.5)
+    return out.select("sample_id", "label", "n_stain_particles", *r6("particle_alignment"), "peak_count_major", *r6("freq_major_axis"), "peak_count_minor", *r6("freq_minor_axis"))
+
+
+def top3_sql(name: str, source: str, keep: str) -> str:
+    """CTE name(keep, zz ... yx, top): the largest eigenvalue of the moments of source."""
+    return f"""{name}_q AS (SELECT *, (zz+yy+xx)/3 AS q FROM {source}), {name}_p AS (SELECT *, sqrt(((zz-q)*(zz-q)+(yy-q)*(yy-q)+(xx-q)*(xx-q)+2*(zy*zy+zx*zx+yx*yx))/6) AS p FROM {name}_q),
+ {name} AS (SELECT {keep}, zz, yy, xx, zy, zx, yx, CASE WHEN p < 1e-12 THEN q ELSE q+2*p*cos(acos(least(greatest((((zz-q)/p)*(((yy-q)/p)*((xx-q)/p)-(yx/p)*(yx/p)) - (zy/p)*((zy/p)*((xx-q)/p)-(yx/p)*(zx/p)) + (zx/p)*((zy/p)*(yx/p)-((yy-q)/p)*(zx/p)))/2, -1e0), 1e0))/3) END AS top FROM {name}_p)"""
+
+
+@query(f"""WITH {PZ}, m AS (SELECT sample_id, var_pop(z*2e0) AS zz, var_pop(y) AS yy, var_pop(x) AS xx, covar_pop(z*2e0, y) AS zy, covar_pop(z*2e0, x) AS zx, covar_pop(y, x) AS yx FROM stack WHERE v BETWEEN 120 AND 255 GROUP BY ALL),
+ {top3_sql('e', 'm', 'sample_id')}, r AS (SELECT sample_id, [zz-top, zy, zx] AS a, [zy, yy-top, yx] AS b, [zx, yx, xx-top] AS c FROM e),
+ k AS (SELECT sample_id, unnest([[a[2]*b[3]-a[3]*b[2], a[3]*b[1]-a[1]*b[3], a[1]*b[2]-a[2]*b[1]], [a[2]*c[3]-a[3]*c[2], a[3]*c[1]-a[1]*c[3], a[1]*c[2]-a[2]*c[1]], [b[2]*c[3]-b[3]*c[2], b[3]*c[1]-b[1]*c[3], b[1]*c[2]-b[2]*c[1]]]) AS n FROM r),
+ u AS (SELECT sample_id, n, sqrt(n[1]*n[1]+n[2]*n[2]+n[3]*n[3]) AS l FROM k QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY l DESC) = 1),
+ o AS (SELECT g.label, avg(n[1]*n[1]/l/l)*1.5-0.5 AS zz, avg(n[2]*n[2]/l/l)*1.5-0.5 AS yy, avg(n[3]*n[3]/l/l)*1.5-0.5 AS xx, avg(n[1]*n[2]/l/l)*1.5 AS zy, avg(n[1]*n[3]/l/l)*1.5 AS zx, avg(n[2]*n[3]/l/l)*1.5 AS yx, count(*) AS k FROM u JOIN embeddings g ON g.vec_id = u.sample_id GROUP BY ALL),
+ {top3_sql('t', 'o', 'label, k')} SELECT label, round(CASE WHEN k > 1 THEN top END, 5) AS alignment FROM t""")
+def stack_alignment(spark, d):
+    band = stack(spark, d).where(features.in_band(F.col("v"), 120, HIGH)).withColumn("label", F.lit(1))
+    scale = band.select("sample_id").distinct().withColumns({"px": F.lit(1.0), "pz": F.lit(2.0)})
+    axes = spatial.axes(band, False, scale).drop("label").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"), "label"), "sample_id")
+    return spatial.order(axes, False, ("label",)).select("label", F.round("nuclear_alignment", 5).alias("alignment"))
+
+
+@query(f"""WITH {PZ}, c AS (SELECT sample_id, z-dz AS cz, y-dy AS cy, x-dx AS cx, CAST(sum(1 << (dz*4+dy*2+dx)) AS INT) AS code FROM stack, (SELECT unnest([0, 1]) AS dz), (SELECT unnest([0, 1]) AS dy), (SELECT unnest([0, 1]) AS dx) WHERE v BETWEEN 140 AND 255 GROUP BY ALL),
+ t(code, u, w, n) AS (VALUES {', '.join(str(r) for r in surface.patterns())}), a AS (SELECT sample_id, sum(n*sqrt(u+w*4e0)/2*0.25e0) AS area FROM c LEFT JOIN t USING (code) GROUP BY 1), v AS (SELECT sample_id, count(*)*0.25e0 AS volume FROM stack WHERE v BETWEEN 140 AND 255 GROUP BY 1)
+ SELECT sample_id, round(area, 5) AS surface_area, round(pow(pi(), 1e0/3)*pow(6*volume, 2e0/3)/area, 5) AS sphericity FROM a JOIN v USING (sample_id)""")
+def surface_area(spark, d):
+    band = stack(spark, d).where(features.in_band(F.col("v"), LOW, HIGH)).withColumn("label", F.lit(1))
+    scale = band.select("sample_id").distinct().withColumns({"px": F.lit(0.5), "pz": F.lit(1.0)})
+    both = surface.surface_area(band, scale).join(band.groupBy("sample_id").agg((F.count("*") * 0.25).alias("volume")), "sample_id")
+    return both.select("sample_id", F.round("surface_area", 5).alias("surface_area"), F.round(surface.sphericity(F.col("volume"), F.col("surface_area")), 5).alias("sphericity"))
+
+
+@query(f"""WITH RECURSIVE {PX}, o AS (SELECT sample_id, 1 AS label, y, x FROM flat WHERE v BETWEEN 125 AND 255), {HOLES}, fo AS (SELECT sample_id, y, x FROM o UNION SELECT * FROM hol),
+ fv AS (SELECT fo.*, v FROM fo JOIN flat USING (sample_id, y, x)), b AS (SELECT sample_id, min(v) AS lo, max(v) AS hi, CAST(trunc(avg(v)) AS BIGINT) AS fill, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM fv GROUP BY 1),
+ q AS (SELECT f.sample_id, f.y, f.x, CAST(floor((coalesce(fv.v, fill)-lo)/CAST(hi-lo AS DOUBLE)*255) AS BIGINT) AS g FROM flat f JOIN b ON b.sample_id = f.sample_id AND f.y BETWEEN y0 AND y1 AND f.x BETWEEN x0 AND x1 LEFT JOIN fv ON fv.sample_id = f.sample_id AND fv.y = f.y AND fv.x = f.x WHERE hi > lo AND y1 > y0 AND x1 > x0),
+ ofs AS (SELECT * FROM (VALUES (0,0,1),(1,-1,1),(2,-1,0),(3,-1,-1)) AS t(k, dy, dx)), p AS (SELECT l.sample_id, k, l.g AS i, r.g AS j FROM q l, ofs, q r WHERE r.sample_id = l.sample_id AND r.y = l.y+dy AND r.x = l.x+dx),
+ n AS (SELECT sample_id, k, i, j, count(*) AS n FROM (SELECT * FROM p UNION ALL SELECT sample_id, k, j, i FROM p) GROUP BY ALL),
+ s AS (SELECT sample_id, k, CAST(sum(n) AS BIGINT) AS t, CAST(sum(n*(i-j)*(i-j)) AS BIGINT) AS c, sum(n/(1e0+(i-j)*(i-j))) AS h, CAST(sum(n*n) AS BIGINT) AS e FROM n GROUP BY ALL),
+ x AS (SELECT sample_id, avg(c/CAST(t AS DOUBLE)) AS contrast, avg(h/t) AS homogeneity, avg(sqrt(CAST(e AS DOUBLE))/t) AS energy FROM s GROUP BY sample_id)
+ SELECT sample_id, round(contrast, 3) AS contrast, round(homogeneity, 5) AS homogeneity, round(energy, 5) AS energy FROM b LEFT JOIN x USING (sample_id)""")
+def object_texture(spark, d):
+    px = flat(spark, d)
+    t = features.object_texture(px.where(features.in_band(F.col("v"), 125, HIGH)).withColumn("label", F.lit(1)), px)
+    return t.select("sample_id", F.round("contrast", 3).alias("contrast"), F.round("homogeneity", 5).alias("homogeneity"), F.round("energy", 5).alias("energy"))

@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parent.parent
 _shipped: set[str] = set()
@@ -31,13 +31,30 @@ def ship(spark: SparkSession, *modules: str) -> None:
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
-def written(df, name: str):
-    """``df`` written as Parquet below ``spark.checkpoint.dir`` (a folder of our own where it is unset) and read again."""
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset a folder of our own, in local mode only, as other executors would not see it."""
+    path = spark.conf.get(CHECKPOINT_KEY, None)
+    if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that driver and executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="lumenframe-")
+        spark.conf.set(CHECKPOINT_KEY, path)
+    return path.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: lineage ends here and survives lost executors."""
     spark = df.sparkSession
-    root = spark.conf.get(CHECKPOINT_KEY, None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="lumenframe-")
-        spark.conf.set(CHECKPOINT_KEY, root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Remove the files of a table that ``written`` made and nothing reads any more."""
+    jvm, path = df.sparkSession._jvm, df._written_to
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

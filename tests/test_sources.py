@@ -93,10 +93,10 @@ def images(spark):
 def test_whole_run(spark, tmp_path):
     config = Config(pixel_size_um=1.0, min_object_size=2, edge_margin=1, channel_roles={"dapi": "nuclear", "cyto": "cytoplasm", "gfp": "stain"}, stains={"gfp": StainConfig(min_object_size=1)}, filter_stain="gfp")
     run = batch.analyse(images(spark), config)
-    cells = {r["nuc_id"]: r for r in run["cells"].collect()}
-    assert sorted(cells) == [1, 2] and cells[1]["nuc_size"] == 9 and cells[1]["cyto_size"] == 16
+    cells = {r["cell_id"]: r for r in run["cells"].collect()}
+    assert sorted(cells) == [1, 2] and cells[1]["N_area_um2"] == 9 and cells[1]["C_area_um2"] == 16
     assert cells[1]["stain_gfp_area_nuc_um2"] == 1 and cells[2]["stain_gfp_area_nuc_um2"] == 0 and cells[2]["stain_gfp_area_cyto_um2"] == 0
-    assert [r["nuc_id"] for r in run["cells_filtered"].collect()] == []  # neither reaches the mean particle
+    assert [r["cell_id"] for r in run["cells_filtered"].collect()] == []  # neither reaches the mean particle
     batch.save(run, f"file://{tmp_path}/out", config)
     assert spark.read.parquet(f"file://{tmp_path}/out/metrics").select("tier").distinct().count() >= 1
     assert spark.read.json(f"file://{tmp_path}/out/sidecar").count() == 1
@@ -110,7 +110,8 @@ def test_run_with_given_labels(spark):
     nuclei = spark.createDataFrame([("s", 0, 5, 5, 4), ("s", 0, 5, 6, 4)], place)
     cyto = spark.createDataFrame([("s", 0, 5, 6, 9), ("s", 0, 5, 7, 9)], place)
     run = batch.analyse(images(spark), config, labels={"nuclear": nuclei, "cytoplasm": cyto})
-    assert [(r["nuc_id"], r["cyto_id"], r["cyto_size"], r["nuclei_in_cell"]) for r in run["cells"].collect()] == [(4, 9, 1.0, 1)]
+    assert [(r["cell_id"], r["C_area_um2"], r["nuclei_in_cell"]) for r in run["cells"].collect()] == [(4, 1.0, 1)]
+    assert [(r["nuc_id"], r["cyto_id"]) for r in run["mapping"].collect()] == [(4, 9)]
     assert run["labels_cytoplasm"].count() == 1
 
 
