@@ -8,13 +8,18 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenframe.llm.wordhash import release
+
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a folder of our own where it is unset (local mode only)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset a folder of our own, in local mode only, as other executors would not see it."""
     path = spark.conf.get(CHECKPOINT_KEY, None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lumenframe-")
         spark.conf.set(CHECKPOINT_KEY, path)
     return path.rstrip("/")
@@ -30,6 +35,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
+    release()  # what the driver took for sending and collecting before
     return spark.read.schema(df.schema).parquet(path)
 
 
