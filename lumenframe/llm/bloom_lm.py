@@ -220,10 +220,14 @@ def merge(table: pa.Table) -> pa.Table:
 class Filter:
     """Shards ``first`` to ``last`` of the filter."""
 
-    def __init__(self, shards: list[bytes], first: int, n: int):
+    def __init__(self, sizes: list[int], first: int, n: int):
         self.first, self.n = first, n
-        self.start = np.concatenate([[0], np.cumsum([len(s) for s in shards])]).astype(np.int64)
-        self.bytes = np.frombuffer(b"".join(shards), np.uint8)
+        self.start = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.bytes = np.zeros(int(self.start[-1]), np.uint8)
+
+    def put(self, bucket: int, shard: bytes) -> None:
+        at = self.start[bucket - self.first]
+        self.bytes[at : at + len(shard)] = np.frombuffer(shard, np.uint8)
 
     def level(self, h: np.ndarray) -> np.ndarray:
         """Levels of n-gram hashes; 0 for those of other shards."""
@@ -328,8 +332,12 @@ def score_texts(docs: DataFrame) -> DataFrame:
     parts = [(i * n // passes, (i + 1) * n // passes) for i in range(passes)]
 
     def shards(first: int, last: int) -> Filter:
-        found = {r["bucket"]: bytes(r["data"]) for r in merged.where(f"chunk is null and bucket >= {first} and bucket < {last}").select("bucket", "data").collect()}
-        return Filter([found.get(i, bytes(8)) for i in range(first, last)], first, n)
+        own = merged.where(f"chunk is null and bucket >= {first} and bucket < {last}")
+        size = {r["bucket"]: r["size"] for r in own.select("bucket", F.length("data").alias("size")).collect()}
+        out = Filter([size.get(i, 8) for i in range(first, last)], first, n)
+        for r in own.select("bucket", "data").toLocalIterator():  # shard by shard into one array: never twice on the driver
+            out.put(r["bucket"], r["data"])
+        return out
 
     per_chunk = merged.where("chunk is not null").select("chunk", "bucket", "check", "data")
     source = docs.mapInArrow(keyed, "doc_id long, text string, train boolean, chunk long")
