@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
@@ -90,6 +90,20 @@ def folder_rollup(metrics: DataFrame, path: str = "path") -> DataFrame:
     return at.groupBy("level", "metric").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), sem(F.col("value")).alias("sem"))
 
 
+def pooled(rows: DataFrame, path: str, values: list[str]) -> DataFrame:
+    """(level, column, n, mean) of columns over all rows at or below each folder: numbers and sums by sample, then by folder."""
+    sums = [F.struct(F.lit(v).alias("column"), F.count(F.col(f"`{v}`")).alias("n"), F.sum(F.col(f"`{v}`").cast("double")).alias("s")) for v in values]
+    by_path = rows.groupBy(F.col(path).alias("_path")).agg(F.array(*sums).alias("_sums")).select("_path", F.explode("_sums").alias("c")).select("_path", "c.*")
+    up = by_path.select(F.explode(ancestors(F.col("_path"))).alias("level"), "column", "n", "s")
+    return up.groupBy("level", "column").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).select("level", "column", "n", (F.col("s") / F.nullif("n", F.lit(0))).alias("mean"))
+
+
+def numbered(rows: DataFrame, within: list[str], order: list[str], group: str) -> DataFrame:
+    """``rows`` with cell_id, counted through all groups of ``within`` in order, and label_id, counted in each group."""
+    n = lambda w: F.row_number().over(w).cast("long")
+    return rows.withColumns({"cell_id": n(Window.partitionBy(*within).orderBy(group, *order)), "label_id": n(Window.partitionBy(*within, group).orderBy(*order))})
+
+
 def channel_qc(pixels: DataFrame, low: float, high: float, dtype_max: float | None) -> DataFrame:
     """Per sample and channel: mean, percentage at the type's maximum (null for floats) and percentage in the band."""
     share = lambda c: 100.0 * F.avg(c.cast("int"))

@@ -43,6 +43,12 @@ def outlier_tier(kept: DataFrame, flagged: DataFrame, owner: list[str]) -> DataF
     return kept.join(votes(flagged, owner), owner, "left_anti")
 
 
+def removed_by_channel(kept: DataFrame, flagged: DataFrame, by: list[str], owner: list[str]) -> DataFrame:
+    """(by, n): of the filtered cells, those that each channel flags; channels overlap, so the numbers need not add up to the removals."""
+    own = flagged.where("flagged").join(kept.select(*owner), owner, "left_semi")
+    return own.groupBy(*by).agg(F.countDistinct(owner[-1]).alias("n"))
+
+
 def batch_flags(samples: DataFrame, rate: str = "rate") -> DataFrame:
     """Samples with the batch limit of the rate, median + 3 scaled deviations, and whether each exceeds it; null limits under 3 rates or without spread."""
     d = with_median(samples, [], F.col(rate), "med").crossJoin(samples.agg(F.count(rate).alias("n")))  # one row

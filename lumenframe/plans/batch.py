@@ -153,9 +153,10 @@ def analyse(
 
     screened = written(outliers.screened(every, ["sample_id", "channel"], config.outlier_mad_threshold), "screened")
     kept = compartments.filtered(cells, config.filter_stain, config.filter_condition)
-    tiers = {"all": cells, "filtered": kept}
+    tiers, votes = {"all": cells, "filtered": kept}, {}
     if config.remove_outliers:
         tiers["outlier_removed"] = written(outliers.outlier_tier(kept, screened, CELL), "outlier-removed")
+        votes = {"outlier_votes": outliers.removed_by_channel(kept, screened, ["sample_id", "channel"], CELL)}
     qc = metrics.channel_qc_bands(pixels, {s: b for s, b in config.bands().items() if "nuclear" not in given or s != config.stem("nuclear")}, type_max)
     axes = written(spatial.axes(nuclei, flat, scale).withColumnRenamed("label", "cell_id"), "axes")
     long = None
@@ -177,7 +178,7 @@ def analyse(
         long = m if long is None else long.unionByName(m)
     out = {"cells": cells, "metrics": long, "outliers": outliers.screen_summary(screened, ["sample_id", "channel"], "cell_id"), "qc": qc, "scales": scale, "mapping": mapping, "objects": all_objects(described)}
     out |= {f"cells_{k}": v for k, v in tiers.items() if k != "all"} | {"labels_nuclear": nuclei} | ({"labels_cytoplasm": cyto} if cyto is not None else {}) | {f"labels_stain_{s}": m for s, m in masks.items()}
-    out |= {f"spatial_{s}": a for s, a in arranged.items()}
+    out |= {f"spatial_{s}": a for s, a in arranged.items()} | votes
     if not flat:
         out["depth"] = features.depth_profiles(pixels, {"nuclear_foreground": nuclei} | {f"stain_coverage:{s}": m for s, m in masks.items()}, scale)
         out["depth_objects"] = features.truncated(nuclei, pixels.groupBy("sample_id").agg(F.max("z").alias("z_max")))

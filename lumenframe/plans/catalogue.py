@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenframe.config import Config
-from lumenframe.functions import calibration, geometry
+from lumenframe.functions import calibration, display, geometry
 from lumenframe.operators import compartments, doublets, features, hull, metrics, outliers, segmentation, spatial, surface
 from lumenframe.operators.quantiles import with_median
 from lumenframe.sources import discovery, pixels
@@ -251,7 +251,7 @@ def outlier_tier(spark, d):
 @query(f"""WITH {SCREEN} SELECT channel, count(DISTINCT o_orderkey) AS n FROM f JOIN orders ON o_orderkey = l_orderkey WHERE flagged AND o_totalprice > 1e5 GROUP BY channel""")
 def outlier_removed_by_channel(spark, d):
     kept = table(spark, d, "orders").where("o_totalprice > 1e5").select(F.col("o_orderkey").alias("l_orderkey"))
-    return screen(spark, d).where("flagged").join(kept, "l_orderkey", "left_semi").groupBy("channel").agg(F.countDistinct("l_orderkey").alias("n"))
+    return outliers.removed_by_channel(kept, screen(spark, d), ["channel"], ["l_orderkey"])
 
 
 CELLS = """cells AS (SELECT o_custkey AS sample_id, o_orderkey AS nuc_id, o_totalprice/1e3 AS nuc_size, CASE WHEN o_orderstatus <> 'P' THEN o_orderkey // 2 END AS cyto_id FROM orders),
@@ -475,18 +475,12 @@ def local_peaks(spark, d):
 
 @query(f"""WITH {PX} SELECT sample_id, y, x, CAST(CASE WHEN max(v) OVER w > min(v) OVER w THEN (v - min(v) OVER w) * 255 // (max(v) OVER w - min(v) OVER w) ELSE 0 END AS INT) AS grey FROM flat WINDOW w AS (PARTITION BY sample_id)""")
 def display_normalised(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("sample_id", "channel")
-    lo, hi = F.min("v").over(w), F.max("v").over(w)
-    grey = F.when(hi > lo, F.floor((F.col("v") - lo) * 255 / (hi - lo))).otherwise(0)
-    return flat(spark, d).select("sample_id", "y", "x", grey.cast("int").alias("grey"))
+    return display.normalised(flat(spark, d)).select("sample_id", "y", "x", "grey")
 
 
 @query("""SELECT o_orderkey AS label, CAST(CASE WHEN o_orderkey = 0 THEN 0 ELSE o_orderkey % 255 + 1 END AS INT) AS colour FROM orders""")
 def label_colours(spark, d):
-    label = F.col("o_orderkey")
-    return table(spark, d, "orders").select(label.alias("label"), F.when(label == 0, 0).otherwise(label % 255 + 1).cast("int").alias("colour"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("label"), display.colour(F.col("o_orderkey")).alias("colour"))
 
 
 @query("""WITH c AS (SELECT doc_id, unnest(range(length(text))) AS pos, text FROM documents WHERE length(text) > 0) SELECT doc_id AS sample_id, CAST(pos // 64 AS INT) AS y, count(*) AS n, CAST(sum(unicode(substr(text, CAST(pos + 1 AS INT), 1))) AS BIGINT) AS total FROM c GROUP BY ALL""")
@@ -513,11 +507,8 @@ TIES = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 
 @query("""SELECT l_orderkey AS sample_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS cell_id, l_returnflag AS stain, row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS label_id FROM lineitem""")
 def particle_ids(spark, d):
-    from pyspark.sql import Window
-
     rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sample_id"), F.col("l_returnflag").alias("stain"), *TIES)
-    n = lambda w: F.row_number().over(w).cast("long")
-    return rows.select("sample_id", n(Window.partitionBy("sample_id").orderBy("stain", *TIES)).alias("cell_id"), "stain", n(Window.partitionBy("sample_id", "stain").orderBy(*TIES)).alias("label_id"))
+    return metrics.numbered(rows, ["sample_id"], TIES, "stain").select("sample_id", "cell_id", "stain", "label_id")
 
 
 @query(f"""WITH RECURSIVE {PX}, {components_sql('lab', BAND, EIGHT)}, o AS (SELECT sample_id, label, count(*) AS n FROM lab GROUP BY ALL), i AS (SELECT sample_id, count(*) AS image_px FROM flat GROUP BY ALL),
@@ -694,3 +685,11 @@ def object_texture(spark, d):
     px = flat(spark, d)
     t = features.object_texture(px.where(features.in_band(F.col("v"), 125, HIGH)).withColumn("label", F.lit(1)), px)
     return t.select("sample_id", F.round("contrast", 3).alias("contrast"), F.round("homogeneity", 5).alias("homogeneity"), F.round("energy", 5).alias("energy"))
+
+
+@query("""WITH p AS (SELECT r_name || '/' || n_name AS path, c_acctbal, CAST(c_custkey AS DOUBLE) AS c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey), l AS (SELECT 'all' AS level, * FROM p UNION ALL SELECT 'all/' || split_part(path, '/', 1), * FROM p UNION ALL SELECT 'all/' || path, * FROM p)
+ SELECT level, 'c_acctbal' AS "column", count(c_acctbal) AS n, round(avg(c_acctbal), 5) AS mean FROM l GROUP BY level UNION ALL SELECT level, 'c_custkey', count(c_custkey), round(avg(c_custkey), 5) FROM l GROUP BY level""")
+def pooled_folders(spark, d):
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = c.select(F.concat_ws("/", F.lit("all"), "r_name", "n_name").alias("path"), "c_acctbal", "c_custkey")
+    return metrics.pooled(rows, "path", ["c_acctbal", "c_custkey"]).withColumn("mean", F.round("mean", 5))
