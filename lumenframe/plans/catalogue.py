@@ -55,6 +55,10 @@ PZ = """stack AS (SELECT vec_id AS sample_id, CAST(pos // 16 AS INT) AS z, CAST(
   FROM (SELECT vec_id, unnest(range(len(embedding))) AS pos, unnest(embedding) AS e FROM embeddings) WHERE e IS NOT NULL)"""
 
 
+#: Orientation of second moments a, b, c.
+ANGLE = "CASE WHEN abs(a-c) <= 1e-12*(a+c) AND abs(b) <= 1e-12*(a+c) THEN -pi()/4 ELSE 0.5*atan2(2*b, a-c) END"
+
+
 def r6(*names: str):
     return [F.round(n, 6).alias(n) for n in names]
 
@@ -76,7 +80,7 @@ def moment_axes(spark, d):
 
 
 @query(f"""WITH {PX}, m AS (SELECT sample_id, label, var_pop(y) AS a, var_pop(x) AS c, covar_pop(y, x) AS b FROM (SELECT *, CASE WHEN y < 4 THEN 1 ELSE 2 END AS label FROM flat WHERE v BETWEEN 140 AND 255) GROUP BY sample_id, label),
- t AS (SELECT sample_id, 0.5*atan2(2*b, a-c) AS theta FROM m)
+ t AS (SELECT sample_id, {ANGLE} AS theta FROM m)
  SELECT sample_id, round(CASE WHEN count(*) > 1 THEN sqrt(pow(avg(cos(2*theta)), 2) + pow(avg(sin(2*theta)), 2)) END, 4) AS alignment FROM t GROUP BY sample_id""")
 def alignment_axial(spark, d):
     halves = flat(spark, d).where(features.in_band(F.col("v"), LOW, HIGH)).withColumn("label", F.when(F.col("y") < 4, 1).otherwise(2))
@@ -626,9 +630,6 @@ def segment_doublets(spark, d):
     return labels.groupBy("sample_id", "label").agg(F.count("*").alias("size"))
 
 
-ANGLE = "CASE WHEN abs(a-c) <= 1e-12*(a+c) AND abs(b) <= 1e-12*(a+c) THEN -pi()/4 ELSE 0.5*atan2(2*b, a-c) END"
-
-
 @query(f"""WITH RECURSIVE {PX}, {components_sql('pc', "SELECT sample_id, y, x FROM flat WHERE v BETWEEN 150 AND 255", EIGHT + " AND (a.y < 4) = (b.y < 4)")}, nu AS (SELECT sample_id, CASE WHEN y < 4 THEN 1 ELSE 2 END AS label, y, x FROM flat WHERE v BETWEEN 140 AND 255),
  st AS (SELECT sample_id, CASE WHEN y < 4 THEN 1 ELSE 2 END AS label, label AS piece, y, x FROM pc),
  pm AS (SELECT sample_id, label, piece, var_pop(y) AS a, var_pop(x) AS c, covar_pop(y, x) AS b FROM st GROUP BY ALL), pt AS (SELECT *, {ANGLE} AS theta FROM pm),
