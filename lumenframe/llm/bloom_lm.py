@@ -34,6 +34,7 @@ BROADCAST_BYTES = 256 << 20
 CELLS = 8
 FIT_STEPS = 25
 CHUNK_BYTES = 10_000_000  # of text
+HELD_CELLS = 1_000_000  # cells of a task that wait to be counted together
 END = U(0x5851F42D4C957F2D)
 
 
@@ -259,7 +260,7 @@ def probed(t: Tokens, f: Filter) -> np.ndarray:
 CONTEXTS = 32
 
 
-def estimates(t: Tokens, count: np.ndarray, level: np.ndarray, total: int, known: int, left_out: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def estimates(t: Tokens | Rows, count: np.ndarray, level: np.ndarray, total: int, known: int, left_out: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(context class of each token, estimates by order 1, 2, 3). ``left_out`` is 1 if the text itself was counted."""
     place = t.place()
     p1 = (np.maximum(count - left_out, 0) + 1) / (total - left_out + 1.0 * (known + 1))
@@ -351,9 +352,13 @@ def score_texts(docs: DataFrame) -> DataFrame:
             source = written(source.mapInArrow(add_levels(shared), "doc_id long, text string, train boolean, chunk long, levels binary"), "levels")
             shared.unpersist()
     both = source.groupBy("chunk").cogroup(per_chunk.groupBy("chunk"))
-    cells = both.applyInArrow(count_cells(filters, total, known, n), "cell long, number long").groupBy("cell").agg(F.sum("number").alias("number")).orderBy("cell").toArrow()
+    # probed and counted once; what the weights and the scores need of each token is read from here
+    judged = written(both.applyInArrow(judge_chunk(filters, n), JUDGED), "judged")
+    if filters is not None:
+        filters.unpersist()
+    cells = judged.where("train").mapInArrow(count_cells(total, known), "cell long, number long").groupBy("cell").agg(F.sum("number").alias("number")).orderBy("cell").toArrow()
     weight = weights(cells.column("cell").to_numpy(), cells.column("number").to_numpy())
-    return both.applyInArrow(score_chunk(filters, weight, total, known, n), SCORES)
+    return judged.mapInArrow(score_rows(weight, total, known), SCORES)
 
 
 def add_levels(shared):
@@ -373,54 +378,99 @@ def add_levels(shared):
     return run
 
 
-def estimated(docs: pa.Table, counts: pa.Table, shared, total: int, known: int, n: int, left_out: int = 0) -> Iterator[tuple]:
-    """Blocks of a chunk with their tokens, counts, contexts and estimates."""
-    parts = [b for b in blocks(iter(docs.combine_chunks().to_batches()))]
-    tokens = [Tokens.of(words(column(b, "text"))) for b in parts]
-    every = chunk_counts(np.concatenate([t.hash for t in tokens]) if tokens else np.zeros(0, U), counts, n)
-    at = 0
-    for b, t in zip(parts, tokens, strict=True):
-        count = every[at : at + len(t.hash)]
-        at += len(t.hash)
-        if shared is not None:
-            level = probed(t, shared.value)
-        else:
-            level = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8).reshape(len(ORDERS), -1) for x in column(b, "levels")], axis=1)
-        yield b, t, count, *estimates(t, count, level, total, known, left_out)
+JUDGED = "doc_id long, train boolean, counts binary, levels binary"
+
 
+def judge_chunk(shared, n: int):
+    """Of each row of a chunk: the training count of each token (4 bytes, or 8 where one needs them) and the levels of the n-grams that end at it."""
 
-def count_cells(shared, total: int, known: int, n: int):
     def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        cells = [np.zeros(0, np.int64)]
-        for b, t, _, context, p in estimated(docs, counts, shared, total, known, n, left_out=1):
-            train = np.repeat(column(b, "train").to_numpy(zero_copy_only=False), np.diff(t.bounds))
-            cells.append(cells_of(context[train], p[:, train]))
-        cell, number = np.unique(np.concatenate(cells), return_counts=True)
-        return pa.table({"cell": pa.array(cell), "number": pa.array(number)})
+        parts = [b for b in blocks(iter(docs.combine_chunks().to_batches()))]
+        tokens = [Tokens.of(words(column(b, "text"))) for b in parts]
+        every = chunk_counts(np.concatenate([t.hash for t in tokens]) if tokens else np.zeros(0, U), counts, n)
+        at, out = 0, []
+        for b, t in zip(parts, tokens, strict=True):
+            count = every[at : at + len(t.hash)]
+            at += len(t.hash)
+            rows = list(zip(t.bounds[:-1].tolist(), t.bounds[1:].tolist(), strict=True))
+            if shared is not None:
+                level = probed(t, shared.value)
+                levels = [level[:, a:e].tobytes() for a, e in rows]
+            else:
+                levels = column(b, "levels").to_pylist()
+            width = "<u4" if count.max(initial=0) < 1 << 32 else "<i8"
+            own = [count[a:e].astype(width).tobytes() for a, e in rows]
+            out.append(pa.table({"doc_id": column(b, "doc_id"), "train": column(b, "train"), "counts": pa.array(own, pa.binary()), "levels": pa.array(levels, pa.binary())}))
+        return pa.concat_tables(out)
 
     return run
 
 
-def score_chunk(shared, weight: np.ndarray, total: int, known: int, n: int):
-    def run(docs: pa.Table, counts: pa.Table) -> pa.Table:
-        out = []
-        for b, t, count, context, p in estimated(docs, counts, shared, total, known, n):
+@dataclass
+class Rows:
+    """Tokens of a batch of judged rows, without their hashes."""
+
+    bounds: np.ndarray
+    count: np.ndarray
+    level: np.ndarray
+
+    @staticmethod
+    def of(batch: pa.RecordBatch) -> "Rows":
+        counts, levels = ([x.as_buffer() for x in column(batch, c)] for c in ("counts", "levels"))
+        size = np.array([len(x) // len(ORDERS) for x in levels], np.int64)
+        count = [np.frombuffer(c, "<u4" if len(c) == 4 * k else "<i8").astype(np.int64) for c, k in zip(counts, size.tolist(), strict=True)]
+        level = [np.frombuffer(x, np.uint8).reshape(len(ORDERS), -1) for x in levels]
+        return Rows(np.concatenate([[0], np.cumsum(size)]), np.concatenate([*count, np.zeros(0, np.int64)]), np.concatenate([*level, np.zeros((len(ORDERS), 0), np.uint8)], axis=1))
+
+    def place(self) -> np.ndarray:
+        return np.arange(self.bounds[-1]) - np.repeat(self.bounds[:-1], np.diff(self.bounds))
+
+
+def row_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return blocks(batches, text="levels")
+
+
+def count_cells(total: int, known: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, held = [np.zeros(0, np.int64)], 0
+        number = [np.zeros(0, np.int64)]
+
+        def flushed() -> pa.RecordBatch:
+            cell, where = np.unique(np.concatenate(cells), return_inverse=True)
+            return pa.RecordBatch.from_pydict({"cell": pa.array(cell), "number": pa.array(np.bincount(where, np.concatenate(number), len(cell)).astype(np.int64))})
+
+        for batch in row_blocks(batches):
+            r = Rows.of(batch)
+            context, p = estimates(r, r.count, r.level, total, known, 1)
+            cell, many = np.unique(cells_of(context, p), return_counts=True)
+            cells.append(cell)
+            number.append(many)
+            held += len(cell)
+            if held > HELD_CELLS:
+                yield flushed()
+                cells, number, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+        yield flushed()
+
+    return run
+
+
+def score_rows(weight: np.ndarray, total: int, known: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in row_blocks(batches):
+            r = Rows.of(batch)
+            context, p = estimates(r, r.count, r.level, total, known)
             log_p = np.log10((weight[context].T * p).sum(axis=0))
-            add = lambda x: np.add.reduceat(x, t.bounds[:-1])  # noqa: B023, E731  every row has a token
-            rows = b.num_rows
-            out.append(
-                pa.table(
-                    {
-                        "doc_id": column(b, "doc_id"),
-                        "held_out": pa.array(~column(b, "train").to_numpy(zero_copy_only=False)),
-                        "n_tokens": pa.array(np.diff(t.bounds)),
-                        "n_known": pa.array(add((count > 0).astype(np.int64))),
-                        "train_tokens": pa.array(np.full(rows, total, np.int64)),
-                        "base_score": pa.array(add(np.log10((count + 1) / (total + 1.0 * (known + 1))))),
-                        "score": pa.array(add(log_p)),
-                    }
-                )
+            add = lambda x: np.add.reduceat(x, r.bounds[:-1])  # noqa: B023, E731  every row has a token
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": column(batch, "doc_id"),
+                    "held_out": pa.array(~column(batch, "train").to_numpy(zero_copy_only=False)),
+                    "n_tokens": pa.array(np.diff(r.bounds)),
+                    "n_known": pa.array(add((r.count > 0).astype(np.int64))),
+                    "train_tokens": pa.array(np.full(batch.num_rows, total, np.int64)),
+                    "base_score": pa.array(add(np.log10((r.count + 1) / (total + 1.0 * (known + 1))))),
+                    "score": pa.array(add(log_p)),
+                }
             )
-        return pa.concat_tables(out)
 
     return run
