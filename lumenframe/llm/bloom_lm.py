@@ -326,7 +326,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
     n = 4 * partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), (crc_mod(F.col("doc_id"), 7) != 2).alias("train"))
     counted = docs.select("text", "train").mapInArrow(count_chunks(n), COUNTED)
-    merged = written(counted.groupBy("bucket").applyInArrow(merge, MERGED), "counts")
+    merged = written(counted.groupBy("bucket").applyInArrow(merge, MERGED), "counts", "zstd")
     total, known, size = merged.where("chunk is null").agg(F.sum("total"), F.sum("known"), F.sum(F.length("data"))).first()
     total, known = int(total or 0), int(known or 0)
     passes = max(1, -(-int(size or 0) // BROADCAST_BYTES))
@@ -353,7 +353,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
             shared.unpersist()
     both = source.groupBy("chunk").cogroup(per_chunk.groupBy("chunk"))
     # probed and counted once; what the weights and the scores need of each token is read from here
-    judged = written(both.applyInArrow(judge_chunk(filters, n), JUDGED), "judged")
+    judged = written(both.applyInArrow(judge_chunk(filters, n), JUDGED), "judged", "zstd")
     if filters is not None:
         filters.unpersist()
     cells = judged.where("train").mapInArrow(count_cells(total, known), "cell long, number long").groupBy("cell").agg(F.sum("number").alias("number")).orderBy("cell").toArrow()
