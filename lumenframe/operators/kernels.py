@@ -65,7 +65,7 @@ def flood(cells: pa.Table, offers: pa.Table, moves: list[tuple[int, int, int]])
     for oz, oy, ox, top, steps, label in zip(*(offers.column(c).to_pylist() for c in ("z", "y", "x", "pass", "steps", "label")), strict=True):
         i = index.get((oz, oy, ox))
         if i is not None and marker[i] is None:
-            queue.append((max(top, e[i]), steps, label, i))
+            queue.append((max(top, e[i]), steps + 1, label, i))
     heapq.heapify(queue)
     out = []
     while queue:
