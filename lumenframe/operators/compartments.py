@@ -18,28 +18,28 @@ def majority(votes: DataFrame, by: list[str], choice: str, name: str) -> DataFra
 def adjacent_cytoplasm(nuclei: DataFrame, cytoplasm: DataFrame, radius: int = 2, flat: bool = True) -> DataFrame:
     """(sample_id, nuc_id, cyto_id): the cytoplasm that most of the ring around a nucleus lies on; a nucleus without any is absent."""
     ring = shifted(nuclei.select(*PLACE, F.col("label").alias("nuc_id")), ball(radius, flat), ["nuc_id"]).distinct()
-    ring = ring.join(nuclei.select(*PLACE, F.col("label").alias("nuc_id")), [*PLACE, "nuc_id"], "left_anti")
-    votes = ring.join(cytoplasm.select(*PLACE, F.col("label").alias("cyto")), PLACE)
+    ring = ring.join(nuclei.select(*PLACE, F.col("label").alias("nuc_id")).hint("merge"), [*PLACE, "nuc_id"], "left_anti")
+    votes = ring.join(cytoplasm.select(*PLACE, F.col("label").alias("cyto")).hint("merge"), PLACE)
     return majority(votes, ["sample_id", "nuc_id"], "cyto", "cyto_id")
 
 
 def territories(nuclei: DataFrame, cytoplasm: DataFrame, mapping: DataFrame) -> DataFrame:
     """Pixels by cell: nuclei first, then mapped cytoplasm; one that several nuclei share belongs to the last of them."""
     last = mapping.groupBy("sample_id", "cyto_id").agg(F.max("nuc_id").alias("cell_id"))
-    of_cyto = cytoplasm.withColumnRenamed("label", "cyto_id").join(last, ["sample_id", "cyto_id"]).select(*PLACE, "cell_id")
+    of_cyto = cytoplasm.withColumnRenamed("label", "cyto_id").join(last.hint("merge"), ["sample_id", "cyto_id"]).select(*PLACE, "cell_id")
     of_nuc = nuclei.select(*PLACE, F.col("label").alias("cell_id"))
-    return of_nuc.unionByName(of_cyto.join(of_nuc, PLACE, "left_anti"))
+    return of_nuc.unionByName(of_cyto.join(of_nuc.hint("merge"), PLACE, "left_anti"))
 
 
 def stain_by_region(stain: DataFrame, regions: DataFrame, px_area: float = 1.0, connectivity: int = 2, flat: bool = True) -> DataFrame:
     """Per region: area, stain area, number of separate stain pieces within it, and coverage. Regions without stain have zeros."""
-    inside = regions.select(*PLACE, F.col("label").alias("region")).join(stain.select(*PLACE), PLACE)
+    inside = regions.select(*PLACE, F.col("label").alias("region")).join(stain.select(*PLACE).hint("merge"), PLACE)
     # pieces of two regions never join, so each region is an image of its own
     own = inside.select(F.struct("sample_id", "region").alias("sample_id"), "z", "y", "x")
     pieces = components(own, connectivity, flat).groupBy("sample_id").agg(F.countDistinct("label").alias("pieces"), F.count("*").alias("stain_px"))
     pieces = pieces.select("sample_id.sample_id", "sample_id.region", "pieces", "stain_px")
     area = regions.groupBy("sample_id", F.col("label").alias("region")).agg(F.count("*").alias("region_px"))
-    out = area.join(pieces, ["sample_id", "region"], "left").fillna(0, ["pieces", "stain_px"])
+    out = area.join(pieces.hint("merge"), ["sample_id", "region"], "left").fillna(0, ["pieces", "stain_px"])
     return out.select("sample_id", "region", "region_px", (F.col("region_px") * px_area).alias("area"), "stain_px", (F.col("stain_px") * px_area).alias("stain_area"), "pieces", ratio(F.col("stain_px").cast("double"), F.col("region_px")).alias("coverage"))
 
 
@@ -49,7 +49,7 @@ def stain_by_regions(stain: DataFrame, regions: dict[str, DataFrame], connectivi
     for layer, labels in regions.items():
         own = labels.select(F.struct("sample_id", F.lit(layer).alias("layer"), F.col("label").alias("id")).alias("region"), *PLACE)
         parts = own if parts is None else parts.unionByName(own)
-    inside = parts.join(stain.select(*PLACE), PLACE).select(F.col("region").alias("sample_id"), "z", "y", "x")
+    inside = parts.join(stain.select(*PLACE).hint("merge"), PLACE).select(F.col("region").alias("sample_id"), "z", "y", "x")
     found = components(inside, connectivity, flat).groupBy("sample_id").agg(F.count("*").alias("stain_px"), F.countDistinct("label").alias("pieces"))
     return found.select("sample_id.layer", "sample_id.sample_id", "sample_id.id", "stain_px", "pieces")
 
@@ -62,8 +62,8 @@ def particles(stain: DataFrame, territory: DataFrame, connectivity: int = 2, fla
 def owners(labels: DataFrame, territory: DataFrame) -> DataFrame:
     """(sample_id, label, size, owner): size of each object and the cell that most of it lies on, ties to the least; unowned ones are left out."""
     size = labels.groupBy("sample_id", "label").agg(F.count("*").alias("size"))
-    owner = majority(labels.join(territory, PLACE), ["sample_id", "label"], "cell_id", "owner")
-    return size.join(owner, ["sample_id", "label"])
+    owner = majority(labels.join(territory.hint("merge"), PLACE), ["sample_id", "label"], "cell_id", "owner")
+    return size.join(owner.hint("merge"), ["sample_id", "label"])
 
 
 def mean_particle_area(labels: DataFrame, samples: DataFrame) -> DataFrame:

@@ -145,7 +145,7 @@ def particle_measures(particles: DataFrame, images: DataFrame, size: str) -> Dat
     particles(sample_id, stain, n_px, <size>); a stain without particles has 0, 0, null, null and 0.
     """
     n = particles.groupBy("sample_id", "stain").agg(F.count("*").alias("particle_count"), F.sum(size).alias("total"), F.avg(size).alias("mean"), sem(F.col(size)).alias("sem"), F.sum("n_px").alias("_px"))
-    out = images.join(n, ["sample_id", "stain"], "left").fillna(0, ["particle_count", "total", "_px"])
+    out = images.join(n.hint("merge"), ["sample_id", "stain"], "left").fillna(0, ["particle_count", "total", "_px"])
     return out.withColumn("coverage", F.col("_px") / F.col("image_px")).drop("_px", "image_px")
 
 
