@@ -187,6 +187,27 @@ def test_edited_passages_are_found(spark, copies, length, edits, least):
     assert len(found) >= least * len(docs)
 
 
+def test_every_pair_of_edited_passages_is_linked(spark):
+    rng, vocabulary = random.Random(5), [f"v{i}" for i in range(20_000)]
+    passage, docs = rng.choices(vocabulary, k=160), []
+    for i in range(9):
+        p = list(passage)
+        p[12 + 16 * i] = f"own{i}"
+        docs.append((i, " ".join(rng.choices(vocabulary, k=30) + p + rng.choices(vocabulary, k=30))))
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    found = {(r["doc_id"], r["other_id"]) for r in substring_dedup.passages(rows).collect()}
+    assert found == {(a, b) for a in range(9) for b in range(a)}
+
+
+def test_copies_of_large_groups_are_linked_with_the_first_and_others_in_all_pairs():
+    w = np.zeros(120, substring_dedup.WINDOW)
+    w["key"], w["doc"], w["content"] = 8, np.arange(120), np.arange(120) // 3
+    kept, x, y = substring_dedup.copies(w)
+    assert len(kept) == 40 and len(x) == 80 and (x["content"] == y["content"]).all() and (y["doc"] % 3 == 0).all()
+    a, b = substring_dedup.meetings(kept)
+    assert len(set(zip(a.tolist(), b.tolist()))) == len(a) == 40 * 39 // 2
+
+
 def edit(p, t):
     row = [0] * (len(t) + 1)
     for i, a in enumerate(p, 1):
