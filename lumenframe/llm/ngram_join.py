@@ -4,10 +4,11 @@ Sets are grouped into size bands. In a band two similar sets differ in at most `
 elements, so when the universe of hashes is cut into segments whose weights sum to more than
 ``tau``, one segment differs in fewer elements than its weight: a segment of weight 1 is then
 equal in both sets and is indexed by the hash of its elements, one of weight 2 also by its
-one-deletion neighbourhood. ``Band.allocate`` picks the weights by cost. Equal sets are one
+one-deletion neighbourhood. ``Band.allocate`` picks the weights by cost; those of 0 go to segments
+whose elements are frequent, as counted over all sets. Equal sets are one
 node, and posting groups are linked as a star, never as all their pairs.
 Whatever such a group leaves apart is joined once more at the finest partition (one element
-a segment, the cheapest segments allotted by exact counts), which again loses no pair.
+a segment, the rarest segments allotted), which again loses no pair.
 Candidates whose parity sketches differ too much are no links; all others are verified on
 whole sets.
 """
@@ -34,11 +35,10 @@ STAR_GROUP = 2  # in larger posting groups the star leaves pairs out; their memb
 LOCAL_GROUP = 16  # a task forwards the head of a larger group only
 BROADCAST_ROWS = 1_000_000  # 8 bytes a row; beyond this the join shuffles
 FLUSH = 1_000_000
-# Costs are estimated on a bounded sample; they decide what is indexed, never what is found.
-COST_SETS, POPULAR = 8000, 3
-COMMON, COMMON_ELEMENTS = 8, 1_000_000  # copies of a frequent element; so many of them are told apart
+COMMON, COMMON_ELEMENTS = 2, 8_000_000  # an element that more sets hold is frequent; so many of them are told apart
+TOP = 31  # leading bits by which frequent elements are known on the driver
 SHARE = 8
-SPARE = 2  # segments a set for which popular elements can be passed over
+SPARE = 2  # segments a set beyond those that may be empty, so that the most frequent ones can be passed over
 KEY_BYTES = 5
 
 
@@ -99,48 +99,50 @@ def bands_of(size: int) -> list[Band]:
 
 
 class Popular:
-    """Elements that many sets hold: a segment of nothing else tells little and costs much."""
+    """How many sets hold an element, on a log scale and by the leading bits of its hash; 0 for an element that few hold.
+
+    Elements that share these bits get the highest of their levels. Levels order elements, the same way
+    in all sets: they settle what is indexed, hence the cost, and never what is found.
+    """
 
     def __init__(self, elements: np.ndarray, counts: np.ndarray | None = None):
-        order = np.argsort(elements)
-        self.elements = elements[order]
-        self.counts = np.ones(len(elements), np.int64) if counts is None else counts[order]
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[(self.elements >> U(44)).astype(np.int64)] = True
+        bits = min(max(16, (4 * len(elements)).bit_length()), TOP - 6)
+        self.shift, self.table = U(64 - bits), np.zeros(1 << bits, np.uint8)
+        level = np.ones(len(elements), np.uint8) if counts is None else (1 + np.floor(4 * np.log2(counts))).astype(np.uint8)
+        order = np.argsort(level, kind="stable")
+        self.table[(elements[order] >> self.shift).astype(np.int64)] = level[order]
 
-    def mask(self, elements: np.ndarray) -> np.ndarray:
-        out = self.seen[(elements >> U(44)).astype(np.int64)]
-        if out.any():
-            x = elements[out]
-            out[out] = self.elements[np.minimum(np.searchsorted(self.elements, x), len(self.elements) - 1)] == x
-        return out
+    def levels(self, elements: np.ndarray) -> np.ndarray:
+        return self.table[(elements >> self.shift).astype(np.int64)]
 
+    def mask(self, elements: np.ndarray) -> np.ndarray:
+        return self.levels(elements) > 0
 
     def rarest(self, elements: np.ndarray, n: int) -> np.ndarray:
-        """The first ``n`` elements by count in the sample, then by hash: one order for all sets."""
-        count = np.zeros(len(elements), np.int64)
-        common = self.mask(elements)
-        count[common] = self.counts[np.searchsorted(self.elements, elements[common])]
-        return elements[np.lexsort((elements, count))[:n]]
+        """The first ``n`` elements by level, then by hash: one order for all sets."""
+        return elements[np.lexsort((elements, self.levels(elements)))[:n]]
 
 
-def signatures(elements: np.ndarray, popular: np.ndarray, b: Band) -> np.ndarray:
-    """Index keys of one set in a band. Up to ``slack`` segments that are empty or popular throughout get weight 0; a set with more keeps them all."""
+def signatures(elements: np.ndarray, level: np.ndarray, b: Band) -> np.ndarray:
+    """Index keys of one set in a band. Without weights of 2 the ``tau + 1`` segments of the rarest contents are kept.
+
+    A segment is as rare as its rarest element by ``level``, an empty one comes last, and ties go by the
+    key: one order of contents for all sets. Similar sets differ in at most ``tau`` segments, so the first
+    content in that order that both have is within the first ``tau + 1`` of either.
+    """
     m = b.segments
     segment = (elements % U(m)).astype(np.int64)
-    sums, count = np.zeros(m, U), np.bincount(segment[~popular], minlength=m)
+    sums, rarest = np.zeros(m, U), np.full(m, 1 << 8, np.int64)
     strong = seeded(elements, 7)
     np.add.at(sums, segment, strong)
     place = np.arange(m, dtype=U) + U(b.index << 40)
-    keep = count > 0
-    if b.twos or (~keep).sum() > b.slack:
-        keep[:] = True
-    out = [mix(mix(sums[keep]) + place[keep])]
-    if b.twos:
-        near = segment < b.twos
-        s = segment[near]
-        out.append(mix(mix(sums[s] - strong[near]) + place[s]))
-    return np.unique(np.concatenate(out))
+    keys = mix(mix(sums) + place)
+    if not b.twos:
+        np.minimum.at(rarest, segment, level)
+        return np.unique(keys[np.lexsort((keys, rarest))[: b.tau + 1]])
+    near = segment < b.twos
+    s = segment[near]
+    return np.unique(np.concatenate([keys, mix(mix(sums[s] - strong[near]) + place[s])]))
 
 
 def sets_of(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -148,11 +150,6 @@ def sets_of(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [np.unique(s[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def elements_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in blocks(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*sets_of(batch), np.zeros(0, U)]).view(np.int64))], names=["element"])
-
-
 def node_of(elements: np.ndarray) -> int:
     """The identity of a set: a 64-bit hash of its elements."""
     x = seeded(elements, 3)
@@ -246,9 +243,9 @@ def index(n_buckets: int, popular):
                 if len(elements) < 4 or (node := node_of(elements)) in seen:
                     continue
                 seen.add(node)
-                common = popular.value.mask(elements)
+                level = popular.value.levels(elements)
                 for b in bands_of(len(elements)):
-                    keys = signatures(elements, common, b)
+                    keys = signatures(elements, level, b)
                     parts.append((keys, node))
                     held += len(keys)
             if held > FLUSH:
@@ -356,27 +353,84 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return whole.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long")
 
 
-def element_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        every = [np.frombuffer(e.as_buffer(), U) for e in column(batch, "elements")]
-        element, count = np.unique(np.concatenate([*every, np.zeros(0, U)]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(element.view(np.int64)), pa.array(count)], names=["element", "n"])
+COUNTED = "bucket int, elements binary, many binary"
+
+
+def count_elements(n_buckets: int):
+    """A task's elements by bucket, in KEY_BYTES leading bytes each, and (place, count) of those that several of its sets hold."""
+
+    def flush(parts: list[np.ndarray]) -> pa.RecordBatch:
+        key = np.concatenate(parts)
+        key >>= U(64 - 8 * KEY_BYTES)
+        key.sort()
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        count = np.diff(np.append(start, len(key)))
+        key = key[start]
+        bucket = key * U(n_buckets) >> U(8 * KEY_BYTES)
+        cuts = np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=U))
+        low = key.view(np.uint8).reshape(-1, 8)[:, :KEY_BYTES]
+        elements, many = [], []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            elements.append(low[a:b].tobytes())
+            more = np.flatnonzero(count[a:b] > 1)
+            many.append(np.stack([more, count[a:b][more]]).astype("<u4").tobytes())
+        return pa.RecordBatch.from_pydict({"bucket": pa.array(np.arange(n_buckets, dtype=np.int32)), "elements": pa.array(elements, pa.binary()), "many": pa.array(many, pa.binary())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held, seen = [], 0, set()
+        for batch in blocks(batches):
+            for elements in sets_of(batch):
+                if len(elements) < 4 or (node := node_of(elements)) in seen:
+                    continue
+                seen.add(node)
+                parts.append(elements)
+                held += len(elements)
+            if held > FLUSH // 2:
+                yield flush(parts)
+                parts, held = [], 0
+        if parts:
+            yield flush(parts)
+
+    return run
+
+
+def frequent_elements(table: pa.Table) -> pa.Table:
+    """Of one bucket: the TOP leading bits of each element that more than COMMON sets hold, with their number."""
+    keys, counts = [], []
+    for packed, many in zip(table.column("elements"), table.column("many"), strict=True):
+        data = np.frombuffer(packed.as_buffer(), np.uint8).reshape(-1, KEY_BYTES)
+        wide = np.zeros((len(data), 8), np.uint8)
+        wide[:, :KEY_BYTES] = data
+        keys.append(wide.view(U).ravel())
+        count = np.ones(len(data), np.uint32)
+        place, number = np.frombuffer(many.as_buffer(), "<u4").reshape(2, -1)
+        count[place] = number
+        counts.append(count)
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key)
+    key = key[order]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    total = np.add.reduceat(count[order], start, dtype=np.int64) if len(key) else count
+    often = total > COMMON
+    top = (key[start][often] >> U(8 * KEY_BYTES - TOP)).astype(np.int32)
+    return pa.table({"top": pa.array(top), "n": pa.array(np.minimum(total[often], (1 << 31) - 1).astype(np.int32))})
 
 
-def frequent(open_sets: DataFrame) -> Popular:
-    """Elements that many open sets hold, with their exact counts: all over COMMON sets, or the COMMON_ELEMENTS or fewer most frequent ones.
+def frequent(docs: DataFrame, n_buckets: int) -> Popular:
+    """Elements that more than COMMON sets hold, counted over all sets: all of them, or the COMMON_ELEMENTS or fewer most frequent ones.
 
-    They settle the order of elements, hence the cost, and never what is found.
+    Copies of a set count once a task.
     """
-    counts = written(open_sets.select("elements").mapInArrow(element_counts, "element long, n long").groupBy("element").agg(F.sum("n").alias("n")).where(F.col("n") > COMMON), "frequent")
+    counted = docs.select("text").mapInArrow(count_elements(n_buckets), COUNTED)
+    counts = written(counted.groupBy("bucket").applyInArrow(frequent_elements, "top int, n int"), "frequent")
     least, total = COMMON, 0
-    for octave, n in sorted(counts.groupBy(F.floor(F.log2("n")).alias("octave")).count().collect(), reverse=True):  # at most 64 rows
+    for octave, n in sorted(counts.groupBy(F.floor(F.log2("n")).alias("octave")).count().collect(), reverse=True):  # at most 32 rows
         total += n
         if total > COMMON_ELEMENTS:
             least = (2 << octave) - 1
             break
     found = counts.where(F.col("n") > least).toArrow()
-    return Popular(found.column("element").to_numpy().view(U), found.column("n").to_numpy())
+    return Popular(found.column("top").to_numpy().astype(U) << U(64 - TOP), found.column("n").to_numpy())
 
 
 def prefix(popular):
@@ -421,7 +475,7 @@ def apart(e: DataFrame) -> DataFrame:
     return x.join(y, "element").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near)
 
 
-def finest(open_nodes: DataFrame, sets: DataFrame, links: DataFrame) -> DataFrame:
+def finest(open_nodes: DataFrame, sets: DataFrame, links: DataFrame, popular) -> DataFrame:
     """Roots by ``links`` and those between open nodes of different components: one element a segment, weight 1 for the tau + 1 rarest, 0 for others.
 
     One in SHARE of the pairs, by hash, is verified first: a node that has many links to a family of near
@@ -430,8 +484,7 @@ def finest(open_nodes: DataFrame, sets: DataFrame, links: DataFrame) -> DataFram
     """
     few = open_nodes.count() <= BROADCAST_ROWS
     open_sets = sets.join(F.broadcast(open_nodes) if few else open_nodes, "node")
-    shared = open_nodes.sparkSession.sparkContext.broadcast(frequent(open_sets))
-    e = open_sets.select("node", "root", "size", "elements").mapInArrow(prefix(shared), "node long, root long, left int, size int, element long")
+    e = open_sets.select("node", "root", "size", "elements").mapInArrow(prefix(popular), "node long, root long, left int, size int, element long")
     e = written(split_elements(written(e, "rarest")), "split")
     early = F.pmod(F.xxhash64("a", "b"), F.lit(SHARE)) == 0
     for turn in (early, ~early):
@@ -457,10 +510,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # ids that are null come last, so that a set has a real id if any
     rep = own.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
     buckets = 4 * partitions(spark)
-    sample = rep.where("rep is not null").orderBy(F.xxhash64("node"), "node").limit(COST_SETS).select(F.col("rep").alias("doc_id"))
-    held = docs.join(F.broadcast(sample), "doc_id", "left_semi").mapInArrow(elements_of, "element long").groupBy("element").count().where(F.col("count") >= POPULAR)
-    held = held.toArrow()
-    popular = spark.sparkContext.broadcast(Popular(held.column("element").to_numpy().view(U)))
+    popular = spark.sparkContext.broadcast(frequent(docs, 4 * buckets))
     keyed = docs.select("text").mapInArrow(index(buckets, popular), KEYS)
     found = written(keyed.groupBy("bucket").applyInArrow(match, FOUND), "postings")
     pairs = written(found.where("edge").select("a", "b").where("a != b").distinct(), "pairs")
@@ -486,7 +536,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     parted = member.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
     rest = written(member.join(parted, "key", "left_semi").select("node", "root").distinct(), "open")
     if not rest.isEmpty():
-        roots = finest(rest, sets, links)
+        roots = finest(rest, sets, links, popular)
     named = own.join(rep, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rep.join(roots, "node").groupBy("root").agg(F.min("rep").alias("least"))
     return named.join(least, "root", "left").select(

@@ -137,6 +137,42 @@ def test_similar_sets_share_a_signature():
         assert keys[0] & keys[1] or set(x) == set(y)
 
 
+def test_frequent_elements_are_counted_over_all_sets(spark):
+    rng = np.random.default_rng(9)
+    own = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 1 << 40, n))
+    three, two, far = ([f"{c}{k}" for k in range(5)] for c in "abc")
+    docs = [own(8) for _ in range(300)]
+    for shared, places in ((three, (5, 150, 299)), (two, (7, 160)), (far, range(0, 300, 3))):
+        for i in places:
+            docs[i] += " " + " ".join(shared) + " " + own(3)
+    docs += [docs[7]] * 5  # copies in a task are one set
+    rows = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "doc_id long, text string").coalesce(1)
+    found = ngram_join.frequent(rows, 3)
+    element = lambda w: ngram_join.sets_of(pa.RecordBatch.from_arrays([pa.array([" ".join(w)])], names=["text"]))[0]
+    assert found.levels(element(two)).tolist() == [0]
+    assert 0 < found.levels(element(three))[0] < found.levels(element(far))[0]
+
+
+def test_a_set_is_indexed_by_its_rarest_contents_only():
+    rng = np.random.default_rng(10)
+    x = np.unique(rng.integers(0, 1 << 62, 300).astype(np.uint64))
+    b = next(b for b in ngram_join.bands_of(len(x)) if not b.twos)
+    common = x[: len(x) * 3 // 4]  # far more segments of nothing else than may be empty
+    level = ngram_join.Popular(common).levels(x)
+    keys = ngram_join.signatures(x, level, b)
+    assert len(keys) == b.tau + 1
+    # contents that no frequent element makes up come first
+    segment = (x % np.uint64(b.segments)).astype(int)
+    rare = set(segment[level == 0].tolist())
+    without = set(ngram_join.signatures(x, np.zeros(len(x), np.uint8), b._replace(tau=b.segments - 1)).tolist())
+    assert set(keys.tolist()) <= without and len(rare) <= b.tau + 1
+    kept = {int(k) for k in keys}
+    for s in rare:
+        y = x[segment != s]  # without this segment its key is gone
+        left = set(ngram_join.signatures(y, np.zeros(len(y), np.uint8), b._replace(tau=b.segments - 1)).tolist())
+        assert (without - left) <= kept
+
+
 def test_compact_windows_match_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(200):
