@@ -34,6 +34,7 @@ BROADCAST_BYTES = 256 << 20
 CELLS = 8
 FIT_STEPS = 25
 CHUNK_BYTES = 10_000_000  # of text
+PROBED = 1 << 15  # n-grams probed at once
 HELD_CELLS = 1_000_000  # cells of a task that wait to be counted together
 END = U(0x5851F42D4C957F2D)
 
@@ -120,7 +121,7 @@ def count_chunks(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, part in chunks(batches):
-            yield emit(chunk, [(Tokens.of(words(column(b, "text"))), column(b, "train").to_numpy(zero_copy_only=False)) for b in part])
+            yield emit(chunk, [(Tokens.of(words(column(b, "text"))), trained(b)) for b in part])
 
     return run
 
@@ -170,9 +171,14 @@ def level_count(level: np.ndarray) -> np.ndarray:
     return np.where(level > 1, LEVEL_BASE ** (level - 0.75), level * 1.0)
 
 
-def bit_places(fingerprint: np.ndarray, level: int, probe: int, bits: np.ndarray | int) -> np.ndarray:
-    """A pair of hashes gives all probes of an item."""
-    a, b = seeded(fingerprint.astype(U), 31 + level), seeded(fingerprint.astype(U), 77 + level) | U(1)
+def hash_pair(fingerprint: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two hashes that give all probes of an item."""
+    f = fingerprint.astype(U)
+    return seeded(f, 31 + level), seeded(f, 77 + level) | U(1)
+
+
+def bit_places(pair: tuple[np.ndarray, np.ndarray], probe: int, bits: np.ndarray | int) -> np.ndarray:
+    a, b = pair
     return (a + U(probe) * b) % (bits if isinstance(bits, np.ndarray) else U(bits))
 
 
@@ -203,8 +209,9 @@ def merge(table: pa.Table) -> pa.Table:
     bits = max(64, -(-int(level.sum()) * BITS_AN_ENTRY // 64) * 64)
     shard = np.zeros(bits, bool)
     for j in range(1, int(level.max(initial=0)) + 1):
+        pair = hash_pair(f[level >= j], j)
         for probe in range(PROBES):
-            shard[bit_places(f[level >= j], j, probe, bits).astype(np.int64)] = True
+            shard[bit_places(pair, probe, bits).astype(np.int64)] = True
     n = len(chunk)
     return pa.table(
         {
@@ -230,30 +237,51 @@ class Filter:
         at = self.start[bucket - self.first]
         self.bytes[at : at + len(shard)] = np.frombuffer(shard, np.uint8)
 
-    def level(self, h: np.ndarray) -> np.ndarray:
-        """Levels of n-gram hashes; 0 for those of other shards."""
+    def hits(self, level: int, at: np.ndarray, f: np.ndarray, bits: np.ndarray, base: np.ndarray) -> np.ndarray:
+        """Those of the places ``at`` whose n-gram is in the filter at a level."""
+        a, b = hash_pair(f[at], level)
+        bits, base = bits[at], base[at]
+        for probe in range(PROBES):
+            place = bit_places((a, b), probe, bits).astype(np.int64)
+            on = np.flatnonzero(self.bytes[base + (place >> 3)] >> (place & 7).astype(np.uint8) & 1)
+            if len(on) < len(at):
+                at, a, b, bits, base = at[on], a[on], b[on], bits[on], base[on]
+        return at
+
+    def level(self, h: np.ndarray, stored: np.ndarray) -> np.ndarray:
+        """Levels of n-gram hashes; 0 for those of other shards.
+
+        Those that are ``stored`` for certain, as n-grams of training rows, have level 1 without a probe:
+        a filter has no false negatives. Many at once go shard by shard, as a shard fits a cache and the filter does not.
+        """
         out = np.zeros(len(h), np.uint8)
-        bucket = bucket_of(h, self.n).astype(np.int64) - self.first
-        open_ = np.flatnonzero((bucket >= 0) & (bucket < len(self.start) - 1))
-        level = 1
-        while len(open_):
-            shard, f = bucket[open_], h[open_] & U(0xFFFFFFFF)
-            bits, base = (np.diff(self.start)[shard] * 8).astype(U), self.start[shard]
-            for probe in range(PROBES):
-                place = bit_places(f, level, probe, bits).astype(np.int64)
-                hit = self.bytes[base + (place >> 3)] >> (place & 7).astype(np.uint8) & 1 == 1
-                open_, f, bits, base = open_[hit], f[hit], bits[hit], base[hit]
-            out[open_] = level
-            level += 1
+        bucket = bucket_of(h, self.n).astype(np.int32) - self.first
+        every = np.flatnonzero((bucket >= 0) & (bucket < len(self.start) - 1)).astype(np.int32)
+        every = every[np.argsort(bucket[every].astype(np.uint16 if self.n < 1 << 16 else np.int32), kind="stable")]
+        size = np.diff(self.start).astype(U) * U(8)
+        for k in range(0, len(every), PROBED):
+            own = every[k : k + PROBED]
+            shard, f, sure = bucket[own], h[own] & U(0xFFFFFFFF), stored[own]
+            bits, base = size[shard], self.start[shard]
+            at = np.concatenate([np.flatnonzero(sure), self.hits(1, np.flatnonzero(~sure), f, bits, base)])
+            level = 1
+            while len(at):
+                out[own[at]] = level
+                level += 1
+                at = self.hits(level, at, f, bits, base)
         return out
 
 
-def probed(t: Tokens, f: Filter) -> np.ndarray:
-    """Level of the n-gram of each order that ends at each token: orders x tokens."""
-    out = np.zeros((len(ORDERS), len(t.hash)), np.uint8)
+def probed(blocks_of: list[Tokens], train: list[np.ndarray], f: Filter) -> list[np.ndarray]:
+    """For each block, with its rows' ``train``, the level of the n-gram of each order that ends at each token: orders x tokens."""
+    out = [np.zeros((len(ORDERS), len(t.hash)), np.uint8) for t in blocks_of]
     for i, order in enumerate(ORDERS):
-        at, h = grams(t, order)
-        out[i, at] = f.level(h)
+        found = [grams(t, order) for t in blocks_of]
+        stored = [np.repeat(y, np.diff(t.bounds))[at] for t, y, (at, _) in zip(blocks_of, train, found, strict=True)]
+        level = f.level(np.concatenate([h for _, h in found]), np.concatenate(stored))
+        ends = np.cumsum([len(at) for at, _ in found])[:-1]
+        for x, (at, _), own in zip(out, found, np.split(level, ends), strict=True):
+            x[i, at] = own
     return out
 
 
@@ -361,19 +389,23 @@ def score_texts(docs: DataFrame) -> DataFrame:
     return judged.mapInArrow(score_rows(weight, total, known), SCORES)
 
 
+def trained(batch: pa.RecordBatch) -> np.ndarray:
+    return column(batch, "train").to_numpy(zero_copy_only=False)
+
+
 def add_levels(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches):
-            t = Tokens.of(words(column(b, "text")))
-            level = probed(t, shared.value)
-            old = column(b, "levels")
-            out = []
-            for d, (a, e) in enumerate(zip(t.bounds[:-1], t.bounds[1:], strict=True)):
-                own = level[:, a:e]
-                if old[d].is_valid:
-                    own = np.maximum(own, np.frombuffer(old[d].as_buffer(), np.uint8).reshape(len(ORDERS), -1))
-                out.append(own.tobytes())
-            yield b.set_column(b.schema.get_field_index("levels"), "levels", pa.array(out, pa.binary()))
+        for _, parts in chunks(batches):
+            tokens = [Tokens.of(words(column(b, "text"))) for b in parts]
+            for b, t, level in zip(parts, tokens, probed(tokens, [trained(b) for b in parts], shared.value), strict=True):
+                old = column(b, "levels")
+                out = []
+                for d, (a, e) in enumerate(zip(t.bounds[:-1], t.bounds[1:], strict=True)):
+                    own = level[:, a:e]
+                    if old[d].is_valid:
+                        own = np.maximum(own, np.frombuffer(old[d].as_buffer(), np.uint8).reshape(len(ORDERS), -1))
+                    out.append(own.tobytes())
+                yield b.set_column(b.schema.get_field_index("levels"), "levels", pa.array(out, pa.binary()))
 
     return run
 
@@ -388,13 +420,13 @@ def judge_chunk(shared, n: int):
         parts = [b for b in blocks(iter(docs.combine_chunks().to_batches()))]
         tokens = [Tokens.of(words(column(b, "text"))) for b in parts]
         every = chunk_counts(np.concatenate([t.hash for t in tokens]) if tokens else np.zeros(0, U), counts, n)
+        found = probed(tokens, [trained(b) for b in parts], shared.value) if shared is not None and tokens else [None] * len(tokens)
         at, out = 0, []
-        for b, t in zip(parts, tokens, strict=True):
+        for b, t, level in zip(parts, tokens, found, strict=True):
             count = every[at : at + len(t.hash)]
             at += len(t.hash)
             rows = list(zip(t.bounds[:-1].tolist(), t.bounds[1:].tolist(), strict=True))
-            if shared is not None:
-                level = probed(t, shared.value)
+            if level is not None:
                 levels = [level[:, a:e].tobytes() for a, e in rows]
             else:
                 levels = column(b, "levels").to_pylist()

@@ -173,6 +173,33 @@ def test_a_set_is_indexed_by_its_rarest_contents_only():
         assert (without - left) <= kept
 
 
+def test_stored_grams_need_no_probe_of_the_first_level():
+    rng = np.random.default_rng(12)
+    n, gram = 3, np.unique(rng.integers(0, 1 << 62, 20000).astype(np.uint64) << np.uint64(2))
+    count = 1 << rng.integers(0, 5, len(gram))
+    key = bloom_lm.gram_key(gram, n)
+    shards = []
+    for i in range(n):
+        own = (key >> np.uint64(32)) == i
+        low, c = (key[own] & np.uint64(0xFFFFFFFF)).astype("<u4"), count[own]
+        many = np.stack([np.arange(len(low)), c]).astype("<u4").tobytes()
+        table = {"bucket": [i], "chunk": [0], "tokens": [b""], "counts": [b""], "grams": [low.tobytes()], "many": [many]}
+        shards.append(bloom_lm.merge(pa.table(table)).column("data")[-1].as_py())
+    f = bloom_lm.Filter([len(x) for x in shards], 0, n)
+    for i, x in enumerate(shards):
+        f.put(i, x)
+    asked = np.concatenate([gram, rng.integers(0, 1 << 62, 5000).astype(np.uint64) << np.uint64(2) | np.uint64(1)])
+    none = np.zeros(len(asked), bool)
+    stored = np.arange(len(asked)) < len(gram)
+    probes, hits = [], f.hits
+    f.hits = lambda level, at, *rest: (probes.append((level, len(at))), hits(level, at, *rest))[1]
+    plain = f.level(asked, none)
+    assert (plain[: len(gram)] >= bloom_lm.levels(count)).all() and (plain[len(gram) :] == 0).mean() > 0.9
+    probes.clear()
+    assert np.array_equal(f.level(asked, stored), plain)
+    assert sum(k for level, k in probes if level == 1) == 5000
+
+
 def test_compact_windows_match_brute_force():
     rng = np.random.default_rng(0)
     for _ in range(200):
