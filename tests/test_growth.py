@@ -33,3 +33,14 @@ def test_tables_of_runs_and_objects_are_not_broadcast(spark, band):
     assert "Broadcast" not in plan(hull.convexity(labels))
     edges = runs.touching(runs.runs_of(band).withColumn("id", F.monotonically_increasing_id()), 2)
     assert "Broadcast" not in plan(edges)
+
+
+def test_objects_within_a_tile_are_flooded_once(spark, monkeypatch):
+    names, keep = [], segmentation.written
+    monkeypatch.setattr(segmentation, "written", lambda df, name: (names.append(name), keep(df, name))[1])
+    mask = spark.createDataFrame([(1, 0, 0, x, 0.0) for x in range(200)], "sample_id long, z int, y int, x int, e double")
+    markers = spark.createDataFrame([(1, 0, 0, 0, 7)], "sample_id long, z int, y int, x int, label long")
+    assert segmentation.flooded(markers, mask.where("x < 127"), "e").where("label = 7").count() == 127
+    assert "changed-tiles" not in names  # nothing to exchange
+    assert segmentation.flooded(markers, mask, "e").where("label = 7").count() == 200
+    assert "changed-tiles" in names
